@@ -5,11 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import held_out
 from tessella.llm.decontam import decontaminate
+from tessella.llm.langid import identify, learn
+from tessella.llm.packing import pack, sequence_columns
+from tessella.llm.simhash import hex_of, near_duplicates
 from tessella.llm.substrings import dedup_substrings
 from tessella.runtime import table
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing query uses; a cluster names its own copy to the operator."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    return identify(docs, learn(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return pieces.select("doc_id", *sequence_columns())
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort("item_ids"), ",")
@@ -21,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op6_packing, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_substring_dedup)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

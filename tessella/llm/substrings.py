@@ -21,7 +21,6 @@ Two different windows share a hash with probability 2^-64 for each pair.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.llm.common import ID, TEXT, blocks_for, rows, schema_of
+from tessella.llm.hashing import WORD_BASE, mixed, rolling, word_hashes
 from tessella.runtime import ship
 
 WINDOW = 35
@@ -39,11 +39,6 @@ WINDOW = 35
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 LEAST_BLOCKS = 64
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: Bytes that are hashed at once; the tables of powers are this long.
-_SEGMENT = 1 << 19
-
 RESULT = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_removed", T.LongType()),
@@ -52,65 +47,18 @@ RESULT = [
 ]
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads a hash over all its bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end]."""
-    size = max(1 << (max(len(values), 1) - 1).bit_length(), 1 << 12)
-    power, inverse = _powers(base, size)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * inverse[starts]
-
-
-def _word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of a byte array, whatever its place, and where it starts; long arrays are cut at white space."""
-    out, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    while at < len(text):
-        end = min(at + _SEGMENT, len(text))
-        while end < len(text) and not _SPACE[text[end - 1]]:
-            step = np.flatnonzero(_SPACE[text[end : end + _SEGMENT]])
-            end = end + int(step[0]) + 1 if len(step) else min(end + _SEGMENT, len(text))
-        part = text[at:end]
-        solid = np.zeros(len(part) + 2, np.int8)
-        solid[1:-1] = ~_SPACE[part]
-        turn = np.diff(solid)
-        starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        hashes = _rolling(part.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE_BASE)
-        out.append(_mixed(hashes + (ends - starts).astype(np.uint64)))
-        places.append(starts + at)
-        at = end
-    return np.concatenate(out), np.concatenate(places)
-
-
 class Windows:
     """The distinct window hashes of a block's texts, sorted, and where each occurs."""
 
     def __init__(self, texts: Sequence[bytes], window: int):
-        hashes, places = _word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+        hashes, places, _ = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
         bounds = np.cumsum([len(t) + 1 for t in texts])
         self.window = window
         self.first = np.concatenate(([0], np.searchsorted(places, bounds)))
         of = np.repeat(np.arange(len(texts)), np.diff(self.first))
         last = max(len(hashes) - window + 1, 0)
         self.starts = np.flatnonzero(of[:last] == of[window - 1 :][:last])
-        rolled = _mixed(_rolling(hashes, self.starts, self.starts + window, _WORD_BASE))
+        rolled = mixed(rolling(hashes, self.starts, self.starts + window, WORD_BASE))
         self.distinct, self.inverse, times = np.unique(rolled, return_inverse=True, return_counts=True)
         self.twice = times > 1
 
