@@ -9,8 +9,10 @@ from tessella.llm.common import held_out
 from tessella.llm.decontam import decontaminate
 from tessella.llm.langid import identify, learn
 from tessella.llm.packing import pack, sequence_columns
+from tessella.llm.sharding import shard
 from tessella.llm.simhash import hex_of, near_duplicates
 from tessella.llm.substrings import dedup_substrings
+from tessella.llm.topk import top_k
 from tessella.runtime import table
 
 
@@ -27,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return pieces.select("doc_id", *sequence_columns())
@@ -37,6 +43,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(table(spark, sf_dir, "documents"), with_text=False)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort("item_ids"), ",")
@@ -48,11 +59,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_packing, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_top_k, op6_packing, op7_simhash_near_dedup, op8_sharding, op9_benchmark_decontamination, op10_substring_dedup)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op4_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_benchmark_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                   coalesce(regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) AS w FROM documents),
