@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import held_out
 from tessella.llm.decontam import decontaminate
+from tessella.llm.html_extract import extract
 from tessella.llm.langid import identify, learn
 from tessella.llm.packing import pack, sequence_columns
 from tessella.llm.sharding import shard
@@ -33,6 +34,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return pieces.select("doc_id", *sequence_columns())
@@ -59,7 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_top_k, op6_packing, op7_simhash_near_dedup, op8_sharding, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_top_k, op5_html_extraction, op6_packing, op7_simhash_near_dedup, op8_sharding, op9_benchmark_decontamination, op10_substring_dedup)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
