@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import toxicity
 from tessella.llm.common import held_out
 from tessella.llm.decontam import decontaminate
 from tessella.llm.html_extract import extract
@@ -24,6 +25,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.classify(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"))
@@ -64,7 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_top_k, op5_html_extraction, op6_packing, op7_simhash_near_dedup, op8_sharding, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_exact_top_k, op5_html_extraction, op6_packing, op7_simhash_near_dedup, op8_sharding, op9_benchmark_decontamination, op10_substring_dedup)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
