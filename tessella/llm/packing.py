@@ -42,7 +42,7 @@ PIECE = [
     T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()),
     T.StructField("doc_tokens", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.LongType())),
+    T.StructField("ids", T.ArrayType(T.IntegerType())),
     T.StructField("ids_crc32", T.LongType()),
 ]
 
@@ -319,18 +319,20 @@ def pack(
         model = tokenizer(tokenizer_path)
         for whole in batches:
             for batch in in_slices(whole, 2 << 20, 1024):
-                of: list[int] = []
-                got: list[list] = [[] for _ in PIECE]
+                of, got = [], [[] for _ in PIECE]
                 texts = [x.as_py() or b"" for x in batch.column(TEXT)]
-                for i, ids in enumerate(model.encode(texts)):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
+                every = [np.append(ids, np.uint32(end)).astype("<u4") for ids in model.encode(texts)]
+                for i, ids in enumerate(every):
                     for start, size in pieces_of(len(ids), most):
-                        part = ids[start : start + size]
                         of.append(i)
-                        for column, value in zip(got, (start, size, len(ids), part if with_ids else None, zlib.crc32(part.tobytes())), strict=True):
+                        for column, value in zip(got, (start, size, len(ids), None, zlib.crc32(ids[start : start + size].tobytes())), strict=True):
                             column.append(value)
                 kept = [batch.column(k).take(pa.array(of, pa.int32())) for k in (0, *range(2, 2 + len(carry)))]
                 new = [pa.array(x, f.type) for x, f in zip(got, list(arrow)[len(kept) :], strict=True)]
+                if with_ids:
+                    # Pieces follow each other as their documents' ids do.
+                    offsets = np.concatenate(([0], np.cumsum(got[1]))).astype(np.int32)
+                    new[3] = pa.ListArray.from_arrays(offsets, np.concatenate(every).view(np.int32)).cast(arrow.field("ids").type)
                 yield pa.RecordBatch.from_arrays([*kept, *new], schema=arrow)
 
     cuts = rows(docs, id_col, text_col, carry).mapInArrow(cut, out)

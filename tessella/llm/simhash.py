@@ -90,7 +90,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), distance: int = DISTANCE) -> DataFrame:
-    """One row per document row: ``fp`` (signed long) and ``component_id``, the smallest id that links reach.
+    """One row per document row: ``fp`` (signed long), ``component_id`` (the smallest id that links reach) and ``keeper``.
+
+    ``keeper`` is true for exactly one row of each component: one of its smallest id.
 
     Edge cases: documents without words have fingerprint zero and link like any
     other; rows that repeat have equal fingerprints and meet in one component; a
@@ -98,16 +100,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fewer words than a shingle: the whole sequence is the shingle. Further
     input columns are ignored unless carried; no rows give no rows.
     """
-    marked = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, carry=carry))
-    least = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    marked = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, carry=carry).withColumn("_row", F.monotonically_increasing_id()))
+    first = F.struct(marked[id_col].isNull().alias("none"), marked[id_col].alias("id"), "_row")
+    least = marked.groupBy("fp").agg(F.min(first).alias("_least"))
     found = components(links(least, distance))
     joined = least.join(found, least.fp == found.node, "left").select("fp", "_least", "root")
-    named = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("_least").alias("_component"))
-    linked = joined.filter("root IS NOT NULL").join(named, "root").select("fp", "_component")
-    alone = joined.filter("root IS NULL").select("fp", F.col("_least").alias("_component"))
+    named = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("_least").alias("_first"))
+    linked = joined.filter("root IS NOT NULL").join(named, "root").select("fp", "_first")
+    alone = joined.filter("root IS NULL").select("fp", F.col("_least").alias("_first"))
     names = linked.unionByName(alone).withColumnRenamed("fp", "_fp")
     out = marked.join(names, marked.fp == names["_fp"], "left")
-    return out.select(*[marked[c] for c in (id_col, *carry)], "fp", F.col("_component").alias("component_id"))
+    keeper = F.col("_row") == F.col("_first._row")
+    return out.select(*[marked[c] for c in (id_col, *carry)], "fp", F.col("_first.id").alias("component_id"), keeper.alias("keeper"))
 
 
 def hex_of(fp: Column) -> Column:

@@ -110,9 +110,12 @@ def dedup_substrings(
     text_col: str = "text",
     carry: Sequence[str] = (),
     window: int = WINDOW,
+    rejoin: bool = True,
 ) -> DataFrame:
     """One row per document row: its word count, the removed word intervals, and the kept words joined by single spaces.
 
+    Without ``rejoin`` a text that loses nothing is kept as it is.
+
     A window that starts anywhere else too, in the same document or another, is
     repeated; every word that a repeated window covers is removed, at all its
     places. Windows are judged on the input alone.
@@ -176,7 +179,7 @@ def dedup_substrings(
             for text, lo, hi in zip(texts, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                 mine, words = gone[lo:hi], text.split()
                 spans = _spans(mine)
-                kept = b" ".join(compress(words, (~mine).tolist()) if len(spans) else words)
+                kept = b" ".join(compress(words, (~mine).tolist()) if len(spans) else words) if rejoin or len(spans) else text
                 for column, value in zip(got, (hi - lo, int(mine.sum()), spans.tolist(), kept), strict=True):
                     column.append(value)
         new = [pa.array(x, f.type) for x, f in zip(got[:-1], list(arrow)[-len(RESULT) : -1], strict=True)]
