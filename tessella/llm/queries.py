@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import toxicity
+from tessella.llm import licenses, toxicity
 from tessella.llm.common import held_out
 from tessella.llm.decontam import decontaminate
 from tessella.llm.html_extract import extract
@@ -31,6 +31,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+#: Documents have no path: by source and id, every tenth one a licence file by name.
+_PATH = "concat('/', coalesce(source, 'unknown'), '/', cast(cast((doc_id - doc_id % 1000) / 1000 as bigint) as {text}), '/', CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE concat('d', cast(cast((doc_id - doc_id % 100) / 100 as bigint) as {text}), '/', cast(doc_id as {text}), '.txt') END)"
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_PATH.format(text="string")).alias("path"))
+    return licenses.scan(files, id_col="doc_id", path_col="path", text_col="text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"))
@@ -71,11 +80,39 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_exact_top_k, op5_html_extraction, op6_packing, op7_simhash_near_dedup, op8_sharding, op9_benchmark_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_language_id, op4_exact_top_k, op5_html_extraction, op6_packing, op7_simhash_near_dedup, op8_sharding, op9_benchmark_decontamination, op10_substring_dedup)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+
 SQL = {
+    "op2_license_scan": f"""
+WITH f AS (SELECT doc_id, text, {_PATH.format(text="VARCHAR")} AS path FROM documents),
+     n AS (SELECT count(*) AS n FROM f),
+     t AS (SELECT i, name, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM (VALUES {_TEMPLATES}) AS v(i, name, body)),
+     tf AS (SELECT i, name, term, count(*) AS k FROM t GROUP BY ALL),
+     dt AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM f),
+     idf AS (SELECT term, ln((1 + any_value(n)) / (1 + count(doc_id))) + 1 AS idf FROM (SELECT DISTINCT term FROM tf) LEFT JOIN dt USING (term), n GROUP BY term),
+     tw AS (SELECT i, name, term, k * idf / sqrt(sum(k * idf * k * idf) OVER (PARTITION BY i)) AS weight FROM tf JOIN idf USING (term)),
+     u AS (SELECT doc_id, 0 AS no, text AS line FROM f UNION ALL SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM f),
+     ut AS (SELECT doc_id, no, term, count(*) AS k FROM (SELECT doc_id, no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM u) GROUP BY ALL),
+     uw AS (SELECT doc_id, no, term, k * coalesce(idf, ln(1 + n) + 1) AS w FROM ut LEFT JOIN idf USING (term), n),
+     norm AS (SELECT doc_id, no, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
+     s AS (SELECT doc_id, no, name, round(sum(w * weight) / any_value(norm), 6) AS score FROM uw JOIN tw USING (term) JOIN norm USING (doc_id, no) GROUP BY doc_id, no, i, name),
+     own AS (SELECT doc_id, name, score, no = 0 AS whole FROM s WHERE score >= {licenses.THRESHOLD}
+             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name, least(no, 1)) = 1),
+     p AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS base FROM f),
+     m AS (SELECT * FROM p LEFT JOIN own USING (doc_id)),
+     held AS (SELECT dir AS from_dir, name AS held, score AS held_score FROM m WHERE name IS NOT NULL AND regexp_matches(base, '(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$')
+              QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, name) = 1),
+     up AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1 : len(string_split(dir, '/')) - k], '/') AS from_dir
+            FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')))) AS k FROM (SELECT DISTINCT dir FROM p))),
+     near AS (SELECT * FROM up JOIN held USING (from_dir) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY k) = 1)
+SELECT m.doc_id, m.path, coalesce(m.name, near.held) AS license,
+       CASE WHEN m.name IS NOT NULL THEN CASE WHEN whole THEN 'file' ELSE 'header' END WHEN near.held IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN m.name IS NOT NULL THEN m.score ELSE near.held_score END AS score, CASE WHEN m.name IS NULL THEN near.from_dir END AS from_dir
+FROM m LEFT JOIN near ON m.dir = near.dir""",
     "op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
