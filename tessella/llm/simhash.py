@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.llm.common import ID, TEXT, in_slices, rows, schema_of
-from tessella.llm.components import components
+from tessella.operators.components import components
 from tessella.runtime import materialise, ship
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
