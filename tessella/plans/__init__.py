@@ -1 +1,6 @@
-"""Part of tessella."""
+"""Named queries over the driver tables; importing this package registers them all."""
+
+from tessella.plans import joins, lift  # noqa: F401
+from tessella.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

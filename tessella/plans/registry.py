@@ -22,7 +22,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
             text = sql
             for name, body in views.SQL.items():
                 text = text.replace("{" + name + "}", f"({body})")
-            SQL[f.__name__] = text.strip()
+            # count_if gives a HUGEINT.
+            SQL[f.__name__] = text.strip().replace("count_if(", "count(*) FILTER (WHERE ")
         return f
 
     return register
