@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,15 +56,21 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ngrams(arr: Column, n: int) -> Column:
     """Space-joined runs of n elements; none if there are fewer."""
-    last = F.size(arr) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(arr, i, n), " ")))
+    none = F.array().cast("array<string>")
+    return let(arr, lambda a: F.when(F.size(a) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))))
 
 
 def shingles(arr: Column, k: int) -> Column:
     """Distinct 64-bit hashes of k-word runs; a shorter text has one of all its words, an empty one none."""
-    runs = F.when(F.size(arr) == 0, F.array().cast("array<string>")).when(F.size(arr) < k, F.array(F.array_join(arr, " "))).otherwise(ngrams(arr, k))
+    none = F.array().cast("array<string>")
+    runs = let(arr, lambda a: F.when(F.size(a) == 0, none).when(F.size(a) < k, F.array(F.array_join(a, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - k + 1), lambda i: F.array_join(F.slice(a, i, k), " "))))
     return F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s)))
 
 

@@ -7,17 +7,18 @@ hot beyond a conversation's length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_BY = Window.partitionBy("tid").orderBy("turn_idx")
-_SO_FAR = _BY.rowsBetween(Window.unboundedPreceding, 0)
+
+def _in_turn() -> WindowSpec:
+    return Window.partitionBy("tid").orderBy("turn_idx")
 
 
 def _runs(turns: DataFrame) -> DataFrame:
     """Stripped texts, and the number of the run of guest turns or the single other turn."""
-    return turns.withColumns({"text": F.trim(F.coalesce("text", F.lit(""))), "_before": F.lag("role").over(_BY)}).withColumn(
-        "_run", F.sum(F.when((F.col("role") == "guest") & (F.col("_before") == "guest"), 0).otherwise(1)).over(_SO_FAR)
+    return turns.withColumns({"text": F.trim(F.coalesce("text", F.lit(""))), "_before": F.lag("role").over(_in_turn())}).withColumn(
+        "_run", F.sum(F.when((F.col("role") == "guest") & (F.col("_before") == "guest"), 0).otherwise(1)).over(_in_turn().rowsBetween(Window.unboundedPreceding, 0))
     )
 
 
@@ -29,7 +30,7 @@ def _joined(text: Column) -> Column:
 
 def _guest_runs(turns: DataFrame) -> DataFrame:
     """One row per guest run: its text, and the turn just before it."""
-    runs = _runs(turns).withColumns({"_prev_idx": F.lag("turn_idx").over(_BY), "_prev_text": F.lag("text").over(_BY)})
+    runs = _runs(turns).withColumns({"_prev_idx": F.lag("turn_idx").over(_in_turn()), "_prev_text": F.lag("text").over(_in_turn())})
     return runs.filter("role = 'guest'").groupBy("tid", "_run").agg(
         F.min("turn_idx").alias("first_idx"),
         F.max("turn_idx").alias("last_idx"),
@@ -66,7 +67,7 @@ def followups(turns: DataFrame) -> DataFrame:
     needed: both look-ups are last non-null values over the turns so far.
     """
     spoken = turns.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).filter("text <> ''")
-    before = _BY.rowsBetween(Window.unboundedPreceding, -1)
+    before = _in_turn().rowsBetween(Window.unboundedPreceding, -1)
     guest = F.last(F.when(F.col("role") == "guest", F.col("turn_idx")), ignorenulls=True).over(before)
     host_before = F.last(F.when(F.col("role") == "host", F.col("turn_idx")), ignorenulls=True).over(before)
     seen = spoken.withColumns({"guest_idx": guest, "_host_before": host_before})
