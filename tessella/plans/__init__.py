@@ -1,6 +1,6 @@
 """Named queries over the driver tables; importing this package registers them all."""
 
-from tessella.plans import aggs, dialogue, joins, lift, texts  # noqa: F401
+from tessella.plans import aggs, dialogue, inference, joins, lift, streams, texts  # noqa: F401
 from tessella.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
