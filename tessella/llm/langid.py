@@ -101,16 +101,19 @@ def counts(texts: Sequence[bytes | None], n: int) -> tuple[np.ndarray, np.ndarra
     decoded = [(t or b"").decode("utf-8", "replace") for t in texts]
     raw = np.frombuffer("\x00".join(["", *decoded, ""]).encode("utf-32-le", "replace"), np.uint32)
     symbols = _symbols()[raw]
-    bound = np.cumsum([1] + [len(t) + 1 for t in decoded]) - 1
-    of = np.zeros(len(raw), np.int32)
-    of[bound[:-1]] = 1
-    of = np.cumsum(of) - 1
+    # Every text has the gap before it; the one after it is that of the next text.
+    bound = np.cumsum([0] + [len(t) + 1 for t in decoded])
+    parting = np.zeros(len(raw), bool)
+    parting[bound] = True
+    of = np.cumsum(parting) - 1
     letter = symbols != _GAP
     has = np.bincount(of[letter], minlength=len(texts)) > 0
-    keep = letter.copy()
-    keep[0] = True
-    keep[1:] |= letter[:-1]
-    symbols, of = symbols[keep], of[keep]
+    # Of a run of other characters the first is kept, if it stands between letters.
+    following = np.minimum.accumulate(np.where(letter, of, len(texts) + 1)[::-1])[::-1]
+    inner = np.zeros(len(raw), bool)
+    inner[1:] = letter[:-1]
+    keep = letter | parting | (inner & (following == of))
+    symbols, of, parting = symbols[keep], of[keep], parting[keep]
     each, small = np.unique(symbols, return_inverse=True)
     base, m = len(each), len(small) - n + 1
     if m <= 0 or not has.any():
@@ -118,7 +121,9 @@ def counts(texts: Sequence[bytes | None], n: int) -> tuple[np.ndarray, np.ndarra
     code = np.zeros(m, np.int64)
     for place in range(n):
         code += small[place : place + m] * base**place
-    owner = of[n - 1 :][:m]
+    owner, last = of[:m], np.arange(n - 1, n - 1 + m)
+    within = (of[last] == owner) | (parting[last] & (of[last - 1] == owner))
+    code, owner = code[within], owner[within]
     if base**n <= 1 << 22:
         seen = np.zeros(base**n, bool)
         seen[code] = True
@@ -128,7 +133,7 @@ def counts(texts: Sequence[bytes | None], n: int) -> tuple[np.ndarray, np.ndarra
         col = slot[code]
     else:
         grams, col = np.unique(code, return_inverse=True)
-    table = np.bincount(owner.astype(np.int64) * len(grams) + col, minlength=len(texts) * len(grams)).reshape(len(texts), -1).astype(np.float32)
+    table = np.bincount(owner.astype(np.int64) * len(grams) + col, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams)).astype(np.float32)
     keys, left = np.zeros(len(grams), np.uint64), grams.copy()
     for place in range(n):
         keys |= each[left % base].astype(np.uint64) << np.uint64(21 * place)

@@ -1,0 +1,348 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessella.llm import langid, licenses, toxicity
+from tessella.llm.common import held_out
+from tessella.llm.decontam import Automaton, decontaminate, words_of
+from tessella.llm.html_extract import extract, parse, score
+from tessella.llm.packing import pack, pieces_of, tokenizer
+from tessella.llm.queries import tokenizer_path
+from tessella.llm.sharding import difference, shard
+from tessella.llm.simhash import fingerprint, near_duplicates
+from tessella.llm.substrings import dedup_substrings
+from tessella.llm.topk import BallTree, top_k
+
+random.seed(5)
+WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "Éta", "theta", "x1", "ß"]
+PASSAGE = " ".join(f"p{i}" for i in range(60))
+
+
+def prose(n, vocabulary=None):
+    return " ".join(random.choice(vocabulary or [f"{a}{i}" for a in WORDS for i in range(40)]) for _ in range(n))
+
+
+def texts():
+    one, two = prose(120), prose(200)
+    rows = [one, one, one + " tail", two.replace("alpha", "Alpha"), None, "", "  \n\t ", "one", "two words", PASSAGE + " " + prose(40), prose(30) + "\n" + PASSAGE, prose(9000), "the cat sat on the mat " * 30, "🙂 ünï cödé 日本語 テキスト", "A" * 5000]
+    return rows + [prose(random.randint(1, 80)) for _ in range(15)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Extra columns have the names that operators use inside or return."""
+    schema = "doc_id long, text string, _text string, fp string, n_words string, score string, _block int"
+    rows = [(i, t, "x", "y", "z", "s", 1) for i, t in enumerate(texts())]
+    return spark.createDataFrame([*rows, rows[3], (None, "null id here", "x", "y", "z", "s", 2)], schema).repartition(3).cache()
+
+
+def rows_of(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def no_docs(docs):
+    return docs.filter("1 = 0")
+
+
+def test_automaton_finds_longest_suffixes():
+    items = [("a", words_of(b"a b c a b d")), ("b", words_of(b"b c a b")), ("c", words_of(b"c"))]
+    automaton = Automaton(items, window=3)
+    runs = {tuple(w[i:j]) for _, w in items for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    stream = words_of(b"a b c a b c a b d d a b")
+    state = matched = 0
+    for i, w in enumerate(stream):
+        state, matched = automaton.step(state, matched, automaton.vocabulary[w])
+        longest = max((n for n in range(1, i + 2) if tuple(stream[i + 1 - n : i + 1]) in runs), default=0)
+        assert matched == longest
+
+
+def brute_hits(text, items, window):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    hit, names = [False] * len(words), set()
+    for name, item in items:
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), item or ""))
+        n = min(window, len(w))
+        for p in range(len(w) - n + 1 if w else 0):
+            for q in range(len(words) - n + 1):
+                if words[q : q + n] == w[p : p + n]:
+                    hit[q : q + n] = [True] * n
+                    if name is not None:
+                        names.add(str(name))
+    return len(words), sum(hit), sorted(names)
+
+
+@pytest.mark.parametrize("block_words", [200_000, 20])
+def test_decontaminate_matches_brute_force(spark, docs, block_words):
+    items = [(1, PASSAGE), (2, "Two, WORDS!"), (3, PASSAGE[:80]), (None, "null id here"), (5, None), (6, ""), (1, PASSAGE), (7, "日本語")]
+    found = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    assert found.columns[0] == "doc_id"
+    given = {(r["doc_id"], r["text"]) for r in rows_of(docs)}
+    expected = {i: brute_hits(t, items, 13) for i, t in given}
+    got = rows_of(found)
+    assert len(got) == docs.count()
+    for r in got:
+        n, hit, names = expected[r["doc_id"]]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["item_ids"]) == (n, hit, len(names), names)
+        assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
+        if r["contaminated"]:
+            assert len(words_of(r["clean_text"].encode())) == n - hit
+
+
+def test_decontaminate_empty_tables(spark, docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {r["n_hit"] for r in rows_of(decontaminate(docs, none))} == {0}
+    assert decontaminate(no_docs(docs), none).count() == 0
+
+
+def brute_windows(given, window):
+    split = [(i, re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in given]
+    counts = Counter(tuple(w[p : p + window]) for _, w in split for p in range(len(w) - window + 1))
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1):
+            if counts[tuple(w[p : p + window])] > 1:
+                gone[p : p + window] = [True] * window
+        out.append((str(i), len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window", [35, 5])
+def test_substrings_match_brute_force(docs, window):
+    given = [(r["doc_id"], r["text"]) for r in rows_of(docs)]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(dedup_substrings(docs, window=window)))
+    assert got == brute_windows(given, window)
+
+
+def test_substrings_keep_layout_and_empty(docs):
+    for r in rows_of(dedup_substrings(docs, rejoin=False, carry=["text"]).filter("n_removed = 0")):
+        assert r["kept_text"] == (r["text"] or "")
+    assert dedup_substrings(no_docs(docs)).count() == 0
+
+
+def brute_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), seed=42) for p in parts]
+    return sum(1 << b for b in range(64) if hashes and 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_match_brute_force():
+    for t in texts():
+        assert fingerprint(t.encode() if t is not None else None) == brute_fingerprint(t)
+
+
+def test_near_duplicates_match_brute_force(spark, docs):
+    base = prose(400).split()
+    more = [(1000 + i, " ".join(w if k != 7 * i else "changed" for k, w in enumerate(base)), *["x"] * 4, 0) for i in range(40)]
+    every = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    given = [(r["doc_id"], brute_fingerprint(r["text"])) for r in rows_of(every)]
+    parent = list(range(len(given)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(given)):
+        for j in range(i):
+            if (given[i][1] ^ given[j][1]).bit_count() <= 2:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (doc, _) in enumerate(given):
+        groups.setdefault(find(i), []).append(doc)
+    expected = sorted((str(doc), str(min((d for d in groups[find(i)] if d is not None), default=None))) for i, (doc, _) in enumerate(given))
+    got = rows_of(near_duplicates(every))
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == expected
+    assert sum(r["keeper"] for r in got) == len(groups)
+    assert near_duplicates(no_docs(docs)).count() == 0
+
+
+def test_tokens_agree_with_the_library():
+    model = tokenizer(tokenizer_path())
+    plain = [chr(i) for i in range(0x250)] + list("‐–—‘’“”… \t\n")
+    odd = ["".join(random.choices(plain + list("aeiounrst  ''.,") * 30, k=random.randint(1, 80))) for _ in range(500)]
+    cases = [t for t in texts() if t] + odd + ["it's WE'LL 's't <|endoftext|> x", "½ ² İstanbul ΑΣ Σ", "a" * 300]
+    for t, ids in zip(cases, model.encode([t.encode() for t in cases]), strict=True):
+        assert ids.tolist() == model.library.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces():
+    assert pieces_of(1, 8) == [(0, 1)]
+    assert pieces_of(21, 8) == [(0, 8), (8, 8), (16, 4), (20, 1)]
+
+
+def test_packing_round_trip(docs):
+    model = tokenizer(tokenizer_path())
+    got = rows_of(pack(docs, tokenizer_path(), most=64, carry=["text"]))
+    assert len({r["sequence_id"] for r in got}) == len(got)
+    by_text = {}
+    for r in got:
+        assert r["length"] == len(r["ids"]) and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 64 and r["sequence_offset"] == 0
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        by_text.setdefault((r["doc_id"], r["text"]), {}).setdefault(r["start"], []).append(r)
+    assert len(by_text) == docs.select("doc_id", "text").distinct().count()
+    for (_, text), pieces in by_text.items():
+        ids = [x for start in sorted(pieces) for x in pieces[start][0]["ids"]]
+        assert ids == [*model.library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert {r["doc_tokens"] for p in pieces.values() for r in p} == {len(ids)}
+    assert pack(no_docs(docs), tokenizer_path()).count() == 0
+
+
+def test_language_vectors_match_brute_force(spark):
+    letters = langid._letters(np.arange(200, dtype=np.uint64), 256)
+    assert set(np.unique(letters)) == {-1, 1} and abs(letters.mean()) < 0.05
+    text = "Abc, déf 12 ab"
+    keys, table, has = langid.counts([text.encode(), b"", b"12 !"], 3)
+    assert has.tolist() == [True, False, False]
+    symbols = " abc déf ab "
+    expected = Counter(symbols[i : i + 3] for i in range(len(symbols) - 2))
+    assert table[0].sum() == sum(expected.values()) and len(expected) == (table[0] > 0).sum()
+    one = langid.Grams(3, 256)
+    whole = one.bundled(table, keys)[0]
+    brute = sum(n * np.roll(langid._letters(np.array([ord(g[0])]), 256)[0], 0) * np.roll(langid._letters(np.array([ord(g[1])]), 256)[0], 1) * np.roll(langid._letters(np.array([ord(g[2])]), 256)[0], 2) for g, n in expected.items())
+    assert np.allclose(whole, brute)
+
+
+def test_language_id(spark, docs):
+    sample = {"xx": "abra cadabra abacus", "yy": "tolo molo polo voto", "zz": "shkr vrtk pltz"}
+    rows = [(i, " ".join(random.choices(sample[lang].split(), k=8)), lang) for i, lang in enumerate(list(sample) * 40)]
+    d = spark.createDataFrame([*rows, (500, None, "xx"), (501, "12 ...", None), (502, "abra", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in rows_of(langid.identify(d, langid.learn(d, ~held_out(d.doc_id))))}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
+    assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und" and got[502]["lang_pred"] == "xx"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in rows_of(langid.identify(docs, {}))} == {"und"}
+    assert langid.learn(d.limit(0), F.lit(True)) == {} and langid.identify(no_docs(docs), {}).count() == 0
+
+
+def test_toxicity_learns_from_labels(spark):
+    vocabulary = [f"w{a}" for a in "abcdefghij"] + ["clean", "plain"]
+    rows = []
+    for i in range(400):
+        bad = i % 5 == 0
+        words = random.choices(vocabulary, k=40) + random.choices(["villain", "villainous", "rotter"], k=6) * bad
+        rows.append((i, " ".join(random.sample(words, len(words))), int(bad)))
+    d = spark.createDataFrame([*rows, (900, None, None), (901, "", 0)], "doc_id long, text string, toxic int")
+    model = toxicity.learn(d.select("doc_id", "text"), d.select("doc_id", "toxic"), ~held_out(F.col("doc_id")))
+    got = {r["doc_id"]: r for r in rows_of(toxicity.classify(d.select("doc_id", "text"), model))}
+    assert all(got[i]["predicted"] == bad for i, _, bad in rows)
+    assert got[900]["predicted"] == got[901]["predicted"] == 0 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert toxicity.learn(d, d.filter("toxic = 0").select("doc_id", "toxic"), F.lit(True)) is None
+    assert {r["score"] for r in rows_of(toxicity.classify(d, None))} == {0.0}
+
+
+def test_label_model_discounts_correlated_voters():
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.3
+    good = (rng.random(4000) < np.where(y, 0.9, 0.05)).astype(float)
+    free = (rng.random(4000) < np.where(y, 0.8, 0.1)).astype(float)
+    hits = np.column_stack((good, good, good, free, 1 - np.maximum(good, free)))
+    post, toxic_rate, clean_rate, share = toxicity.label_model(hits, 0.3)
+    assert ((post > 0.5) == y).mean() > 0.85 and toxic_rate[3] > clean_rate[3]
+    assert share[0] < 0.5 < share[3]
+
+
+def test_licence_scan(spark):
+    notice = dict(licenses.TEMPLATES)
+    files = [
+        (1, "/a/LICENSE", "Released under the MIT License."),
+        (2, "/a/b/c/x.py", "code\n more code"),
+        (3, "/a/b/y.py", "import x\n# Licensed under the Apache License, Version 2.0.\ncode"),
+        (4, "/z/q.py", None),
+        (5, None, "nothing"),
+        (6, "/a/b/d/COPYING.txt", notice["GPL-3.0"]),
+        (7, "/a/b/d/e/w.py", ""),
+        (8, "LICENSE", "no licence at all"),
+        (2, "/a/b/c/x.py", "code\n more code"),
+    ]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("license", F.lit("clash"))
+    got = {r["doc_id"]: (r["license"], r["origin"], r["from_dir"]) for r in rows_of(licenses.scan(df, id_col="doc_id", path_col="path", text_col="text"))}
+    assert got == {1: ("MIT", "file", None), 2: ("MIT", "inherited", "/a"), 3: ("Apache-2.0", "header", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("GPL-3.0", "file", None), 7: ("GPL-3.0", "inherited", "/a/b/d"), 8: (None, "none", None)}
+    assert licenses.scan(df.limit(0), id_col="doc_id", path_col="path", text_col="text").count() == 0
+
+
+def test_ball_tree_skips_and_is_exact():
+    rng = np.random.default_rng(1)
+    vectors = np.concatenate([rng.integers(-40, 40, (10, 3)).repeat(200, axis=0) * 5 + rng.integers(-3, 3, (2000, 3)), np.zeros((500, 3), int)])
+    ids = rng.permutation(2500)
+    tree = BallTree(ids, vectors)
+    least = 2500
+    for q in range(30):
+        query = vectors[q * 50]
+        order = sorted((-int(s), int(i)) for s, i in zip(vectors @ query, ids, strict=True) if i != ids[q * 50])[:5]
+        found, scored = tree.search(int(ids[q * 50]), query, 5, None)
+        assert sorted((-s, i) for s, i in found) == order
+        least = min(least, scored)
+    assert least < 1250
+
+
+def test_top_k_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    vectors += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 360)]
+    vectors += [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan"), 0.0, 0.0, 0.0]), (403, [float("inf"), 0.0, 0.0, 0.0]), (450, [1.0, 2.0]), (451, [3.0, 1.0]), (None, [0.1] * 4), (300, [0.5, 0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    good = {i: np.floor(np.array(v) * 256).astype(int) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    expected = set()
+    for q in (i for i in good if i % 50 == 0):
+        order = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
+        expected |= {(q, r, i, -s) for r, (s, i) in enumerate(order, 1)}
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(top_k(df, F.col("vec_id") % 50 == 0, shard_rows=64, block_queries=3))}
+    assert got == expected
+    assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_html_blocks():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
+    <header>Top</header><nav><ul><li><a href="/">Menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
+    <div class="content post-12"><h1>Head &amp; line</h1><p>First <b>bold</b>
+      text<p>Second &eacute;&#33; <a href=x>link</a><br>more<!-- no --><div class="ad">Buy</div><aside>Side</aside><ul><li>One<li>Two</ul>
+      <form><input value=1>Name</form><p style="display: none">hidden</p><table><tr><td>a<td>b</table></div>
+    <section id="comments"><p>Great post, I like it very much indeed, thank you all</p></section><footer>&copy; X</footer>"""
+    blocks, boxes = parse(page)
+    best = max(boxes, key=score)
+    assert blocks[best.start : best.end] == ["Head & line", "First bold text", "Second é! link more", "One", "Two", "a", "b"]
+    assert best.path.endswith("div.content.post-")
+
+
+def test_html_consensus(spark):
+    body = "<div class='main c%d'><p>%s</p></div><div class='side'><p>%s</p></div>"
+    pages = [(i, f"http://h.example/{i}", body % (i, prose(40), prose(10))) for i in range(12)]
+    short, long = prose(3), prose(90)
+    pages += [(50, "http://h.example/50", body % (50, short, long)), (51, None, None), (52, "x", ""), (53, "http://other.example/", "<p>loose &lt;text"), (0, *pages[0][1:])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: r for r in rows_of(extract(df))}
+    assert got[50]["text"] == short, "the host's path wins over the page's own longest container"
+    assert got[51]["text"] == got[52]["text"] == "" and got[53]["text"] == "loose <text" and got[53]["n_chars"] == 11
+    assert extract(df).count() == len(pages) and extract(df.limit(0)).count() == 0
+
+
+def test_differencing_balances():
+    sizes = [random.randint(1, 1000) for _ in range(300)]
+    parts = difference(sizes, 8)
+    sums = [sum(s for s, p in zip(sizes, parts, strict=True) if p == k) for k in range(8)]
+    assert max(sums) - min(sums) <= 3
+    giant = difference([10_000, *[10] * 70], 8)
+    assert sum(p == giant[0] for p in giant) == 1
+    assert difference([], 3) == [] and set(difference([5, 5, 5], 3)) == {0, 1, 2}
+
+
+def test_sharding(spark, docs):
+    got = rows_of(shard(docs, carry=["score"]))
+    assert len(got) == docs.count()
+    assert len({(r["text"] or "") for r in got}) == len({((r["text"] or ""), r["shard"]) for r in got}), "equal texts stay together"
+    for k in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    for r in got:
+        raw = (r["text"] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+    assert shard(no_docs(docs)).count() == 0
