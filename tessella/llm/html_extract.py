@@ -15,8 +15,8 @@ and styles never enter a container's text, by tag or by class and id words.
 Scale: pages are parsed once; their blocks and candidate containers are
 written to the shared folder, so both passes read the result of one parse.
 Votes are summed before the shuffle, one row for each host, path and task. The
-winners, a row for each host, meet the pages in an equi-join that AQE splits
-for a hot host.
+winners, a row for each host, are a table of known size: Spark broadcasts it up
+to its threshold, and beyond joins by sorting, where AQE splits a hot host.
 """
 
 from __future__ import annotations
@@ -232,7 +232,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     ballots = parsed.select("_host", F.explode("_paths").alias("c")).filter("c.score > 0")
     votes = ballots.groupBy("_host", F.col("c.path").alias("_path")).agg(F.sum(F.floor(F.sqrt("c.score") * 1000).cast("long")).alias("_votes"))
     order = Window.partitionBy("_host").orderBy(F.desc("_votes"), "_path")
-    winners = votes.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select(F.col("_host").alias("_of"), F.col("_path").alias("_winner"))
+    # A table of its own, so that its size is known: below Spark's broadcast threshold the pages aren't shuffled at all.
+    winners = materialise(votes.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select(F.col("_host").alias("_of"), F.col("_path").alias("_winner")))
     joined = parsed.join(winners, parsed["_host"] == winners["_of"], "left")
     on_path = F.element_at(F.filter("_paths", lambda c: c["path"] == F.col("_winner")), 1)
     best = F.element_at(F.array_sort("_paths", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["path"] < b["path"], -1).otherwise(1)), 1)
