@@ -12,9 +12,10 @@ def set_pairs(sets: DataFrame, by: str, doc: str, items: str) -> DataFrame:
     """Pairs of documents of one group that share an item: sizes, shared items, Jaccard, containment.
 
     Items are exploded and joined on (group, item); sizes ride along, so the
-    pair counts come from one shuffle of the matches.
+    pair counts come from one shuffle of the matches. Explodes are outer, since
+    an inner one is planned with a filter that makes the items a second time.
     """
-    long = sets.select(by, doc, F.size(items).alias("n"), F.explode(items).alias("item"))
+    long = sets.select(by, doc, F.size(items).alias("n"), F.explode_outer(items).alias("item")).filter("item IS NOT NULL")
     a = long.select(by, "item", F.col(doc).alias("a"), F.col("n").alias("n_a"))
     b = long.select(by, "item", F.col(doc).alias("b"), F.col("n").alias("n_b"))
     shared = a.join(b, [by, "item"]).filter("a < b").groupBy(by, "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
@@ -28,7 +29,7 @@ def near_duplicate(jaccard: Column, containment: Column, n_a: Column, n_b: Colum
 
 def leaks(docs: DataFrame, refs: DataFrame, doc: str, ref: str, grams: str) -> DataFrame:
     """(doc, ref, shared, share, first): n-grams of a reference that occur in a document, their share of the reference's, the first by place."""
-    d = docs.select(doc, F.explode(F.array_distinct(grams)).alias("gram"))
+    d = docs.select(doc, F.explode_outer(F.array_distinct(grams)).alias("gram"))
     r = refs.select(ref, F.size(F.array_distinct(grams)).alias("of"), F.posexplode(grams).alias("pos", "gram")).groupBy(ref, "of", "gram").agg(F.min("pos").alias("pos"))
     return d.join(r, "gram").groupBy(doc, ref).agg(F.count("*").alias("shared"), (F.count("*") / F.max("of")).alias("share"), F.min_by("gram", "pos").alias("first"))
 
