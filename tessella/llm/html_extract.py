@@ -48,6 +48,8 @@ NOISE = frozenset(
     "comment comments disqus replies respond cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "widget toolbar pagination pager skip copyright legal disclaimer alert outbrain taboola form search".split()
 )
+#: Of these words, those that make an article element noise too: comments and teasers come as articles.
+NOISE_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related recommended replies sponsor".split())
 #: Elements whose start ends an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where implied ends stop looking.
@@ -60,15 +62,15 @@ _WORDS = re.compile(r"[a-z]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """The generalised class part of a path step, and whether the element is noise."""
+def _attributes(raw: str, words: frozenset[str]) -> tuple[str, bool]:
+    """The generalised class part of a path step, and whether the element is noise by one of the words, its role or its style."""
     classes, noise = "", False
     for name, *values in _NAMES.findall(raw):
         name, value = name.lower(), html.unescape("".join(values)).lower()
         if name in ("class", "id"):
             if name == "class":
                 classes = ".".join(sorted({re.sub(r"\d+", "", x) for x in value.split()} - {""}))
-            noise = noise or any(not NOISE.isdisjoint(_WORDS.findall(x)) for x in value.split())
+            noise = noise or any(not words.isdisjoint(_WORDS.findall(x)) for x in value.split())
         elif name == "role":
             noise = noise or value in _ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
@@ -164,9 +166,9 @@ def parse(page: str) -> tuple[list[str], list[Container]]:
             at = close.end() if close else end
             continue
         _, path, own, link, skipped = stack[-1]
-        classes, noise = _attributes(m[3]) if m[3] else ("", False)
+        classes, noise = _attributes(m[3], NOISE_ARTICLE if name == "article" else NOISE) if m[3] else ("", False)
         step = f"{path}>{name}.{classes}" if classes else f"{path}>{name}"
-        skipped = skipped or noise and name not in ("html", "body", "article", "main") or name in SKIPPED
+        skipped = skipped or noise and name not in ("html", "body", "main") or name in SKIPPED
         if name in CONTAINER and not skipped:
             flush()
             own = Container(step, len(blocks))

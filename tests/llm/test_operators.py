@@ -314,6 +314,12 @@ def test_html_blocks():
     assert best.path.endswith("div.content.post-")
 
 
+def test_html_articles():
+    page = "<main class='page-header'><article class='post share-on'><p>Kept text of the post</article><article class='comment'><p>Nice post</article></main>"
+    blocks, _ = parse(page)
+    assert blocks == ["Kept text of the post"]
+
+
 def test_html_consensus(spark):
     body = "<div class='main c%d'><p>%s</p></div><div class='side'><p>%s</p></div>"
     pages = [(i, f"http://h.example/{i}", body % (i, prose(40), prose(10))) for i in range(12)]
