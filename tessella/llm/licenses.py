@@ -60,9 +60,13 @@ def _table(df: DataFrame, rows: Sequence[Sequence], *names: str) -> DataFrame:
 
 
 def _anchors(weights: dict[str, float], threshold: float) -> set[str]:
-    """The heaviest terms of a unit vector; the others alone cannot reach the threshold."""
+    """Terms of a unit vector without which the others cannot reach the threshold.
+
+    Long terms come first, heaviest first: they tell more texts apart than
+    short ones of the same weight.
+    """
     left, found = 1.0, set()
-    for term in sorted(weights, key=lambda t: (-weights[t], t)):
+    for term in sorted(weights, key=lambda t: (len(t) < 4, -weights[t], t)):
         if left < (threshold - 1e-6) ** 2:
             break
         found.add(term)
@@ -75,7 +79,7 @@ def weigh(files: DataFrame, text_col: str, templates: Sequence[tuple[str, str]])
     counts = [Counter(re.findall(_TERM, t.lower())) for _, t in templates]
     vocabulary = sorted(set().union(*counts))
     present = F.array_intersect(terms(files[text_col].cast("string")), F.array(*map(F.lit, vocabulary)))
-    df = {r["term"]: r["n"] for r in files.select(F.explode(present).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    df = {r["term"]: r["n"] for r in files.select(F.explode_outer(present).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     n = files.count()
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
     vectors = []
@@ -106,8 +110,12 @@ def scan(
     base = files.select(files[id_col].alias("_id"), files[path_col].cast("string").alias("_path"), files[text_col].cast("string").alias("_text"))
     idf, other, vectors = weigh(base, "_text", templates)
     anchors = sorted(set().union(*[_anchors(v, threshold) for v in vectors]))
-    low = F.lower("_text")
-    may = base.filter(reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in anchors])).select("_id", "_text")
+    # The array of one binds the lower-case text, so that it is made once and not once an anchor.
+    short = "|".join(a for a in anchors if len(a) < 4)
+    tests = [lambda low, a=a: F.contains(low, F.lit(a)) for a in anchors if len(a) >= 4]
+    tests += [lambda low: low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else []
+    any_of = lambda low: reduce(lambda a, b: a | b, [t(low) for t in tests])
+    may = base.filter(F.exists(F.array(F.lower("_text")), any_of)).select("_id", "_text")
     lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
     units = may.select("_id", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("no"), F.col("_text").alias("line"))), lines)).alias("u"))
     cut = units.select("_id", F.col("u.no").alias("_no"), terms(F.col("u.line")).alias("_terms"))
