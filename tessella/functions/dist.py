@@ -69,3 +69,17 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     centre = (p + zz / (2 * n)) / (1 + zz / n)
     half = z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.when(n > 0, F.struct((centre - half).alias("low"), (centre + half).alias("high")))
+
+
+def hypothetical_weights(d: Column, answers: tuple[int, ...] = (1, 3, 5)) -> Column:
+    """The masses of some answers, renormalised; equal weights where they have none or the distribution is null."""
+    keys = F.array(*map(F.lit, answers))
+    mass = F.transform(keys, lambda k: F.coalesce(F.try_element_at(d, k), F.lit(0.0)))
+    whole = total(mass)
+    even = F.transform(keys, lambda k: F.lit(1.0 / len(answers)))
+    return F.map_from_arrays(keys, F.when(whole > 0, F.transform(mass, lambda m: m / whole)).otherwise(even))
+
+
+def expected_shift(shifts: Column, weights: Column) -> Column:
+    """The mean of an answer's shift over the answers' weights; an answer without a shift moves nothing."""
+    return total(F.transform(F.map_entries(weights), lambda e: e["value"] * F.coalesce(F.try_element_at(shifts, e["key"]), F.lit(0.0))))

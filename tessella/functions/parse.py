@@ -72,3 +72,26 @@ def failure_kind(x: Column) -> Column:
 
 
 PARSERS = {"v0": strict_digit, "v1": last_digit}
+
+
+def widened_options(x: Column, options: int = 4) -> Column:
+    """The whole text's distribution, else that of the last stretch, from a first label on, that parses."""
+    parts = F.split(x, r"(?=\bA\s*[:=]\s*\d*\.?\d+)")
+    stretches = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, 1 << 20), ""))
+    parsed = F.filter(F.transform(stretches, lambda s: option_distribution(s, options)), lambda d: d.isNotNull())
+    return F.coalesce(option_distribution(x, options), F.try_element_at(parsed, F.lit(-1)))
+
+
+def many_distributions(x: Column, codes: list[str], low: int = 1, high: int = 7) -> Column:
+    """map<code, map<int,double>> of lines 'CODE: key:mass ...' in any order: every code once and well-formed, or null.
+
+    Bullets, numbering and emphasis in front are passed over, as are lines
+    without any pair.
+    """
+    names = "|".join(sorted((c.upper() for c in codes), key=lambda c: (-len(c), c)))
+    bare = F.transform(F.split(x, r"\R"), lambda s: F.regexp_replace(F.regexp_replace(s, r"[*`_]", ""), r"^[\s\-–—•+>#]*(?:\d+[.)]\s*)?", ""))
+    heads = F.filter(bare, lambda s: F.upper(s).rlike(rf"^(?:{names})(?!\d)") & F.regexp_replace(F.upper(s), rf"^(?:{names})(?!\d)\W*", "").rlike(r"\d+\s*:\s*-?\d*\.?\d+"))
+    found = F.transform(heads, lambda s: F.regexp_extract(F.upper(s), rf"^({names})(?!\d)", 1))
+    masses = F.transform(heads, lambda s: scale_distribution(F.regexp_replace(F.upper(s), rf"^(?:{names})(?!\d)[\s:\-–—=)|.]*", ""), low, high))
+    good = (F.array_sort(found) == F.array(*[F.lit(c) for c in sorted(c.upper() for c in codes)])) & ~F.exists(masses, lambda d: d.isNull())
+    return F.when(good, F.map_from_arrays(found, masses))

@@ -181,3 +181,25 @@ def question_type(x: Column, cues: dict[str, list[str]]) -> Column:
     for kind, n in counted.items():
         out = out.when(n == best, kind)
     return out
+
+
+def truncate_answer(x: Column, most: int = 400, target: int = 300) -> Column:
+    """Struct of text and whether it was cut. A text of more than ``most`` words ends at the sentence end nearest ``target`` words.
+
+    If that end would cut nothing or still leave too many words, or there is
+    none, the first ``target`` words are kept.
+    """
+    ends = r"[.!?]+[\"')\]”’]*"
+    t = F.trim(F.coalesce(x, F.lit("")))
+
+    def cut(text: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(rf"(?s).+?{ends}(?=\s|$)|.+$"), F.lit(0))
+        sums = F.aggregate(parts, F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + word_count(p))))
+        gaps = F.transform(sums, lambda n, i: F.when(F.get(parts, i).rlike(rf"{ends}$"), F.abs(n - target)))
+        at = F.array_position(gaps, F.array_min(gaps)).cast("int")
+        kept = F.get(sums, at - 1)
+        head = F.trim(F.array_join(F.slice(parts, F.lit(1), at), ""))
+        return F.when((kept < word_count(text)) & (kept <= most), head).otherwise(F.array_join(F.slice(words(text), 1, target), " "))
+
+    long = word_count(t) > most
+    return F.struct(F.when(long, let(t, cut)).otherwise(t).alias("text"), long.alias("truncated"))

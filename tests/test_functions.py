@@ -117,3 +117,37 @@ def test_distances(value):
     assert value(dist.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
     assert [value(dist.round_half_up(F.lit(x))) for x in (0.2, 2.5, 7.9)] == [1, 3, 7]
     assert value(dist.margin(F.array(*map(F.lit, (0.1, 0.6, 0.3))), F.lit(2))) == pytest.approx(-0.3)
+
+
+def test_truncation(value):
+    cut = lambda t: tuple(value(tx.truncate_answer(F.lit(t), most=8, target=5)))
+    assert cut("one two three.") == ("one two three.", False)
+    assert cut("a b c d. e f g! h i j k.") == ("a b c d.", True)
+    assert cut("a b c d e f g h i j") == ("a b c d e", True)
+    assert cut("a b c d e f g h i. j") == ("a b c d e", True)
+    assert cut('x. a "b c d." e f g h i j') == ('x. a "b c d."', True)
+
+
+def test_widened_options(value):
+    wide = lambda t: value(parse.widened_options(F.lit(t)))
+    good = "A: 0.7 B: 0.1 C: 0.1 D: 0.1"
+    assert wide(good) == pytest.approx([0.7, 0.1, 0.1, 0.1])
+    assert wide("A: 0.1 B: 0.1 so rather " + good) == pytest.approx([0.7, 0.1, 0.1, 0.1])
+    assert wide("B: 0.2 A: 0.1 C: 0.6 D: 0.1") == pytest.approx([0.1, 0.2, 0.6, 0.1])
+    assert wide("no idea") is None
+
+
+def test_many_distributions(value):
+    line = "1:1 2:0 3:0 4:0 5:0 6:0 7:0"
+    many = lambda t: value(parse.many_distributions(F.lit(t), ["T1", "T10"]))
+    got = many(f"T1 and T10 are below\n- **T10**: {line}\n2. T1 - 1:0 2:2 3:0 4:0 5:0 6:0 7:2\n")
+    assert got["T10"][1] == 1.0 and got["T1"][2] == 0.5
+    assert many(f"T1: {line}") is None and many(f"T1: {line}\nT10: {line}\nT1: {line}") is None and many(f"T1: {line}\nT10: 1:1 2:0") is None
+
+
+def test_information_gain(value):
+    d = F.create_map(*[F.lit(x) for x in (1, 0.2, 2, 0.2, 3, 0.6)])
+    weights = dist.hypothetical_weights(d)
+    assert value(weights) == pytest.approx({1: 0.25, 3: 0.75, 5: 0.0})
+    assert value(dist.hypothetical_weights(F.lit(None).cast("map<int,double>"))) == pytest.approx({1: 1 / 3, 3: 1 / 3, 5: 1 / 3})
+    assert value(dist.expected_shift(F.create_map(F.lit(1), F.lit(0.4), F.lit(3), F.lit(0.2)), weights)) == pytest.approx(0.25)
