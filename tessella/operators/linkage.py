@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.runtime import materialise
+
 JACCARD, CONTAINMENT, LEAST = 0.60, 0.80, 50
 
 
@@ -22,6 +24,47 @@ def set_pairs(sets: DataFrame, by: str, doc: str, items: str) -> DataFrame:
     return shared.withColumns({"jaccard": F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), "containment": F.col("shared") / F.least("n_a", "n_b")})
 
 
+#: So many shared items a candidate pair must show in its prefixes; more make prefixes longer and candidates fewer.
+PROOFS = 8
+
+
+def similar_pairs(sets: DataFrame, by: str, doc: str, items: str, least: float) -> DataFrame:
+    """All pairs of documents of one group whose Jaccard reaches the least (above 0): shared items, Jaccard.
+
+    Exact at any set size. Documents with equal sets are compared once and
+    paired afterwards. Items are ordered from rare to common. A pair that
+    reaches the least shares ``need`` items, so the first PROOFS of them (all,
+    if it needs fewer) are among the first n - need + PROOFS items of both;
+    only pairs with so many matches there are compared as sets. Empty and null
+    sets pair with nothing.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    full = sets.select(by, doc, F.array_sort(F.array_distinct(items)).alias("s")).filter(F.size("s") > 0)
+    full = materialise(full.withColumn("h", F.sha2(F.to_json(F.struct("s")), 256)))
+    one = full.groupBy(by, "h").agg(F.min(doc).alias("k"), F.first("s").alias("s"))
+    one = materialise(one.select(by, "h", "k", "s", F.size("s").alias("n")))
+    long = one.select(by, "k", "n", F.explode_outer("s").alias("item"))
+    common = long.groupBy(by, "item").agg(F.count("*").alias("df")).filter("df > 1")
+    # Items of one document alone come first and match nothing: they only count.
+    shared = long.join(common, [by, "item"]).groupBy(by, "k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
+    ranked = shared.select(by, "k", "n", F.posexplode_outer("o").alias("at", "e"), (F.col("n") - F.size("o")).alias("alone"))
+    # The lenient 1e-9 keeps rounding from losing a pair; the last filter is exact.
+    ranked = ranked.select(by, F.col("e.item").alias("item"), "k", "n", (F.col("at") + F.col("alone")).alias("at")).filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + PROOFS)
+    a, b = (ranked.select(by, "item", F.col("k").alias(f"k_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    early = (F.col("at_a") < F.col("n_a") - need + PROOFS) & (F.col("at_b") < F.col("n_b") - need + PROOFS)
+    met = a.join(b, [by, "item"]).filter((F.col("k_a") < F.col("k_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9) & early)
+    near = met.groupBy(by, "k_a", "k_b", "n_a", "n_b").agg(F.count("*").alias("proofs")).filter(F.col("proofs") >= F.least(need, F.lit(PROOFS)))
+    of_a, of_b = (one.select(by, F.col("k").alias(f"k_{x}"), F.col("h").alias(f"h_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    sized = near.join(of_a, [by, "k_a"]).join(of_b, [by, "k_b"]).withColumn("shared", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
+    other = sized.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).filter(F.col("jaccard") >= least)
+    links = other.select(by, "h_a", "h_b", "shared", "jaccard").unionByName(one.select(by, F.col("h").alias("h_a"), F.col("h").alias("h_b"), F.col("n").cast("long").alias("shared"), F.lit(1.0).alias("jaccard")))
+    x, y = full.select(by, F.col("h").alias("h_a"), F.col(doc).alias("x")), full.select(by, F.col("h").alias("h_b"), F.col(doc).alias("y"))
+    pairs = links.join(x, [by, "h_a"]).join(y, [by, "h_b"]).filter((F.col("h_a") != F.col("h_b")) | (F.col("x") < F.col("y")))
+    return pairs.select(by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "jaccard")
+
+
 def near_duplicate(jaccard: Column, containment: Column, n_a: Column, n_b: Column) -> Column:
     """High Jaccard, or high containment of a set that is large enough."""
     return (jaccard >= JACCARD) | ((containment >= CONTAINMENT) & (F.least(n_a, n_b) >= LEAST))

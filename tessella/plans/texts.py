@@ -37,11 +37,21 @@ WITH s AS (SELECT doc_id, source, {_SET} AS w FROM documents WHERE doc_id % 7 =
      p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT source, a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM p WHERE shared / (n_a + n_b - shared) >= 0.3""".replace(" WHERE doc_id % 7 = 0 OR true", ""))
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar short texts of one source, by word set."""
+    """Similar short texts of one source, by word set: its SQL holds texts of up to 60 distinct words only; jaccard_pairs_all takes all."""
     s = table(spark, sf_dir, "documents").select("source", "doc_id", tx.word_set(F.col("text")).alias("w")).filter(F.size("w") <= 60)
     return linkage.set_pairs(s, "source", "doc_id", "w").filter("jaccard >= 0.3").select("source", "a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"""
+WITH s AS (SELECT doc_id, source, {_SET} AS w FROM documents), l AS (SELECT source, doc_id, len(w) AS n, unnest(w) AS x FROM s),
+     p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT source, a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM p WHERE shared / (n_a + n_b - shared) >= 0.3""")
+def jaccard_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar texts of one source, by word set, whatever their length."""
+    s = table(spark, sf_dir, "documents").select("source", "doc_id", tx.word_set(F.col("text")).alias("w"))
+    return linkage.similar_pairs(s, "source", "doc_id", "w", 0.3).withColumn("jaccard", F.round("jaccard", 6))
+
+
 _SHINGLES = f"list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' ')))"
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import text as tx
 from tessella.operators import adaptive, filters, linkage, models, pairing, rank, sampling, seq, sessions, split, stats
 from tessella.operators.components import components
 
@@ -127,6 +128,35 @@ def test_set_pairs(spark):
     assert rows(linkage.set_pairs(d, "g", "id", "s"), "a", "b", "shared", "jaccard") == [(1, 2, 2, 0.4)]
 
 
+@pytest.mark.parametrize("least", [0.1, 0.3, 0.5, 1.0])
+def test_similar_pairs_match_brute_force(spark, least):
+    draw = random.Random(5)
+    data = []
+    for i in range(160):
+        base = draw.choice(data)[2] if data and draw.random() < 0.6 else []
+        kept = [x for x in base if draw.random() < draw.choice([0.5, 0.9, 1.0])]
+        fresh = [f"w{int(400 * draw.random() ** 2)}" for _ in range(draw.choice([0, 2, 5, 40, 120]))]
+        data.append((draw.choice("gh"), i, list(dict.fromkeys(kept + fresh))))
+    data += [("g", 500 + i, ["a", "b"]) for i in range(4)] + [("g", 600, None), ("g", 601, []), ("g", 602, [])]
+    assert max(len(x[2] or []) for x in data) > 100
+    wanted = []
+    for g, a, x in data:
+        for h, b, y in data:
+            both = len({*(x or [])} & {*(y or [])})
+            if g == h and a < b and both and both / len({*x} | {*y}) >= least:
+                wanted.append((g, a, b, both, both / len({*x} | {*y})))
+    assert len(wanted) > 5
+    d = spark.createDataFrame(data, "g string, id long, s array<string>")
+    assert rows(linkage.similar_pairs(d, "g", "id", "s", least), "g", "a", "b", "shared", "jaccard") == sorted(wanted)
+
+
+def test_similar_pairs_of_long_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    d = spark.createDataFrame([(1, "s", " ".join(words)), (2, "s", " ".join(words[:150]))], "doc_id long, source string, text string")
+    s = d.select("source", "doc_id", tx.word_set(F.col("text")).alias("w"))
+    assert rows(linkage.similar_pairs(s, "source", "doc_id", "w", 0.3), "a", "b", "shared", "jaccard") == [(1, 2, 150, 0.75)]
+
+
 def test_chronological_split(spark):
     data = [("s", 1, "2000-01-01", 10), ("s", 2, "2001-01-01", 5), ("s", 3, "2001-01-01", 7)]
     c = spark.createDataFrame(data, "subject string, cluster int, date string, words long").withColumn("date", F.to_date("date"))
