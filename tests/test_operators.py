@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import plans
 from tessella.functions import text as tx
 from tessella.operators import adaptive, filters, linkage, models, pairing, rank, sampling, seq, sessions, split, stats
 from tessella.operators.components import components
@@ -157,6 +158,15 @@ def test_similar_pairs_of_long_texts(spark):
     assert rows(linkage.similar_pairs(s, "source", "doc_id", "w", 0.3), "a", "b", "shared", "jaccard") == [(1, 2, 150, 0.75)]
 
 
+def test_range_join_serves_every_part(spark, tmp_path):
+    draw = random.Random(3)
+    parts = [(i, draw.choice([1, 2]), draw.choice("xy"), round(draw.uniform(50, 150), 2)) for i in range(1, 80)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    wanted = [(i, j, round(abs(w - v), 4)) for i, s, t, v in parts for j, z, u, w in parts if i != j and (s, t) == (z, u) and v * 0.9 <= w <= v * 1.1]
+    assert len({x[0] for x in wanted}) > 70
+    assert rows(plans.QUERIES["range_join_ladder_all"](spark, str(tmp_path)), "target", "candidate", "gap") == sorted(wanted)
+
+
 def test_chronological_split(spark):
     data = [("s", 1, "2000-01-01", 10), ("s", 2, "2001-01-01", 5), ("s", 3, "2001-01-01", 7)]
     c = spark.createDataFrame(data, "subject string, cluster int, date string, words long").withColumn("date", F.to_date("date"))
