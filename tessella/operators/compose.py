@@ -54,7 +54,10 @@ _NEXT = {"Z": ("Z", "L"), "L": ("Z", "L", "H"), "H": ("L", "H")}
 
 
 def ladder(items: DataFrame, bank: DataFrame, need: int) -> DataFrame:
-    """For each item the candidates of the first rung that has enough distinct donors, best similarity first.
+    """For each item the candidates of the first rung that has enough distinct donors, or else of the last rung.
+
+    few_donors: the last rung too has fewer than ``need``. An item without any
+    candidate keeps one row whose candidate is null.
 
     items: item, subject, words, bucket; bank: cand, donor, words, bucket. The
     join is on (bucket, length band); every candidate gets its lowest rung, so
@@ -76,7 +79,11 @@ def ladder(items: DataFrame, bank: DataFrame, need: int) -> DataFrame:
     donors = c.groupBy("item", "donor").agg(F.min("rung").alias("rung"))
     counts = donors.groupBy("item").agg(*[F.count_if(F.col("rung") <= n).alias(f"r{n}") for n in range(1, len(LADDER) + 1)])
     first = F.coalesce(*[F.when(F.col(f"r{n}") >= need, n) for n in range(1, len(LADDER) + 1)])
-    return c.join(counts.select("item", first.alias("relax_rung")), "item").filter("rung <= relax_rung").select("item", "cand", "donor", "rung", "relax_rung", F.round(gap, 6).alias("gap"))
+    last = len(LADDER)
+    served = items.select("item").distinct().join(counts, "item", "left")
+    served = served.select(F.col("item").alias("_item"), F.coalesce(first, F.lit(last)).alias("relax_rung"), (F.coalesce(f"r{last}", F.lit(0)) < need).alias("few_donors"))
+    chosen = served.join(c, F.col("_item").eqNullSafe(F.col("item")) & (F.col("rung") <= F.col("relax_rung")), "left")
+    return chosen.select(F.col("_item").alias("item"), "cand", "donor", "rung", "relax_rung", F.round(gap, 6).alias("gap"), "few_donors")
 
 
 def evidence_score(counts: dict[str, Column]) -> Column:

@@ -42,7 +42,7 @@ def option_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 3
     bank = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand"), F.col("p_brand").alias("donor"), F.col("p_retailprice").alias("words"), F.when(k == 0, "Z").when(k == 1, "L").otherwise("H").alias("bucket"))
     items = bank.filter("cand % 20 = 0").select(F.col("cand").alias("item"), F.col("donor").alias("subject"), "words", "bucket")
-    return compose.ladder(items, bank, 20)
+    return compose.ladder(items, bank, 20).drop("few_donors")
 
 
 @query("""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella import plans
 from tessella.functions import text as tx
-from tessella.operators import adaptive, filters, linkage, models, pairing, rank, sampling, seq, sessions, split, stats
+from tessella.operators import adaptive, compose, filters, linkage, models, pairing, rank, sampling, seq, sessions, split, stats
 from tessella.operators.components import components
 
 
@@ -167,6 +167,16 @@ def test_range_join_serves_every_part(spark, tmp_path):
     assert rows(plans.QUERIES["range_join_ladder_all"](spark, str(tmp_path)), "target", "candidate", "gap") == sorted(wanted)
 
 
+def test_ladder_falls_back_to_the_last_rung(spark):
+    bank = spark.createDataFrame([(1, "a", 100, "L"), (2, "b", 100, "L"), (3, "b", 140, "H"), (4, "c", 125, "L"), (5, "d", 9000, "Z")], "cand long, donor string, words int, bucket string")
+    items = bank.select(F.col("cand").alias("item"), F.col("donor").alias("subject"), "words", "bucket").filter("item IN (1, 5)")
+    got = lambda need: rows(compose.ladder(items.filter("item = 1"), bank, need), "cand", "rung", "relax_rung", "few_donors")
+    assert got(1) == [(2, 1, 1, False)]
+    assert got(2) == [(2, 1, 2, False), (4, 2, 2, False)]
+    assert got(3) == [(2, 1, 4, True), (3, 4, 4, True), (4, 2, 4, True)]
+    assert rows(compose.ladder(items.filter("item = 5"), bank, 1), "item", "cand", "relax_rung", "few_donors") == [(5, None, 4, True)]
+
+
 def test_chronological_split(spark):
     data = [("s", 1, "2000-01-01", 10), ("s", 2, "2001-01-01", 5), ("s", 3, "2001-01-01", 7)]
     c = spark.createDataFrame(data, "subject string, cluster int, date string, words long").withColumn("date", F.to_date("date"))
