@@ -61,29 +61,33 @@ def ladder(items: DataFrame, bank: DataFrame, need: int) -> DataFrame:
 
     items: item, subject, words, bucket; bank: cand, donor, words, bucket. The
     join is on (bucket, length band); every candidate gets its lowest rung, so
-    one join serves all rungs.
+    one join counts the donors of all rungs. A second one finds the candidates,
+    so that no candidate is shuffled.
     """
     step = 1.5
     band = lambda w: F.floor(F.log(F.greatest(w, F.lit(1.0))) / F.log(F.lit(step))).cast("long")
-    widest = LADDER[-1][0]
+    widest, last = LADDER[-1][0], len(LADDER)
     near = F.create_map(*[x for b, ns in _NEXT.items() for x in (F.lit(b), F.array(*map(F.lit, ns)))])
-    it = items.select("item", "subject", F.col("words").cast("double").alias("w"), F.col("bucket").alias("own"))
-    it = it.withColumn("bucket", F.explode(F.element_at(near, F.col("own")))).withColumn("band", F.explode(F.sequence(band(F.col("w") * (1 - widest)), band(F.col("w") * (1 + widest)))))
     bk = bank.select("cand", "donor", F.col("words").cast("double").alias("cw"), "bucket", band(F.col("words").cast("double")).alias("band"))
     gap = F.abs(F.col("cw") - F.col("w")) / F.col("w")
     rung = F.lit(None).cast("int")
     for n, (tolerance, neighbours) in reversed(list(enumerate(LADDER, 1))):
         ok = gap <= tolerance if neighbours else (gap <= tolerance) & (F.col("bucket") == F.col("own"))
         rung = F.when(ok, n).otherwise(rung)
-    c = it.join(bk, ["bucket", "band"]).filter("donor <> subject").withColumn("rung", rung).filter("rung IS NOT NULL")
-    donors = c.groupBy("item", "donor").agg(F.min("rung").alias("rung"))
-    counts = donors.groupBy("item").agg(*[F.count_if(F.col("rung") <= n).alias(f"r{n}") for n in range(1, len(LADDER) + 1)])
-    first = F.coalesce(*[F.when(F.col(f"r{n}") >= need, n) for n in range(1, len(LADDER) + 1)])
-    last = len(LADDER)
-    served = items.select("item").distinct().join(counts, "item", "left")
-    served = served.select(F.col("item").alias("_item"), F.coalesce(first, F.lit(last)).alias("relax_rung"), (F.coalesce(f"r{last}", F.lit(0)) < need).alias("few_donors"))
-    chosen = served.join(c, F.col("_item").eqNullSafe(F.col("item")) & (F.col("rung") <= F.col("relax_rung")), "left")
-    return chosen.select(F.col("_item").alias("item"), "cand", "donor", "rung", "relax_rung", F.round(gap, 6).alias("gap"), "few_donors")
+
+    def candidates(it: DataFrame) -> DataFrame:
+        it = it.withColumn("bucket", F.explode(F.element_at(near, F.col("own")))).withColumn("band", F.explode(F.sequence(band(F.col("w") * (1 - widest)), band(F.col("w") * (1 + widest)))))
+        return it.join(bk, ["bucket", "band"]).filter("donor <> subject").withColumn("rung", rung).filter("rung IS NOT NULL")
+
+    it = items.select("item", "subject", F.col("words").cast("double").alias("w"), F.col("bucket").alias("own")).repartition("item")
+    donors = candidates(it).groupBy("item", "donor").agg(F.min("rung").alias("rung"))
+    counts = donors.groupBy("item").agg(*[F.count_if(F.col("rung") <= n).alias(f"r{n}") for n in range(1, last + 1)])
+    first = F.coalesce(*[F.when(F.col(f"r{n}") >= need, n) for n in range(1, last + 1)], F.lit(last))
+    served = counts.select(F.col("item").alias("_item"), first.alias("relax_rung"), (F.col(f"r{last}") < need).alias("few_donors"))
+    it = it.join(served, F.col("item").eqNullSafe(F.col("_item")), "left")
+    chosen = candidates(it.filter("relax_rung IS NOT NULL")).filter("rung <= relax_rung").select("item", "cand", "donor", "rung", "relax_rung", F.round(gap, 6).alias("gap"), "few_donors")
+    none = it.filter("relax_rung IS NULL").select("item", F.lit(last).alias("relax_rung"), F.lit(True).alias("few_donors")).distinct()
+    return chosen.unionByName(none, allowMissingColumns=True)
 
 
 def evidence_score(counts: dict[str, Column]) -> Column:

@@ -177,6 +177,14 @@ def test_ladder_falls_back_to_the_last_rung(spark):
     assert rows(compose.ladder(items.filter("item = 5"), bank, 1), "item", "cand", "relax_rung", "few_donors") == [(5, None, 4, True)]
 
 
+def test_every_part_has_a_ladder(spark, tmp_path):
+    parts = [(i, f"b{i % 24}", 100.0 + i % 7, i % 3) for i in range(1, 150)] + [(999, "b1", 90000.0, 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = plans.QUERIES["option_ladder_all"](spark, str(tmp_path))
+    assert {r["item"] for r in got.select("item").distinct().collect()} == {p[0] for p in parts}
+    assert rows(got.filter("item = 999"), "item", "cand", "few_donors") == [(999, None, True)]
+
+
 def test_chronological_split(spark):
     data = [("s", 1, "2000-01-01", 10), ("s", 2, "2001-01-01", 5), ("s", 3, "2001-01-01", 7)]
     c = spark.createDataFrame(data, "subject string, cluster int, date string, words long").withColumn("date", F.to_date("date"))
