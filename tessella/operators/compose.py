@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import text as tx
+from tessella.operators import linkage
 from tessella.runtime import ship
 
 
@@ -28,15 +29,25 @@ def ratio(a: Column, b: Column) -> Column:
 def name_links(names: DataFrame, key: str, name: str, least: float = 0.7) -> DataFrame:
     """Pairs of keys whose names share a token or whose ratio reaches the least.
 
-    Candidates are blocked: names that share a token, or a 3-letter beginning
-    of one. No pair outside a block is ever built.
+    Exact: a ratio is at most the Dice similarity of the names' letters, counted
+    with repeats, so the pairs that reach it as a Jaccard of letter bags are
+    all that can reach the least. Only they and names that share a token are
+    compared. Empty names pair with nothing.
     """
     ship(names.sparkSession)
-    n = names.select(F.col(key).alias("k"), tx.name_key(F.col(name)).alias("n"))
-    tokens = F.filter(F.split("n", " "), lambda t: t != "")
-    blocks = n.select("k", "n", F.explode(F.array_distinct(F.concat(tokens, F.transform(tokens, lambda t: F.concat(F.substring(t, 1, 3), F.lit("*")))))).alias("block"))
-    a, b = blocks.select(F.col("k").alias("a"), F.col("n").alias("name_a"), "block"), blocks.select(F.col("k").alias("b"), F.col("n").alias("name_b"), "block")
-    pairs = a.join(b, "block").filter("a < b").groupBy("a", "b", "name_a", "name_b").agg(F.bool_or(~F.endswith("block", F.lit("*"))).alias("shares"))
+    n = names.select(F.col(key).alias("k"), tx.name_key(F.col(name)).alias("n")).filter("n <> ''")
+    letters = F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.substring("n", i, F.lit(1)))
+    bag = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    bags = n.select("n").distinct().select(F.lit(0).alias("all"), "n", bag.alias("bag"))
+    alike = linkage.similar_pairs(bags, "all", "n", "bag", least / (2 - least) - 1e-9).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    x, y = n.select(F.col("k").alias("i"), F.col("n").alias("x")), n.select(F.col("k").alias("j"), F.col("n").alias("y"))
+    met = alike.join(x, "x").join(y, "y").filter("i <> j")
+    first = F.col("i") < F.col("j")
+    met = met.select(*[F.when(first, p).otherwise(F.col(q)).alias(c) for p, q, c in ((F.col("i"), "j", "a"), (F.col("j"), "i", "b"), (F.col("x"), "y", "name_a"), (F.col("y"), "x", "name_b"))], F.lit(False).alias("shares"))
+    tokens = n.select("k", "n", F.explode(F.array_distinct(F.filter(F.split("n", " "), lambda t: t != ""))).alias("token"))
+    a, b = tokens.select(F.col("k").alias("a"), F.col("n").alias("name_a"), "token"), tokens.select(F.col("k").alias("b"), F.col("n").alias("name_b"), "token")
+    shared = a.join(b, "token").filter("a < b").select("a", "b", "name_a", "name_b", F.lit(True).alias("shares"))
+    pairs = shared.unionByName(met).groupBy("a", "b", "name_a", "name_b").agg(F.bool_or("shares").alias("shares"))
     return pairs.withColumn("ratio", ratio(F.col("name_a"), F.col("name_b"))).filter(F.col("shares") | (F.col("ratio") >= least)).select("a", "b", "shares", "ratio")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -185,6 +186,27 @@ def test_every_part_has_a_ladder(spark, tmp_path):
     assert rows(got.filter("item = 999"), "item", "cand", "few_donors") == [(999, None, True)]
 
 
+def test_name_links_match_brute_force(spark):
+    draw = random.Random(11)
+    names = ["cathy jonson", "kathy janson", "Dr. Jon Smith", "jon smith", "listen abc", "silent abc", "silent", "listen", "anna lee", "", "ève ünal", "eve unal"]
+    for _ in range(60):
+        x = list(draw.choice(names[:9]) if draw.random() < 0.6 else "".join(draw.choices("abcdeilnost ", k=draw.randint(2, 14))))
+        for _ in range(draw.randint(1, 3)):
+            x[draw.randrange(len(x))] = draw.choice("abeiklnos")
+        names.append("".join(x))
+    d = spark.createDataFrame(list(enumerate(names)), "k long, n string")
+    plain = [r["n"] for r in d.orderBy("k").select(tx.name_key(F.col("n")).alias("n")).collect()]
+    wanted = []
+    for i, x in enumerate(plain):
+        for j, y in enumerate(plain[:i] if x else []):
+            r = SequenceMatcher(None, y, x, autojunk=False).ratio()
+            shares = bool({*x.split()} & {*y.split()})
+            if y and (shares or r >= 0.7):
+                wanted.append((j, i, shares, r))
+    assert (0, 1) in {w[:2] for w in wanted}
+    assert rows(compose.name_links(d, "k", "n"), "a", "b", "shares", "ratio") == sorted(wanted)
+
+
 def test_chronological_split(spark):
     data = [("s", 1, "2000-01-01", 10), ("s", 2, "2001-01-01", 5), ("s", 3, "2001-01-01", 7)]
     c = spark.createDataFrame(data, "subject string, cluster int, date string, words long").withColumn("date", F.to_date("date"))
