@@ -1,16 +1,16 @@
 """Byte-balanced sharding of indivisible groups by Karmarkar-Karp differencing.
 
-Documents with equal texts are one group and stay together. Groups are bundled
-by a hash of the text, and each bundle is an indivisible item whose size is the
-sum of its documents' bytes. Differencing starts with one partial partition for
+Documents with equal texts are one group and stay together. Heavy groups are
+items of their own; the light rest is bundled by a hash of the text, and each
+bundle is an indivisible item whose size is the sum of its documents' bytes. Differencing starts with one partial partition for
 each item (the item in one part, the others empty) and repeatedly combines the
 two whose parts differ most, the largest part of one with the smallest of the
 other, until one partition is left.
 
 Scale: texts are read for their size and hash only, and never shuffled. The
 number of bundles is a parameter, not a function of the input, so the driver
-differences a bounded list whatever the number of documents; a giant group
-weighs down its own bundle alone. Slots come from counts by shard and block
+differences a bounded list whatever the number of documents; a group is heavy
+from a share of all bytes on that only a bounded number can have. Slots come from counts by shard and block
 (``shards`` x ``blocks`` numbers) and a row number within a block, so no task
 sees a whole shard.
 """
@@ -29,6 +29,8 @@ SHARDS, BUNDLES = 8, 4096
 LEAST_BLOCKS, BLOCK_ROWS = 512, 1 << 18
 #: A broadcast of offsets holds at most so many numbers.
 MOST_OFFSETS = 1 << 20
+#: Heavy groups times shards are at most so many numbers on the driver, or as many groups as bundles.
+MOST_SUMS = 1 << 18
 
 
 def difference(sizes: Sequence[int], parts: int) -> list[int]:
@@ -94,14 +96,21 @@ def shard(
     base = docs.select(*own, *[docs[text_col].alias("_text")] * with_text, *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)])
     base = base.withColumn("_bundle", F.pmod("_hash", F.lit(bundles)).cast("int"))
     weights = base.groupBy("_bundle").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    weights.sort(key=lambda r: r["_bundle"])
-    parts = difference([r["size"] for r in weights], shards)
-    # One number for each bundle: an array literal, looked up by place.
-    place = {r["_bundle"]: p for r, p in zip(weights, parts, strict=True)}
+    total, most = sum(r["size"] for r in weights), min(shards * bundles, max(bundles, MOST_SUMS // max(shards, 1)))
+    heavy = base.groupBy("_hash", "_bundle").agg(F.sum("size").alias("size")).filter(F.col("size") * most >= total).collect() if weights else []
+    heavy.sort(key=lambda r: r["_hash"])
+    light = {r["_bundle"]: r["size"] for r in sorted(weights, key=lambda r: r["_bundle"])}
+    for r in heavy:
+        light[r["_bundle"]] -= r["size"]
+    light = {b: size for b, size in light.items() if size}
+    parts = difference([*light.values(), *[r["size"] for r in heavy]], shards)
+    spark = docs.sparkSession
+    of_bundle = spark.createDataFrame(list(zip(light, parts)), "_bundle int, _light int")
+    of_group = spark.createDataFrame([(r["_hash"], p) for r, p in zip(heavy, parts[len(light) :], strict=True)], "_hash long, _heavy int")
     blocks = max(LEAST_BLOCKS, -(-sum(r["n"] for r in weights) // BLOCK_ROWS // shards))
     blocks = min(blocks, MOST_OFFSETS // shards)
-    of_bundle = docs.sparkSession.createDataFrame([(b, p) for b, p in place.items()], "_bundle int, shard int")
-    placed = base.join(F.broadcast(of_bundle), "_bundle").withColumn("_block", F.pmod(F.xxhash64("_id", "_hash", F.lit(1)), F.lit(blocks)).cast("int"))
+    placed = base.join(F.broadcast(of_group), "_hash", "left").join(F.broadcast(of_bundle), "_bundle", "left").withColumn("shard", F.coalesce("_heavy", "_light"))
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_id", "_hash", F.lit(1)), F.lit(blocks)).cast("int"))
     counts = placed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "_block", before.alias("_offset"))

@@ -342,6 +342,15 @@ def test_differencing_balances():
     assert difference([], 3) == [] and set(difference([5, 5, 5], 3)) == {0, 1, 2}
 
 
+def test_heavy_groups_that_share_a_bundle_are_told_apart(spark):
+    texts = ["a" * 5000, "b" * 5000, "c" * 5000, "d" * 5000, *[f"{i}" for i in range(300)]]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(999, "a" * 5000)], "doc_id long, text string")
+    got = shard(df, shards=4, bundles=2).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(304), 999]
+    assert len({r["shard"] for r in got if r["size"] > 5000}) == 4
+    assert len({r["shard"] for r in got if r["text"][0] == "a"}) == 1
+
+
 def test_sharding(spark, docs):
     got = rows_of(shard(docs, carry=["score"]))
     assert len(got) == docs.count()
