@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,12 +34,16 @@ def ship(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is unset (tests on one machine) is a folder chosen here.
+    Only where the setting is unset and the whole application runs in one
+    process (``local`` masters, as in tests) is a folder chosen here; a cluster
+    without the setting is an error, since a machine's own folder is lost with it.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
 
 
