@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import math
 import random
 import re
 import zlib
@@ -274,33 +275,54 @@ def test_ball_tree_skips_and_is_exact():
     rng = np.random.default_rng(1)
     vectors = np.concatenate([rng.integers(-40, 40, (10, 3)).repeat(200, axis=0) * 5 + rng.integers(-3, 3, (2000, 3)), np.zeros((500, 3), int)])
     ids = rng.permutation(2500)
-    tree = BallTree(ids, vectors)
-    least = 2500
-    for q in range(30):
-        query = vectors[q * 50]
-        order = sorted((-int(s), int(i)) for s, i in zip(vectors @ query, ids, strict=True) if i != ids[q * 50])[:5]
-        found, scored = tree.search(int(ids[q * 50]), query, 5, None)
-        assert sorted((-s, i) for s, i in found) == order
-        least = min(least, scored)
-    assert least < 1250
-
-
-def test_top_k_matches_brute_force(spark):
+    tree = BallTree(np.arange(2500), ids, vectors.astype(float))
+    asked = np.arange(0, 1500, 50)
+    scores, found, scored = tree.search(asked, vectors[asked].astype(float), np.full(30, -np.inf), 5)
+    for q, s, i in zip(asked, scores, found, strict=True):
+        order = sorted((-int(x), int(n)) for r, (x, n) in enumerate(zip(vectors @ vectors[q], ids, strict=True)) if r != q)[:5]
+        assert [(-int(a), int(b)) for a, b in zip(s, i, strict=True)] == order
+    assert scored < 30 * 1250
+    alike = BallTree(np.arange(1000), np.arange(1000), np.ones((1000, 3)))
+    _, found, scored = alike.search(np.array([7]), np.ones((1, 3)), np.array([-np.inf]), 3)
+    assert found.tolist() == [[0, 1, 2]] and scored <= 128, "ties beyond the kth id are skipped"
+
+
+def brute_top_k(vectors, k=5):
+    """Whole-number scores of any size; every row but the query's own."""
+    good = [(r, i, [math.floor(256 * x) for x in v]) for r, (i, v) in enumerate(vectors) if i is not None and v is not None and all(x is not None and math.isfinite(x * 256) for x in v)]
+    out = []
+    for r, q, v in good:
+        if q % 50 == 0:
+            scores = [(-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(2**63)), 2**63 - 1), i) for s, i, w in good if s != r and len(w) == len(v)]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [{"shard_rows": 64, "block_queries": 3, "next_shards": 1}, {}])
+def test_top_k_matches_brute_force(spark, sizes, monkeypatch):
+    if sizes:
+        monkeypatch.setattr("tessella.llm.topk.SAMPLE", 100)
+        monkeypatch.setattr("tessella.llm.topk.MOST_CELLS", 30)
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
-    vectors += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 360)]
-    vectors += [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan"), 0.0, 0.0, 0.0]), (403, [float("inf"), 0.0, 0.0, 0.0]), (450, [1.0, 2.0]), (451, [3.0, 1.0]), (None, [0.1] * 4), (300, [0.5, 0.5, 0.5, 0.5])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    good = {i: np.floor(np.array(v) * 256).astype(int) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    expected = set()
-    for q in (i for i in good if i % 50 == 0):
-        order = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
-        expected |= {(q, r, i, -s) for r, (s, i) in enumerate(order, 1)}
-    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(top_k(df, F.col("vec_id") % 50 == 0, shard_rows=64, block_queries=3))}
-    assert got == expected
+    vectors += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 500)]
+    vectors += [(600, None), (601, [1.0, None, 0.0, 0.0]), (602, [float("nan"), 0.0, 0.0, 0.0]), (603, [float("inf"), 0.0, 0.0, 0.0]), (650, [1.0, 2.0]), (651, [3.0, 1.0]), (None, [0.1] * 4), (300, [0.5, 0.5, 0.5, 0.5])]
+    # Ids that repeat with other vectors, also a query's own; components beyond exact doubles and beyond longs; empty vectors.
+    vectors += [(7, [9.0, 0.0, 0.0, 0.0]), (0, [3.0, 0.0, 0.0, 1.0]), (0, [3.0, 0.0, 0.0, 1.0]), (700, [1e17, 0.0, 1.0]), (701, [1e300, 0.0, -1.0]), (702, [1.0, 0.0, 5.0]), (703, [1e306, 1.0, 1.0]), (750, []), (751, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).repartition(5)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(top_k(df, F.col("vec_id") % 50 == 0, **sizes)))
+    assert got == brute_top_k(vectors)
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_on_long_vectors_and_probe(spark):
+    vectors = [(i, [math.sin(i * 31 + j) for j in range(3000)]) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(top_k(df, F.col("vec_id") % 50 == 0))) == brute_top_k(vectors)
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in rows_of(top_k(few, F.col("vec_id") == 0).orderBy("rank"))] == [(1, 196608), (1, 65536), (2, 32768)]
+
+
 def test_html_blocks():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
     <header>Top</header><nav><ul><li><a href="/">Menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
