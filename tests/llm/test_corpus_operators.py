@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -345,13 +346,66 @@ def test_html_articles():
 def test_html_consensus(spark):
     body = "<div class='main c%d'><p>%s</p></div><div class='side'><p>%s</p></div>"
     pages = [(i, f"http://h.example/{i}", body % (i, prose(40), prose(10))) for i in range(12)]
-    short, long = prose(3), prose(90)
-    pages += [(50, "http://h.example/50", body % (50, short, long)), (51, None, None), (52, "x", ""), (53, "http://other.example/", "<p>loose &lt;text"), (0, *pages[0][1:])]
+    small, long = prose(30), prose(60)
+    # A second template of the host: the first one's path holds next to nothing there.
+    other = [(20 + i, f"http://h.example/b{i}", f"<div class='main c{i}'><p>by us</p></div><div class='story'><p>{long} {i}</p></div>") for i in range(3)]
+    pages += [*other, (50, "http://h.example/50", body % (50, small, long)), (51, None, None), (52, "x", ""), (53, "http://other.example/", "<p>loose &lt;text"), (0, *pages[0][1:]), (None, "http://h.example/n", body % (1, small, "x"))]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r for r in rows_of(extract(df))}
-    assert got[50]["text"] == short, "the host's path wins over the page's own longest container"
+    assert got[50]["text"] == got[None]["text"] == small, "the host's path wins over the page's own longest container"
+    assert all(got[20 + i]["text"] == f"{long} {i}" for i in range(3)), "a winner that doesn't fit the page gives way"
     assert got[51]["text"] == got[52]["text"] == "" and got[53]["text"] == "loose <text" and got[53]["n_chars"] == 11
     assert extract(df).count() == len(pages) and extract(df.limit(0)).count() == 0
+    named = extract(df.selectExpr("concat('p', page_id) AS page_id", "url", "html"))
+    assert "p50" in {r["page_id"] for r in rows_of(named)}, "ids keep their type"
+
+
+#: Layouts around an article; %(art)s is its markup, %(more)s longer text that is no part of it.
+LAYOUTS = {
+    "plain": "<html><body><nav><a href=/>Home</a></nav><article>%(art)s</article><footer>&copy; us</footer></body></html>",
+    "with-sidebar": "<body><div class='layout with-sidebar'><article>%(art)s</article><div class='sidebar'><p>aside text here</p></div></div>",
+    "has-sidebar": "<body class=has-sidebar><div class='has-sidebar wide'><div class=post>%(art)s</div></div><div id=cookie-consent>We use cookies</div>",
+    "legal-news": "<body><div class='legal-news'>%(art)s</div><div class='legal'><p>Imprint and such</p></div>",
+    "alert-box": "<body><div class=alert>Down today</div><div class='entry-content search-news'>%(art)s</div>",
+    "form": "<body><form id='aspnetForm'><div class=nav><a href=x>y</a></div><div id=content>%(art)s</div><input name=q><label>Find</label></form>",
+    "comments": "<body><div class=post>%(art)s</div><div id=comments><div class=comment><p>%(more)s</p></div><article class=comment><p>%(more)s</p></article></div>",
+    "wrapped-comments": "<body><main><div class='post-with-comments'><div class=text>%(art)s</div><section class='comment-list'><p>%(more)s</p></section></div></main>",
+    "camel": "<body><div class=siteHeader>Brand</div><div class=Story>%(art)s</div><div class=shareButtons>Share it</div><div class=relatedPosts><p>Other things</p></div>",
+    "quote": "<body><div class=post data-x=\"it's\" title='a > b'>%(art)s</div><p class=\"footer\">End",
+    "state": "<body><div class='wrap nav-open'><div class='page-body'>%(art)s</div></div><div class='ad'>Buy now</div>",
+    "notices": "<body><div class='notice'>Read me</div><section id=x1>%(art)s</section><div role=dialog>Join</div><div hidden>secret</div><aside>By the way</aside>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_whole_pages(spark, layout):
+    """Whole pages of known articles, in a host of their own for each layout."""
+    pages, expected = [], {}
+    for i in range(5):
+        blocks = [prose(6), *[prose(random.randint(15, 40)) for _ in range(4)], prose(8) + " & <tag> é"]
+        markup = [b.replace("&", "&amp;").replace("<", "&lt;").replace(" ", random.choice([" ", "\n  ", " \t"])) for b in blocks]
+        header = f"<div class='article-header'><h1>{markup[0]}</h1></div>" if layout != "alert-box" else f"<header><h1>{markup[0]}</h1></header>"
+        if layout in ("alert-box", "comments"):
+            header = f"<h1>{markup[0]}</h1>"
+        art = header + "".join(f"<p>{m}" + random.choice(["</p>", ""]) for m in markup[1:-1]) + f"<ul><li><b>{markup[-1]}</b></ul><script>var x='<p>';</script><!-- <p>no</p> -->"
+        pages.append((i, f"https://{layout}.example:80/{i}", LAYOUTS[layout] % {"art": art, "more": prose(150)}))
+        expected[i] = "\n".join(blocks)
+    got = {r["page_id"]: r for r in rows_of(extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert {i: r["text"] for i, r in got.items()} == expected
+    assert all(r["n_chars"] == len(expected[i]) for i, r in got.items())
+
+
+def test_html_hostile_pages_are_linear(spark):
+    n = 100_000
+    hostile = ["<a \"" * n, "<div>a" * n, "<a x='<b y=\"" * n, "<div>" + "<b>" * n + "<li></li>" * n, "<td>a" * n, "<!--" * n, "<p>" * n + "</b>" * n, "<div class='ad'>a" * n, "< " * n, "<i class='" + "c " * n + "'>x</i>", "word " * n * 4]
+    began = time.time()
+    for page in hostile:
+        _, boxes = parse(page)
+        assert all(len(c.path) <= 700 for c in boxes)
+    assert time.time() - began < 60
+    got = {r["page_id"]: r for r in rows_of(extract(spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(hostile)], "page_id long, url string, html string")))}
+    assert len(got) == len(hostile) and got[len(hostile) - 1]["text"] == ("word " * n * 4).strip()
+    assert got[1]["text"] == "\n".join("a" * n)
 
 
 def test_differencing_balances():
