@@ -4,23 +4,27 @@ Fingerprints: whole texts, A-Z lower-cased, words are runs of anything but
 ASCII white space, 3-word shingles with repeats, XXH64 with seed 42; a bit is 1
 if over half of the hashes have it (no words: zero).
 
-Links: the 64 bits are two segments of 32. In each segment the Hamming ball of
-radius 1 is enumerated while the other segment stays, which gives 65 keys for a
-fingerprint. Two fingerprints at distance 2 or less share a key (change one
-differing bit of each), and a key's table holds at most the 65 fingerprints
-within one bit of it. So no bucket can be hot, whatever the data; within a
-bucket neighbours in sorted order become candidate links whose complete
-distance is verified. Any two members of a bucket are at distance 2 or less, so
-these links join all that a bucket holds.
-
-Scale: exact copies collapse to one fingerprint before any key is made (a
-grouped minimum, summed before the shuffle). Keys are 65 narrow rows for each
-distinct fingerprint; nothing is collected, broadcast or crossed.
+Links: multi-index hashing. Two fingerprints within 2 bits differ in at most one
+bit of one of their two 32-bit segments. A table holds every distinct
+fingerprint by the value of each segment; each fingerprint looks up the small
+Hamming ball around its own segments (the value itself and its one-bit
+neighbours; of two neighbours the one with the zero asks) and verifies the
+complete distance to what it finds. A segment value that more than ``HOT``
+fingerprints share is no bucket: its entries and the look-ups that meet it are
+split by the halves of the other segment, with what is left of the distance,
+and hot ones of these once more. Then 56 bits are fixed, so a bucket holds at
+most 256 fingerprints whatever the data, and nothing is left out.
+
+Scale: exact copies collapse to one fingerprint before any look-up (a grouped
+minimum, summed before the shuffle). A distinct fingerprint makes about 36
+narrow look-ups; all joins are hash-partitioned on (segment, value). Nothing is
+collected, broadcast unsized or crossed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -36,7 +40,8 @@ from tessella.operators.components import components
 from tessella.runtime import materialise, ship
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-SEGMENTS = (range(32), range(32, 64))
+#: A bucket of more fingerprints is split further, up to LEVELS times in all.
+HOT, LEVELS = 32, 3
 
 #: Bits of each byte value, least significant first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -71,22 +76,66 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows(docs, id_col, text_col, carry).mapInArrow(mark, out)
 
 
-def _ball(fp: Column, segment: range) -> Column:
-    """The fingerprints whose given segment differs from fp's in one bit."""
-    bits = F.array(*[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in segment])
-    return F.transform(bits, lambda bit: fp.bitwiseXOR(bit))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp``, enough to join all that are within the distance of each other."""
-    if distance not in (0, 2):
-        raise ValueError("distance must be 0 or 2: a ball of half the distance is enumerated")
-    fp = F.col("fp")
-    keys = F.concat(F.array(fp), *[_ball(fp, s) for s in SEGMENTS]) if distance else F.array(fp)
-    tables = distinct.select(F.explode(keys).alias("key"), "fp")
-    bucket = Window.partitionBy("key").orderBy("fp")
-    pairs = tables.withColumn("before", F.lag("fp").over(bucket)).filter("before IS NOT NULL")
-    return pairs.filter(F.bit_count(fp.bitwiseXOR(F.col("before"))) <= distance).select(F.col("before").alias("a"), F.col("fp").alias("b"))
+def moves(level: int) -> list[tuple[int, int, int, int]]:
+    """(fixed, fixed then, flip, cost): how a look-up goes on from each set of fixed bits of a level.
+
+    The bits that aren't fixed yet are one aligned segment. Either half of it
+    may be the one that is close: as it is, or with one bit flipped.
+    """
+    size, every = 64 >> level, (1 << 64) - 1
+    found = []
+    for lo in range(0, 64, size):
+        free = ((1 << size) - 1) << lo
+        for half in (lo, lo + size // 2):
+            then = every ^ free | ((1 << size // 2) - 1) << half
+            found += [(_signed(every ^ free), _signed(then), 0, 0), *[(_signed(every ^ free), _signed(then), _signed(1 << b), 1) for b in range(half, half + size // 2)]]
+    return found
+
+
+def _moves(df: DataFrame, level: int) -> DataFrame:
+    rows = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("fixed", "then", "flip", "cost"), m, strict=True)]) for m in moves(level)])
+    return df.sparkSession.range(1).select(F.inline(rows))
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """(a, b): every pair of distinct fingerprints ``fp`` within the distance of each other, a smaller than b; a pair may come twice.
+
+    A look-up has a budget of bits that may still differ. It flips a bit only
+    if half the budget pays for it, and only a zero bit: of two fingerprints
+    that differ there exactly one asks. With nothing flipped both ask, and one
+    is kept.
+    """
+    if distance not in (0, 1, 2):
+        raise ValueError("distance must be 0, 1 or 2: one flipped bit a segment is enumerated")
+    asks = distinct.select("fp", F.lit(0).cast("long").alias("fixed"), F.lit(0).cast("long").alias("flips"), F.lit(distance).cast("long").alias("budget"))
+    tables = distinct.select("fp", F.lit(0).cast("long").alias("fixed"))
+    found = []
+    for level in range(LEVELS):
+        step = F.broadcast(_moves(distinct, level))
+        pays = (F.col("cost") * 2 <= F.col("budget")) & ((F.col("flip") == 0) | (F.col("fp").bitwiseAND(F.col("flip")) == 0))
+        near = asks.join(step, "fixed").filter(pays)
+        near = near.select("fp", F.col("then").alias("fixed"), F.col("flips").bitwiseOR(F.col("flip")).alias("flips"), (F.col("budget") - F.col("cost")).alias("budget"))
+        near = near.withColumn("value", F.col("fp").bitwiseXOR(F.col("flips")).bitwiseAND(F.col("fixed")))
+        held = tables.join(step.filter("flip = 0"), "fixed").select("fp", F.col("then").alias("fixed"), F.col("fp").bitwiseAND(F.col("then")).alias("value"))
+        last = level == LEVELS - 1
+        if not last:
+            crowded = materialise(held.groupBy("fixed", "value").count().filter(F.col("count") > hot).select("fixed", "value"))
+            both = ["fixed", "value"]
+            asks, tables = near.join(crowded, both, "left_semi"), held.join(crowded, both, "left_semi").drop("value")
+            held = held.join(crowded, both, "left_anti")
+        other = held.select(F.col("fp").alias("b"), "fixed", "value")
+        met = near.join(other, ["fixed", "value"])
+        verified = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance).filter((F.col("flips") != 0) & (F.col("fp") != F.col("b")) | (F.col("fp") < F.col("b")))
+        found.append(verified.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")))
+        if not last:
+            asks = asks.drop("value")
+            if not crowded.take(1):
+                break
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), distance: int = DISTANCE) -> DataFrame:
@@ -97,12 +146,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Edge cases: documents without words have fingerprint zero and link like any
     other; rows that repeat have equal fingerprints and meet in one component; a
     null id takes part but can name a component only if no member has an id;
-    fewer words than a shingle: the whole sequence is the shingle. Further
-    input columns are ignored unless carried; no rows give no rows.
+    fewer words than a shingle: the whole sequence is the shingle; a bit that
+    exactly half of the hashes have is 0. Texts are read whole, whatever their
+    length, one at a time beyond 8 MB. Further input columns are ignored unless
+    carried; no rows give no rows.
     """
     marked = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, carry=carry).withColumn("_row", F.monotonically_increasing_id()))
     first = F.struct(marked[id_col].isNull().alias("none"), marked[id_col].alias("id"), "_row")
-    least = marked.groupBy("fp").agg(F.min(first).alias("_least"))
+    least = materialise(marked.groupBy("fp").agg(F.min(first).alias("_least")))
     found = components(links(least, distance))
     joined = least.join(found, least.fp == found.node, "left").select("fp", "_least", "root")
     named = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("_least").alias("_first"))

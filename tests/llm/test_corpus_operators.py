@@ -19,7 +19,7 @@ from tessella.llm.html_extract import extract, parse, score
 from tessella.llm.packing import pack, pieces_of, tokenizer
 from tessella.llm.queries import tokenizer_path
 from tessella.llm.sharding import difference, shard
-from tessella.llm.simhash import fingerprint, near_duplicates
+from tessella.llm.simhash import fingerprint, links, near_duplicates
 from tessella.llm.substrings import dedup_substrings
 from tessella.llm.topk import BallTree, top_k
 
@@ -168,6 +168,24 @@ def test_near_duplicates_match_brute_force(spark, docs):
     assert near_duplicates(no_docs(docs)).count() == 0
 
 
+def brute_links(fps, distance):
+    return {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
+
+
+@pytest.mark.parametrize(("hot", "distance"), [(32, 2), (3, 2), (1, 2), (2, 1), (2, 0)])
+def test_links_with_hot_segments_match_brute_force(spark, hot, distance):
+    """Segments that many share are split by further segments; no pair is lost and no bucket is left out."""
+    pick = random.Random(hot)
+    fps = {pick.getrandbits(64) for _ in range(200)}
+    centre = pick.getrandbits(64)
+    # A cloud around one value: most share its low half, many its low 48 bits.
+    fps |= {centre ^ sum(1 << b for b in pick.sample(range(64), pick.randint(0, 3))) for _ in range(300)}
+    fps |= {centre ^ (pick.getrandbits(5) << 32) for _ in range(40)} | {centre ^ (pick.getrandbits(4) << 60) for _ in range(40)} | {0, 1, 3, (1 << 64) - 1, 1 << 63}
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3), distance, hot)
+    assert {(r["a"], r["b"]) for r in got.collect()} == brute_links(signed, distance)
+
+
 def test_tokens_agree_with_the_library():
     model = tokenizer(tokenizer_path())
     plain = [chr(i) for i in range(0x250)] + list("‐–—‘’“”… \t\n")
