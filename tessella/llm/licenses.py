@@ -1,36 +1,45 @@
 """Licence scan: sparse TF-IDF cosine to templates, and inheritance from the nearest directory.
 
 Units are the lines of a file (headers) and the file as a whole (licence
-files). A unit's vector is term frequency x idf, with idf = ln((1 + N) / (1 +
-df)) + 1 over all files; terms outside the templates' vocabulary weigh as terms
-that no file has, so no vocabulary of the corpus is ever built. A unit matches
-the template of highest cosine from ``threshold`` on.
+files). Templates are the notices of licences (``TEMPLATES``), which lines and
+whole files are held against, and their full texts (the files of the folder
+``licences``), for whole files alone. A unit's vector is (1 + ln tf) x idf, with
+idf = ln((1 + N) / (1 + df)) + 1 over all files; terms outside the templates'
+vocabulary weigh as terms that no file has, so no vocabulary of the corpus is
+ever built. A unit matches the template of highest cosine from ``threshold`` on.
 
 Files without a match of their own inherit the licence of the nearest directory
 on their path that holds a licence file with one.
 
 Scale: DataFrame operations only. Document frequencies are partial counts of a
-fixed vocabulary. A unit can only reach the threshold if it has one of a
-template's heaviest terms (by Cauchy-Schwarz the lighter ones fall short), so
-texts are first tested for those terms and only lines that have one are cut
-into terms and shuffled. Directories are resolved once each, not per file; the
-joins of files to directories are equi-joins that AQE splits for a hot
-directory. Tables of templates are literals.
+fixed vocabulary, the number of files one of them. A unit can only reach the
+threshold if it has one of a notice's heaviest terms (by Cauchy-Schwarz the
+lighter ones fall short), or as many different terms of a full text as its
+heaviest ones must be to reach it; only such units are cut into terms and
+shuffled. Equal texts of an id are one unit. Directories
+are resolved once each, not per file; the joins of files to directories are
+equi-joins that AQE splits for a hot directory. Tables of templates are
+literals.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
+from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.7
 
+HEADER, FILE = "header", "file"
+
 # Licence names with the wording of their notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -53,10 +62,32 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _table(df: DataFrame, rows: Sequence[Sequence], *names: str) -> DataFrame:
-    """A small table of literals."""
-    entries = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])
-    return df.sparkSession.range(1).select(F.inline(entries))
+@dataclass(frozen=True)
+class Template:
+    """A licence's wording: a notice (HEADER), or a full text that only whole files are held against (FILE)."""
+
+    name: str
+    kind: str
+    text: str
+
+
+@lru_cache(maxsize=1)
+def templates() -> tuple[Template, ...]:
+    """The notices, then the full texts by file name."""
+    texts = sorted((Path(__file__).parent / "licences").glob("*.txt"))
+    return (*(Template(n, HEADER, t) for n, t in TEMPLATES), *(Template(f.stem, FILE, f.read_text("utf-8")) for f in texts))
+
+
+def _table(df: DataFrame, schema: str, rows: Sequence[Sequence]) -> DataFrame:
+    """A small table as one literal."""
+    names = [f.strip().split(" ")[0] for f in schema.split(";")]
+    entries = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(entries), f"array<struct<{schema.replace(';', ',')}>>")))
+
+
+def _words(found: Sequence[str]) -> Column:
+    """A literal array of terms."""
+    return F.split(F.lit(" ".join(found)), " ")
 
 
 def _anchors(weights: dict[str, float], threshold: float) -> set[str]:
@@ -74,72 +105,98 @@ def _anchors(weights: dict[str, float], threshold: float) -> set[str]:
     return found
 
 
-def weigh(files: DataFrame, text_col: str, templates: Sequence[tuple[str, str]]) -> tuple[dict[str, float], float, list[dict[str, float]]]:
-    """idf by template term, the idf of any other term, and each template's unit vector."""
-    counts = [Counter(re.findall(_TERM, t.lower())) for _, t in templates]
+def _least_terms(weights: dict[str, float], threshold: float) -> int:
+    """How many different terms of a unit vector the threshold takes at least: with its heaviest ones."""
+    held = 0.0
+    for n, w in enumerate(sorted(weights.values(), reverse=True), 1):
+        held += w * w
+        if held >= (threshold - 1e-6) ** 2:
+            return n
+    return len(weights)
+
+
+def weigh(files: DataFrame, text_col: str, wordings: Sequence[str]) -> tuple[dict[str, float], float, list[dict[str, float]]]:
+    """idf by template term, the idf of any other term, and each template's unit vector. The files are read once."""
+    counts = [Counter(re.findall(_TERM, t.lower())) for t in wordings]
     vocabulary = sorted(set().union(*counts))
-    present = F.array_intersect(terms(files[text_col].cast("string")), F.array(*map(F.lit, vocabulary)))
-    df = {r["term"]: r["n"] for r in files.select(F.explode_outer(present).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    n = files.count()
+    present = F.coalesce(F.array_intersect(terms(files[text_col].cast("string")), _words(vocabulary)), F.array().cast("array<string>"))
+    # The empty term stands for the file itself.
+    df = {r["term"]: r["n"] for r in files.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    n = df.get("", 0)
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
     vectors = []
     for c in counts:
-        norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in c.items()))
-        vectors.append({t: k * idf[t] / norm for t, k in c.items()})
+        raw = {t: (1 + math.log(k)) * idf[t] for t, k in c.items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        vectors.append({t: w / norm for t, w in raw.items()})
     return idf, math.log(1 + n) + 1, vectors
 
 
+def _candidates(base: DataFrame, known: Sequence[Template], vectors: Sequence[dict[str, float]], threshold: float) -> DataFrame:
+    """(_id, _key, _no, _terms): the units that can reach the threshold with some template."""
+    anchors = sorted(set().union(*[_anchors(v, threshold) for t, v in zip(known, vectors, strict=True) if t.kind == HEADER]))
+    full = [(sorted(v), _least_terms(v, threshold)) for t, v in zip(known, vectors, strict=True) if t.kind == FILE and v]
+    shared = lambda ts, words: F.size(F.array_intersect(ts, _words(words)))
+    either = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    def noticed(low: Column) -> Column:
+        short = "|".join(a for a in anchors if len(a) < 4)
+        return either([F.contains(low, F.lit(a)) for a in anchors if len(a) >= 4] + ([low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else []))
+
+    def whole(ts: Column) -> Column:
+        """Whether a file's terms are enough for some full text."""
+        if not full:
+            return F.lit(False)
+        return (shared(ts, sorted(set().union(*[v for v, _ in full]))) >= min(n for _, n in full)) & either([shared(ts, v) >= n for v, n in full])
+
+    # Arrays of one bind the lower-case text and its terms, so that they are made once and not once a test.
+    by_line, by_file = F.exists(F.array(F.lower("_text")), noticed), F.exists(F.array(terms(F.col("_text"))), whole)
+    may = base.filter("_text IS NOT NULL").withColumns({"_lines": by_line, "_file": by_file}).filter("_lines OR _file")
+    lines = F.when(F.col("_lines"), F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))).otherwise(F.array().cast("array<struct<no:int,line:string>>"))
+    units = may.select("_id", F.xxhash64("_text").alias("_key"), "_file", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("no"), F.col("_text").alias("line"))), lines)).alias("u"))
+    cut = units.select("_id", "_key", F.col("u.no").alias("_no"), terms(F.col("u.line")).alias("_terms"), "_file")
+    able = F.col("_file") & (F.col("_no") == 0) | F.arrays_overlap("_terms", _words(anchors)) if anchors else F.col("_file")
+    return cut.filter(able).drop("_file").distinct()
+
+
 def scan(
     files: DataFrame,
     *,
     id_col: str,
     path_col: str,
     text_col: str,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    known: Sequence[Template] | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per file row: path, ``license``, ``origin`` (file, header, inherited, none), ``score`` and the ``from_dir`` it is inherited from.
 
     Edge cases: null and empty texts match nothing but inherit; a null path is
-    in no directory; a null id is a file like others, though files that share
-    an id share their best match; equal cosines go to the name that sorts
-    first, the whole file before a line; among licence files of one directory
-    the higher cosine wins, then the first name; rows that repeat get equal results; no files give no rows.
+    in no directory; null ids and ids that repeat are files like others, each
+    with its own match; equal cosines go to the name that sorts first, the
+    whole file before a line; among licence files of one directory the higher
+    cosine wins, then the first name; rows that repeat get equal results; texts
+    and lines are read whole, whatever their length; no files give no rows.
     Further input columns are ignored.
     """
+    known = templates() if known is None else known
     base = files.select(files[id_col].alias("_id"), files[path_col].cast("string").alias("_path"), files[text_col].cast("string").alias("_text"))
-    idf, other, vectors = weigh(base, "_text", templates)
-    anchors = sorted(set().union(*[_anchors(v, threshold) for v in vectors]))
-    # The array of one binds the lower-case text, so that it is made once and not once an anchor.
-    short = "|".join(a for a in anchors if len(a) < 4)
-    tests = [lambda low, a=a: F.contains(low, F.lit(a)) for a in anchors if len(a) >= 4]
-    tests += [lambda low: low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else []
-    any_of = lambda low: reduce(lambda a, b: a | b, [t(low) for t in tests])
-    may = base.filter(F.exists(F.array(F.lower("_text")), any_of)).select("_id", "_text")
-    lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
-    units = may.select("_id", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("no"), F.col("_text").alias("line"))), lines)).alias("u"))
-    cut = units.select("_id", F.col("u.no").alias("_no"), terms(F.col("u.line")).alias("_terms"))
-    cut = cut.filter(F.arrays_overlap("_terms", F.array(*map(F.lit, anchors))))
-    counted = cut.distinct().select("_id", "_no", F.explode("_terms").alias("term")).groupBy("_id", "_no", "term").agg(F.count("*").alias("tf"))
-    weights = _table(base, [(t, w) for t, w in idf.items()], "term", "idf")
-    weighed = counted.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    of = _table(base, [(i, templates[i][0], t, w) for i, v in enumerate(vectors) for t, w in v.items()], "template", "name", "term", "weight")
-    by_term = of.groupBy("term").agg(F.collect_list(F.struct("template", "name", "weight")).alias("of"))
-
-    def weight_in(template: int) -> Column:
-        """The term's weight in a template, 0 where it isn't part of it."""
-        entry = F.filter("of", lambda x: x["template"] == template)
-        return F.coalesce(F.get(entry, F.lit(0))["weight"], F.lit(0.0))
-
-    sums = weighed.join(F.broadcast(by_term), "term", "left").groupBy("_id", "_no").agg(
+    idf, other, vectors = weigh(base, "_text", [t.text for t in known])
+    cut = _candidates(base, known, vectors, threshold)
+    counted = cut.select("_id", "_key", "_no", F.explode("_terms").alias("term")).groupBy("_id", "_key", "_no", "term").agg(F.count("*").alias("tf"))
+    weights = _table(base, "term string; idf double; shares array<double>", [(t, w, [v.get(t, 0.0) for v in vectors]) for t, w in idf.items()])
+    # The templates' terms are a fixed table of some 2,000 rows.
+    weighed = counted.join(F.broadcast(weights), "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(other)))
+    sums = weighed.groupBy("_id", "_key", "_no").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        *[F.sum(F.col("w") * weight_in(i)).alias(f"d{i}") for i in range(len(templates))],
+        *[F.sum(F.col("w") * F.coalesce(F.get("shares", F.lit(i)), F.lit(0.0))).alias(f"d{i}") for i in range(len(known))],
     )
-    scored = sums.select("_id", "_no", F.explode(F.array(*[F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(name).alias("name")) for i, (name, _) in enumerate(templates)])).alias("m"))
-    hits = scored.filter(F.col("m.score") >= threshold).select("_id", F.struct((-F.col("m.score")).alias("minus"), F.col("m.name").alias("name"), F.least("_no", F.lit(1)).alias("line")).alias("hit"))
-    own = hits.groupBy("_id").agg(F.min("hit").alias("hit")).select(F.col("_id").alias("_key"), F.col("hit.name").alias("_name"), (-F.col("hit.minus")).alias("_score"), (F.col("hit.line") == 0).alias("_whole"))
-    placed = base.select("_id", "_path", F.regexp_extract("_path", "^(.*)/[^/]*$", 1).alias("_dir"), F.regexp_extract("_path", "([^/]*)$", 1).alias("_base"))
-    matched = placed.join(own, F.col("_id").eqNullSafe(F.col("_key")), "left").drop("_key")
+    matches = [F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(t.name).alias("name"), F.lit(t.kind).alias("kind")) for i, t in enumerate(known)]
+    scored = sums.select("_id", "_key", "_no", F.explode(F.array(*matches)).alias("m")).filter((F.col("m.score") >= threshold) & ((F.col("m.kind") == HEADER) | (F.col("_no") == 0)))
+    hits = scored.select("_id", "_key", F.struct((-F.col("m.score")).alias("minus"), F.col("m.name").alias("name"), F.least("_no", F.lit(1)).alias("line")).alias("hit"))
+    own = hits.groupBy("_id", "_key").agg(F.min("hit").alias("hit"))
+    own = own.select(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key"), F.col("hit.name").alias("_name"), (-F.col("hit.minus")).alias("_score"), (F.col("hit.line") == 0).alias("_whole"))
+    placed = base.select("_id", F.xxhash64("_text").alias("_key"), "_path", F.regexp_extract("_path", "^(.*)/[^/]*$", 1).alias("_dir"), F.regexp_extract("_path", "([^/]*)$", 1).alias("_base"))
+    matched = placed.join(own, (F.col("_key") == F.col("_of_key")) & F.col("_id").eqNullSafe(F.col("_of_id")), "left").drop("_key", "_of_id", "_of_key")
     held = matched.filter(F.col("_name").isNotNull() & F.col("_base").rlike(LICENCE_FILE)).groupBy("_dir").agg(F.min(F.struct((-F.col("_score")).alias("minus"), F.col("_name").alias("name"))).alias("held"))
     held = held.select(F.col("_dir").alias("_from"), F.col("held.name").alias("_held"), (-F.col("held.minus")).alias("_held_score"))
     # Every directory with the directories above it, itself first; "" is the root.

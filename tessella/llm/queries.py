@@ -84,26 +84,27 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_language_
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join("({}, '{}', '{}', '{}')".format(i, t.name, t.kind, t.text.replace("'", "''")) for i, t in enumerate(licenses.templates()))
 
 SQL = {
     "op2_license_scan": f"""
-WITH f AS (SELECT doc_id, text, {_PATH.format(text="VARCHAR")} AS path FROM documents),
+WITH f AS (SELECT row_number() OVER () AS r, doc_id, text, {_PATH.format(text="VARCHAR")} AS path FROM documents),
      n AS (SELECT count(*) AS n FROM f),
-     t AS (SELECT i, name, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM (VALUES {_TEMPLATES}) AS v(i, name, body)),
-     tf AS (SELECT i, name, term, count(*) AS k FROM t GROUP BY ALL),
-     dt AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM f),
-     idf AS (SELECT term, ln((1 + any_value(n)) / (1 + count(doc_id))) + 1 AS idf FROM (SELECT DISTINCT term FROM tf) LEFT JOIN dt USING (term), n GROUP BY term),
-     tw AS (SELECT i, name, term, k * idf / sqrt(sum(k * idf * k * idf) OVER (PARTITION BY i)) AS weight FROM tf JOIN idf USING (term)),
-     u AS (SELECT doc_id, 0 AS no, text AS line FROM f UNION ALL SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM f),
-     ut AS (SELECT doc_id, no, term, count(*) AS k FROM (SELECT doc_id, no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM u) GROUP BY ALL),
-     uw AS (SELECT doc_id, no, term, k * coalesce(idf, ln(1 + n) + 1) AS w FROM ut LEFT JOIN idf USING (term), n),
-     norm AS (SELECT doc_id, no, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
-     s AS (SELECT doc_id, no, name, round(sum(w * weight) / any_value(norm), 6) AS score FROM uw JOIN tw USING (term) JOIN norm USING (doc_id, no) GROUP BY doc_id, no, i, name),
-     own AS (SELECT doc_id, name, score, no = 0 AS whole FROM s WHERE score >= {licenses.THRESHOLD}
-             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name, least(no, 1)) = 1),
-     p AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS base FROM f),
-     m AS (SELECT * FROM p LEFT JOIN own USING (doc_id)),
+     t AS (SELECT i, name, kind, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM (VALUES {_TEMPLATES}) AS v(i, name, kind, body)),
+     tf AS (SELECT i, name, kind, term, 1 + ln(count(*)) AS k FROM t GROUP BY ALL),
+     dt AS (SELECT r, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM f),
+     idf AS (SELECT term, ln((1 + any_value(n)) / (1 + count(r))) + 1 AS idf FROM (SELECT DISTINCT term FROM tf) LEFT JOIN dt USING (term), n GROUP BY term),
+     tw AS (SELECT i, name, kind, term, k * idf / sqrt(sum(k * idf * k * idf) OVER (PARTITION BY i)) AS weight FROM tf JOIN idf USING (term)),
+     u AS (SELECT r, 0 AS no, text AS line FROM f UNION ALL SELECT r, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM f),
+     ut AS (SELECT r, no, term, 1 + ln(count(*)) AS k FROM (SELECT r, no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM u) GROUP BY ALL),
+     uw AS (SELECT r, no, term, k * coalesce(idf, ln(1 + n) + 1) AS w FROM ut LEFT JOIN idf USING (term), n),
+     norm AS (SELECT r, no, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
+     s AS (SELECT r, no, name, round(sum(w * weight) / any_value(norm), 6) AS score FROM uw JOIN tw USING (term) JOIN norm USING (r, no)
+           WHERE kind = 'header' OR no = 0 GROUP BY r, no, i, name),
+     own AS (SELECT r, name, score, no = 0 AS whole FROM s WHERE score >= {licenses.THRESHOLD}
+             QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, name, least(no, 1)) = 1),
+     p AS (SELECT r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS base FROM f),
+     m AS (SELECT * FROM p LEFT JOIN own USING (r)),
      held AS (SELECT dir AS from_dir, name AS held, score AS held_score FROM m WHERE name IS NOT NULL AND regexp_matches(base, '(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$')
               QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, name) = 1),
      up AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1 : len(string_split(dir, '/')) - k], '/') AS from_dir

@@ -273,6 +273,7 @@ def test_label_model_discounts_correlated_voters():
 
 def test_licence_scan(spark):
     notice = dict(licenses.TEMPLATES)
+    clash = [(30, None, notice["Apache-2.0"]), (30, None, "the quick brown fox " * 9), (None, None, notice["ISC"]), (None, None, "x"), (31, None, "plain words " * 200_000 + "\n" + notice["BSD-3-Clause"])]
     files = [
         (1, "/a/LICENSE", "Released under the MIT License."),
         (2, "/a/b/c/x.py", "code\n more code"),
@@ -288,6 +289,18 @@ def test_licence_scan(spark):
     got = {r["doc_id"]: (r["license"], r["origin"], r["from_dir"]) for r in rows_of(licenses.scan(df, id_col="doc_id", path_col="path", text_col="text"))}
     assert got == {1: ("MIT", "file", None), 2: ("MIT", "inherited", "/a"), 3: ("Apache-2.0", "header", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("GPL-3.0", "file", None), 7: ("GPL-3.0", "inherited", "/a/b/d"), 8: (None, "none", None)}
     assert licenses.scan(df.limit(0), id_col="doc_id", path_col="path", text_col="text").count() == 0
+    found = rows_of(licenses.scan(spark.createDataFrame(clash, df.drop("license").schema), id_col="doc_id", path_col="path", text_col="text"))
+    assert Counter((r["doc_id"], r["license"], r["origin"]) for r in found) == Counter([(30, "Apache-2.0", "file"), (30, None, "none"), (None, "ISC", "file"), (None, None, "none"), (31, "BSD-3-Clause", "header")]), "files of one id have their own matches"
+
+
+def test_licence_texts_are_found_as_files(spark):
+    """Full texts, with own names, other layout and something around them; and prose that isn't one."""
+    full = {t.name: t.text for t in licenses.templates() if t.kind == licenses.FILE}
+    files = [(i, f"/{name}/LICENSE", f"Project {name}\nCopyright 2020 Jo Doe and others\n" + re.sub(r"\s+", " ", text) + "\nThanks to all.") for i, (name, text) in enumerate(full.items())]
+    files += [(100, "/own/x.txt", "the work that such a person may copy or use in any form " * 30), (101, "/MIT/sub/a.py", "pass")]
+    found = {r["path"]: (r["license"], r["origin"]) for r in rows_of(licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string"), id_col="doc_id", path_col="path", text_col="text"))}
+    assert {p: o for p, o in found.items() if p.endswith("LICENSE")} == {f"/{name}/LICENSE": (name, "file") for name in full}
+    assert found["/own/x.txt"] == (None, "none") and found["/MIT/sub/a.py"] == ("MIT", "inherited")
 
 
 def test_ball_tree_skips_and_is_exact():
