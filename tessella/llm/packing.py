@@ -2,9 +2,10 @@
 
 A document's token ids and an end id are cut into pieces whose lengths are
 powers of two, at most ``most`` tokens: whole pieces of ``most``, then the
-binary digits of the rest from large to small. Pieces of equal length form a
-bucket; a batch drawn from one bucket needs no padding, and no sequence crosses
-documents, since each piece is a sequence of its own.
+binary digits of the rest from large to small. Each piece is a sequence of its
+own, so no sequence crosses documents, and its length's bucket numbers it:
+sequences of one bucket fill batches of ``most`` tokens (``most`` / length rows
+of equal length), which need no padding.
 
 Tokens are those of a public tokenizer file (a parameter; a lower-casing
 byte-pair vocabulary with word ends). Texts over the plain part of Unicode are
@@ -12,9 +13,10 @@ cut here: words are looked up by 64-bit hash in a worker's table, and words not
 seen before get vectorised byte-pair merges, all of a batch at once. Any other
 text goes through the tokenizer library whole, so ids agree with it everywhere.
 
-Scale: one narrow pass, no shuffle. Sequence ids come from the partition and
-the row in it, so they are unique without counting rows across tasks; they
-stay the same when a lost task is run again over the same files.
+Scale: one narrow pass, no shuffle. Sequences and batches are numbered by
+bucket, partition and their place in both, so numbers are unique without
+counting rows across tasks; they stay the same when a lost task is run again
+over the same files. A partition leaves at most one batch of a bucket unfilled.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +47,15 @@ PIECE = [
     T.StructField("doc_tokens", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType())),
     T.StructField("ids_crc32", T.LongType()),
+    T.StructField("bucket", T.IntegerType()),
+    T.StructField("sequence_id", T.LongType()),
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("batch_row", T.IntegerType()),
 ]
 
+#: Where a bucket and a partition stand in a sequence's or a batch's number.
+_BUCKET_AT, _PARTITION_AT = 56, 32
+
 #: Tokens that a worker's table holds before it starts anew, and bytes of a word that is merged here.
 _TABLE_BITS, _LONGEST = 21, 48
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
@@ -297,17 +307,20 @@ def pack(
     end: int = END,
     with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: its place in the document, its ids, their CRC-32, its bucket (length) and sequence.
+    """One row per piece: its place in the document, its ids, their CRC-32, its bucket, sequence and batch.
 
     ``ids_crc32`` is over little-endian unsigned 32-bit ids; ``doc_tokens``
-    counts the document's ids with the end id. ``sequence_id`` is unique,
-    ``sequence_offset`` always 0: a piece fills its sequence. ``with_ids=False``
-    leaves ``ids`` null where only the layout is wanted.
+    counts the document's ids with the end id. ``bucket`` is the binary
+    logarithm of the length; ``sequence_id`` is unique, ``sequence_offset``
+    always 0: a piece fills its sequence. A batch holds sequences of one bucket,
+    ``most`` tokens of them, by ``batch_row``. ``with_ids=False`` leaves ``ids``
+    null where only the layout is wanted.
 
     Edge cases: a null or empty text is its end id alone, one piece of length
     1; a document of any length is read whole and gives as many pieces as it
-    needs; rows that repeat, or share an id, are packed separately; no rows
-    give no pieces. Further input columns are ignored unless carried.
+    needs; rows that repeat, or share an id, are packed separately, and which
+    of their pieces gets which number depends on the partitions; no rows give
+    no pieces. Further input columns are ignored unless carried.
     """
     if most & (most - 1) or most < 1:
         raise ValueError("most must be a power of two")
@@ -317,6 +330,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(tokenizer_path)
+        partition, seen = TaskContext.get().partitionId() << _PARTITION_AT, [0] * most.bit_length()
         for whole in batches:
             for batch in in_slices(whole, 2 << 20, 1024):
                 of, got = [], [[] for _ in PIECE]
@@ -325,7 +339,11 @@ def pack(
                 for i, ids in enumerate(every):
                     for start, size in pieces_of(len(ids), most):
                         of.append(i)
-                        for column, value in zip(got, (start, size, len(ids), None, zlib.crc32(ids[start : start + size].tobytes())), strict=True):
+                        bucket = size.bit_length() - 1
+                        first, (group, row) = (bucket << _BUCKET_AT) + partition, divmod(seen[bucket], most // size)
+                        piece = (start, size, len(ids), None, zlib.crc32(ids[start : start + size].tobytes()), bucket, first + seen[bucket], first + group, row)
+                        seen[bucket] += 1
+                        for column, value in zip(got, piece, strict=True):
                             column.append(value)
                 kept = [batch.column(k).take(pa.array(of, pa.int32())) for k in (0, *range(2, 2 + len(carry)))]
                 new = [pa.array(x, f.type) for x, f in zip(got, list(arrow)[len(kept) :], strict=True)]
@@ -335,10 +353,9 @@ def pack(
                     new[3] = pa.ListArray.from_arrays(offsets, np.concatenate(every).view(np.int32)).cast(arrow.field("ids").type)
                 yield pa.RecordBatch.from_arrays([*kept, *new], schema=arrow)
 
-    cuts = rows(docs, id_col, text_col, carry).mapInArrow(cut, out)
-    return cuts.withColumns({"sequence_id": F.monotonically_increasing_id(), "sequence_offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
+    return rows(docs, id_col, text_col, carry).mapInArrow(cut, out).withColumn("sequence_offset", F.lit(0).cast("long"))
 
 
 def sequence_columns() -> list[Column]:
     """The layout of a piece without its ids."""
-    return [F.col(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id")] + [F.col("sequence_offset").alias("offset")]
+    return [F.col(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id")] + [F.col("sequence_offset").alias("offset")] + [F.col(c) for c in ("bucket", "batch_id", "batch_row")]

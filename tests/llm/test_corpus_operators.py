@@ -208,7 +208,18 @@ def test_packing_round_trip(docs):
     for r in got:
         assert r["length"] == len(r["ids"]) and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 64 and r["sequence_offset"] == 0
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        assert r["length"] == 1 << r["bucket"]
         by_text.setdefault((r["doc_id"], r["text"]), {}).setdefault(r["start"], []).append(r)
+    batches = {}
+    for r in got:
+        batches.setdefault(r["batch_id"], []).append(r)
+    unfilled = 0
+    for members in batches.values():
+        assert len({r["bucket"] for r in members}) == 1 and sorted(r["batch_row"] for r in members) == list(range(len(members)))
+        tokens = sum(r["length"] for r in members)
+        assert tokens <= 64
+        unfilled += tokens < 64
+    assert unfilled <= 7 * docs.rdd.getNumPartitions(), "a partition leaves at most one batch of a bucket unfilled"
     assert len(by_text) == docs.select("doc_id", "text").distinct().count()
     for (_, text), pieces in by_text.items():
         ids = [x for start in sorted(pieces) for x in pieces[start][0]["ids"]]
