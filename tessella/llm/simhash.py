@@ -96,9 +96,10 @@ def moves(level: int) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def _moves(df: DataFrame, level: int) -> DataFrame:
-    rows = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("fixed", "then", "flip", "cost"), m, strict=True)]) for m in moves(level)])
-    return df.sparkSession.range(1).select(F.inline(rows))
+def _moves(level: int, condition) -> Column:
+    """The moves of a level that meet a condition, a row each."""
+    every = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("of", "then", "flip", "cost"), m, strict=True)]) for m in moves(level)])
+    return F.inline(F.filter(every, lambda m: (m["of"] == F.col("fixed")) & condition(m)))
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
@@ -113,28 +114,28 @@ def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> Data
         raise ValueError("distance must be 0, 1 or 2: one flipped bit a segment is enumerated")
     asks = distinct.select("fp", F.lit(0).cast("long").alias("fixed"), F.lit(0).cast("long").alias("flips"), F.lit(distance).cast("long").alias("budget"))
     tables = distinct.select("fp", F.lit(0).cast("long").alias("fixed"))
-    found = []
+    found, key = [], ["fixed", "value"]
     for level in range(LEVELS):
-        step = F.broadcast(_moves(distinct, level))
-        pays = (F.col("cost") * 2 <= F.col("budget")) & ((F.col("flip") == 0) | (F.col("fp").bitwiseAND(F.col("flip")) == 0))
-        near = asks.join(step, "fixed").filter(pays)
+        fp = F.col("fp")
+        pays = lambda m: (m["cost"] * 2 <= F.col("budget")) & ((m["flip"] == 0) | (F.col("fp").bitwiseAND(m["flip"]) == 0))
+        near = asks.select("fp", "flips", "budget", _moves(level, pays))
         near = near.select("fp", F.col("then").alias("fixed"), F.col("flips").bitwiseOR(F.col("flip")).alias("flips"), (F.col("budget") - F.col("cost")).alias("budget"))
-        near = near.withColumn("value", F.col("fp").bitwiseXOR(F.col("flips")).bitwiseAND(F.col("fixed")))
-        held = tables.join(step.filter("flip = 0"), "fixed").select("fp", F.col("then").alias("fixed"), F.col("fp").bitwiseAND(F.col("then")).alias("value"))
-        last = level == LEVELS - 1
-        if not last:
-            crowded = materialise(held.groupBy("fixed", "value").count().filter(F.col("count") > hot).select("fixed", "value"))
-            both = ["fixed", "value"]
-            asks, tables = near.join(crowded, both, "left_semi"), held.join(crowded, both, "left_semi").drop("value")
-            held = held.join(crowded, both, "left_anti")
-        other = held.select(F.col("fp").alias("b"), "fixed", "value")
-        met = near.join(other, ["fixed", "value"])
-        verified = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance).filter((F.col("flips") != 0) & (F.col("fp") != F.col("b")) | (F.col("fp") < F.col("b")))
-        found.append(verified.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")))
+        near = near.withColumn("value", fp.bitwiseXOR(F.col("flips")).bitwiseAND(F.col("fixed")))
+        held = tables.select("fp", _moves(level, lambda m: m["flip"] == 0)).select("fp", F.col("then").alias("fixed"), fp.bitwiseAND(F.col("then")).alias("value"))
+        held, last = materialise(held), level == LEVELS - 1
+        buckets = held.select(*key, F.col("fp").alias("b"))
         if not last:
-            asks = asks.drop("value")
-            if not crowded.take(1):
-                break
+            # A hot bucket answers with one row, without a fingerprint: ask further.
+            crowded = materialise(held.groupBy(*key).count().filter(F.col("count") > hot).select(*key))
+            buckets = buckets.join(crowded, key, "left_anti").unionByName(crowded.withColumn("b", F.lit(None).cast("long")))
+            tables = held.join(crowded, key, "left_semi").select("fp", "fixed")
+        once = F.when(F.col("flips") == 0, fp < F.col("b")).otherwise(fp != F.col("b"))
+        close = F.bit_count(fp.bitwiseXOR(F.col("b"))) <= distance
+        met = materialise(near.join(buckets, key).filter(F.col("b").isNull() | close & once).select("fp", "fixed", "flips", "budget", "b"))
+        found.append(met.filter("b IS NOT NULL").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")))
+        asks = met.filter("b IS NULL").drop("b")
+        if last or not crowded.take(1):
+            break
     return reduce(DataFrame.unionByName, found)
 
 
