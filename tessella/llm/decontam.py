@@ -7,16 +7,18 @@ suffix that occurs in some item. A window is 13 consecutive item words; an item
 of fewer words is one window. Every document word inside an occurrence of a
 window is hit.
 
-Scale: one pass over the documents, no shuffle. Items travel as a broadcast
-block of at most ``block_words`` words; a larger item table becomes more blocks
-and one further narrow pass each, so neither driver nor workers ever hold more
-than a block. Spans and item ids pass from block to block in the row.
+Scale: one narrow pass over the documents, no shuffle. Items travel as a
+broadcast block of at most ``block_words`` words (or one longer item); a larger
+item table becomes more blocks and one pass each. Passes are written to the
+shared folder one after the other and the block before is dropped, so driver
+and workers hold one block at a time; a worker process builds its automaton
+once, not once a task. Spans and item ids pass from block to block in the row.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.llm.common import ID, TEXT, in_slices, rows, schema_of
-from tessella.runtime import ship
+from tessella.runtime import materialise, ship
 
 WINDOW = 13
 COVERAGE = 0.05
 #: Words of one broadcast block of items: about 100 MB of automaton in a worker.
 BLOCK_WORDS = 200_000
 
+#: The automaton that a worker process built last, by its broadcast's number.
+_latest: dict[int, Automaton] = {}
+
 #: Each byte's normal form: lower-case word bytes stay, all else parts words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -155,6 +160,14 @@ class Automaton:
         return spans, names
 
 
+def automaton_of(number: int, block: Callable[[], list], window: int) -> Automaton:
+    """The automaton of a broadcast block, built once a worker process; the one before it goes."""
+    if number not in _latest:
+        _latest.clear()
+        _latest[number] = Automaton(block(), window)
+    return _latest[number]
+
+
 def merged(spans: Sequence[Sequence[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(map(list, spans)):
@@ -229,11 +242,12 @@ def decontaminate(
 
     def over(df: DataFrame, block: list, last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
+        number = uuid.uuid4().int
         schema = result if last else between
         arrow = to_arrow_schema(schema)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
+            automaton = automaton_of(number, lambda: shared.value, window)
             for whole in batches:
                 for batch in in_slices(whole, 8 << 20, 4096):
                     got: list[list] = [[] for _ in (RESULT if last else hits)]
@@ -259,7 +273,12 @@ def decontaminate(
                     new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(got, list(arrow)[len(kept) :], strict=True)]
                     yield pa.RecordBatch.from_arrays([*kept, *new], schema=arrow)
 
-        return df.mapInArrow(scan, schema)
+        found = df.mapInArrow(scan, schema)
+        if not last:
+            # A table between two passes: a stage never holds two automata, and the block can go.
+            found = materialise(found)
+            shared.destroy()
+        return found
 
     waiting: list = []
     for block in _blocks(items, item_id, item_text, block_words):
@@ -268,6 +287,3 @@ def decontaminate(
         waiting = block
     return over(current, waiting, last=True)
 
-
-def digest(item_ids: Sequence[str]) -> str:
-    return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()
