@@ -6,14 +6,17 @@ hash of its words, both by prefix sums modulo 2^64 with an odd base, so a whole
 block of documents is hashed in a few vectorised passes. A window that starts
 at two places or more is repeated; the words it covers go.
 
-Scale: documents are dealt into blocks of a few MB by a hash of id and text.
-A block sends each of its distinct window hashes once, sorted and packed, to
-the bucket of the hash's leading bits; the bucket finds hashes that two blocks
-sent (or one block saw twice) and answers with one bit for each hash. A passage
-in a third of all documents therefore costs a bucket one hash for each block,
-never one row for each copy. Blocks and buckets grow in number with the input,
-not in size. The text is shuffled once (both uses share that exchange), the
-hashes once in about six bytes each, the answers in one bit each.
+Scale: document rows are dealt evenly into blocks of a few MB, whatever their
+ids and texts. A block sends each of its distinct window hashes once, sorted
+and packed, to the bucket of the hash's leading bits; the bucket finds hashes
+that two blocks sent (or one block saw twice) and answers each block with those
+of its hashes. A passage in a third of all documents therefore costs a bucket
+one hash for each block, never one row for each copy. Blocks and buckets grow
+in number with the input, not in size. A block sends to at most ``MOST_PARTS``
+ranges of hashes; where there are more buckets, groups of blocks of a bucket's
+size are sorted once more and sent on from each range to its buckets, so that
+messages stay long at any size. The text is shuffled once (both uses share that
+exchange), the hashes once or twice in about six bytes each.
 
 Two different windows share a hash with probability 2^-64 for each pair.
 """
@@ -38,6 +41,8 @@ WINDOW = 35
 #: Text bytes of one block, and of the text whose windows meet in one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 LEAST_BLOCKS = 64
+#: Ranges of hashes that a block sends to at most.
+MOST_PARTS = 2048
 
 RESULT = [
     T.StructField("n_words", T.LongType()),
@@ -62,11 +67,6 @@ class Windows:
         self.distinct, self.inverse, times = np.unique(rolled, return_inverse=True, return_counts=True)
         self.twice = times > 1
 
-    def parts(self, buckets: int) -> np.ndarray:
-        """Where the hashes of each bucket begin among the sorted ones; a bucket is a range of hashes."""
-        edges = [min((i << 64) // buckets, (1 << 64) - 1) for i in range(buckets)]
-        return np.append(np.searchsorted(self.distinct, np.array(edges, np.uint64)), len(self.distinct))
-
     def covered(self, repeated: np.ndarray) -> np.ndarray:
         """For each word, whether a repeated window covers it; repeated: by distinct hash."""
         hit = self.starts[repeated[self.inverse]]
@@ -87,14 +87,38 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+#: Sorted hashes of one block, or of several with the block of each; which of them their block saw twice.
 _SENT = T.StructType([
     T.StructField("_bucket", T.IntegerType()),
     T.StructField("_block", T.IntegerType()),
     T.StructField("_n", T.IntegerType()),
     T.StructField("_hashes", T.BinaryType()),
     T.StructField("_twice", T.BinaryType()),
+    T.StructField("_blocks", T.BinaryType()),
 ])
-_ANSWER = T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("_bucket", T.IntegerType()), T.StructField("_bits", T.BinaryType())])
+_ANSWER = T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("_n", T.IntegerType()), T.StructField("_hashes", T.BinaryType())])
+
+
+def _table(columns: Sequence[list], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _cuts(sorted_hashes: np.ndarray, first: int, n: int, width: int) -> np.ndarray:
+    """Where each of n ranges of hashes begins, and the end; range i holds the hashes from (first + i) x width on."""
+    edges = [min((first + i) * width, (1 << 64) - 1) for i in range(1, n)]
+    return np.concatenate(([0], np.searchsorted(sorted_hashes, np.array(edges, np.uint64)), [len(sorted_hashes)])).astype(np.int64)
+
+
+def _entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All hashes of the messages, sorted, with the block of each and whether that saw it twice."""
+    hashes, blocks, twice = [], [], []
+    for n, block, packed, bits, many in zip(*[group.column(c).to_pylist() for c in ("_n", "_block", "_hashes", "_twice", "_blocks")], strict=True):
+        hashes.append(_unpack(packed, n))
+        blocks.append(np.full(n, block, np.int32) if many is None else np.frombuffer(pa.decompress(many, 4 * n, codec="zstd", asbytes=True), np.int32))
+        twice.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool))
+    every = np.concatenate(hashes)
+    order = np.argsort(every, kind="stable")
+    return every[order], np.concatenate(blocks)[order], np.concatenate(twice)[order]
 
 
 def _spans(flags: np.ndarray) -> np.ndarray:
@@ -118,19 +142,25 @@ def dedup_substrings(
 
     A window that starts anywhere else too, in the same document or another, is
     repeated; every word that a repeated window covers is removed, at all its
-    places. Windows are judged on the input alone.
+    places. Windows are judged on the input alone. The input must give the same
+    rows in the same order when it is read again, as files do.
 
     Edge cases: a null or empty text has no words and keeps an empty text; a
     text of fewer than ``window`` words has no window; rows that repeat (equal
-    id and text) count as separate documents, so their windows repeat; an empty
-    table gives no rows. Further input columns are ignored unless carried.
+    id and text, null ids too) count as separate documents, so their windows
+    repeat; texts are read whole, a block being at least its longest text; an
+    empty table gives no rows. Further input columns are ignored unless carried.
     """
     spark = docs.sparkSession
     ship(spark)
     base = rows(docs, id_col, text_col, carry)
     total = base.agg(F.sum(F.octet_length(TEXT))).first()[0]
     blocks, buckets = blocks_for(total, BLOCK_BYTES, LEAST_BLOCKS), blocks_for(total, BUCKET_BYTES, LEAST_BLOCKS)
-    dealt = base.withColumn("_block", F.pmod(F.xxhash64(F.col(ID), F.col(TEXT)), F.lit(blocks)).cast("int"))
+    # A bucket is a range of hashes; a block sends to ranges of ``inner`` buckets each.
+    inner = -(-buckets // MOST_PARTS)
+    outer = -(-buckets // inner)
+    width = -(-(1 << 64) // (outer * inner))
+    dealt = base.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     sent, answer = to_arrow_schema(_SENT), to_arrow_schema(_ANSWER)
 
     def texts_of(group: pa.Table) -> list[bytes]:
@@ -138,29 +168,38 @@ def dedup_substrings(
 
     def send(group: pa.Table) -> pa.Table:
         w = Windows(texts_of(group), window)
-        at = w.parts(buckets)
-        block = group.column("_block")[0].as_py()
-        out: list[list] = [[], [], [], [], []]
+        at, block = _cuts(w.distinct, 0, outer, width * inner), group.column("_block")[0].as_py()
+        out: list[list] = [[] for _ in sent]
         for b in np.flatnonzero(np.diff(at)).tolist():
             part = slice(at[b], at[b + 1])
-            for column, value in zip(out, (b, block, at[b + 1] - at[b], _pack(w.distinct[part]), np.packbits(w.twice[part]).tobytes()), strict=True):
+            for column, value in zip(out, (b, block, at[b + 1] - at[b], _pack(w.distinct[part]), np.packbits(w.twice[part]).tobytes(), None), strict=True):
                 column.append(value)
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, sent, strict=True)], schema=sent)
+        return _table(out, sent)
+
+    def send_on(group: pa.Table) -> pa.Table:
+        """From a range to its buckets, the hashes of many blocks in one message each."""
+        hashes, of, twice = _entries(group)
+        first = group.column("_bucket")[0].as_py() * inner
+        at = _cuts(hashes, first, inner, width)
+        out: list[list] = [[] for _ in sent]
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            part = slice(at[b], at[b + 1])
+            owners = pa.compress(of[part].tobytes(), codec="zstd", asbytes=True)
+            for column, value in zip(out, (first + b, None, at[b + 1] - at[b], _pack(hashes[part]), np.packbits(twice[part]).tobytes(), owners), strict=True):
+                column.append(value)
+        return _table(out, sent)
 
     def count(group: pa.Table) -> pa.Table:
-        sizes = group.column("_n").to_pylist()
-        own = [_unpack(blob.as_py(), n) for blob, n in zip(group.column("_hashes"), sizes, strict=True)]
-        every = np.sort(np.concatenate(own))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        out: list[list] = [[], [], []]
-        for mine, twice, block, bucket in zip(own, group.column("_twice"), group.column("_block"), group.column("_bucket"), strict=True):
-            bits = np.unpackbits(np.frombuffer(twice.as_py(), np.uint8), count=len(mine)).astype(bool)
-            if len(shared):
-                bits |= shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
-            if bits.any():
-                for column, value in zip(out, (block.as_py(), bucket.as_py(), np.packbits(bits).tobytes()), strict=True):
-                    column.append(value)
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, answer, strict=True)], schema=answer)
+        hashes, of, repeated = _entries(group)
+        same = hashes[1:] == hashes[:-1]
+        repeated[1:] |= same
+        repeated[:-1] |= same
+        hashes, of = hashes[repeated], of[repeated]
+        order = np.argsort(of, kind="stable")
+        hashes, of = hashes[order], of[order]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])) if len(of) else np.zeros(1, int)
+        parts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        return _table([[int(of[lo]) for lo, _ in parts], [hi - lo for lo, hi in parts], [_pack(hashes[lo:hi]) for lo, hi in parts]], answer)
 
     result = schema_of(docs, id_col, carry, RESULT)
     arrow = to_arrow_schema(result)
@@ -170,11 +209,9 @@ def dedup_substrings(
         got: list[list] = [[], [], [], []]
         if texts:
             w = Windows(texts, window)
-            at = w.parts(buckets)
-            repeated = np.zeros(len(w.distinct), bool)
-            for bucket, bits in zip(answers.column("_bucket").to_pylist(), answers.column("_bits"), strict=True):
-                lo, hi = at[bucket], at[bucket + 1]
-                repeated[lo:hi] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=hi - lo)
+            told = [_unpack(packed, n) for packed, n in zip(answers.column("_hashes").to_pylist(), answers.column("_n").to_pylist(), strict=True)]
+            told = np.sort(np.concatenate([np.zeros(0, np.uint64), *told]))
+            repeated = told[np.minimum(np.searchsorted(told, w.distinct), len(told) - 1)] == w.distinct if len(told) else np.zeros(len(w.distinct), bool)
             gone = w.covered(repeated)
             for text, lo, hi in zip(texts, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                 mine, words = gone[lo:hi], text.split()
@@ -186,5 +223,8 @@ def dedup_substrings(
         kept = [group.column(0), *group.columns[2 : 2 + len(carry)]]
         return pa.Table.from_arrays([*kept, *new, pa.array(got[-1], pa.binary()).cast(pa.string())], schema=arrow)
 
-    answers = dealt.groupBy("_block").applyInArrow(send, _SENT).groupBy("_bucket").applyInArrow(count, _ANSWER)
+    messages = dealt.groupBy("_block").applyInArrow(send, _SENT)
+    if inner > 1:
+        messages = messages.withColumn("_salt", F.pmod(F.xxhash64("_block"), F.lit(inner))).groupBy("_bucket", "_salt").applyInArrow(send_on, _SENT)
+    answers = messages.groupBy("_bucket").applyInArrow(count, _ANSWER)
     return dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(remove, result)

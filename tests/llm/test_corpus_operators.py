@@ -117,13 +117,26 @@ def brute_windows(given, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window", [35, 5])
-def test_substrings_match_brute_force(docs, window):
+@pytest.mark.parametrize(("window", "sizes"), [(35, {}), (5, {}), (5, {"BLOCK_BYTES": 1500, "BUCKET_BYTES": 700, "MOST_PARTS": 7, "LEAST_BLOCKS": 2})])
+def test_substrings_match_brute_force(docs, window, sizes, monkeypatch):
+    """Also with more buckets than a block sends to, so that hashes go on from ranges to buckets."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(f"tessella.llm.substrings.{name}", value)
     given = [(r["doc_id"], r["text"]) for r in rows_of(docs)]
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(dedup_substrings(docs, window=window)))
     assert got == brute_windows(given, window)
 
 
+def test_substrings_deal_equal_rows_apart(spark):
+    """Rows that agree in everything, ids too, are dealt to many blocks, and each loses its words."""
+    text = prose(50)
+    df = spark.createDataFrame([(None, text)] * 300 + [(1, prose(50))], "doc_id long, text string").repartition(4)
+    found = dedup_substrings(df)
+    got = Counter((r["doc_id"], r["n_removed"]) for r in found.collect())
+    assert got == {(None, 50): 300, (1, 0): 1}
+    assert found._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1 or "ReusedExchange" in found._jdf.queryExecution().toString()
+
+
 def test_substrings_keep_layout_and_empty(docs):
     for r in rows_of(dedup_substrings(docs, rejoin=False, carry=["text"]).filter("n_removed = 0")):
         assert r["kept_text"] == (r["text"] or "")
