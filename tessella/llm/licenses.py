@@ -14,9 +14,8 @@ on their path that holds a licence file with one.
 Scale: DataFrame operations only. Document frequencies are partial counts of a
 fixed vocabulary, the number of files one of them. A unit can only reach the
 threshold if it has one of a notice's heaviest terms (by Cauchy-Schwarz the
-lighter ones fall short), or as many different terms of a full text as its
-heaviest ones must be to reach it; only such units are cut into terms and
-shuffled. Equal texts of an id are one unit. Directories
+lighter ones fall short), or enough different terms of a full text that are not
+among its most frequent; only such units are cut into terms and shuffled. Equal texts of an id are one unit. Directories
 are resolved once each, not per file; the joins of files to directories are
 equi-joins that AQE splits for a hot directory. Tables of templates are
 literals.
@@ -105,14 +104,24 @@ def _anchors(weights: dict[str, float], threshold: float) -> set[str]:
     return found
 
 
-def _least_terms(weights: dict[str, float], threshold: float) -> int:
-    """How many different terms of a unit vector the threshold takes at least: with its heaviest ones."""
-    held = 0.0
-    for n, w in enumerate(sorted(weights.values(), reverse=True), 1):
-        held += w * w
-        if held >= (threshold - 1e-6) ** 2:
-            return n
-    return len(weights)
+def _telling(weights: dict[str, float], idf: dict[str, float], threshold: float) -> tuple[list[str], int]:
+    """Terms of a full text, and how many different ones of them a unit needs at least to reach the threshold.
+
+    A unit's cosine is at most the root of the squared weights of the terms it
+    shares. The most frequent terms, up to half of what the threshold asks, are
+    given to it; the rest must come from the others, at best the heaviest.
+    """
+    asked, given, telling = (threshold - 1e-6) ** 2, 0.0, []
+    for term in sorted(weights, key=lambda t: (idf[t], t)):
+        if not telling and given + weights[term] ** 2 <= asked / 2:
+            given += weights[term] ** 2
+        else:
+            telling.append(term)
+    for n, w in enumerate(sorted((weights[t] for t in telling), reverse=True), 1):
+        given += w * w
+        if given >= asked:
+            return telling, n
+    return telling, len(telling)
 
 
 def weigh(files: DataFrame, text_col: str, wordings: Sequence[str]) -> tuple[dict[str, float], float, list[dict[str, float]]]:
@@ -132,10 +141,10 @@ def weigh(files: DataFrame, text_col: str, wordings: Sequence[str]) -> tuple[dic
     return idf, math.log(1 + n) + 1, vectors
 
 
-def _candidates(base: DataFrame, known: Sequence[Template], vectors: Sequence[dict[str, float]], threshold: float) -> DataFrame:
+def _candidates(base: DataFrame, known: Sequence[Template], idf: dict[str, float], vectors: Sequence[dict[str, float]], threshold: float) -> DataFrame:
     """(_id, _key, _no, _terms): the units that can reach the threshold with some template."""
     anchors = sorted(set().union(*[_anchors(v, threshold) for t, v in zip(known, vectors, strict=True) if t.kind == HEADER]))
-    full = [(sorted(v), _least_terms(v, threshold)) for t, v in zip(known, vectors, strict=True) if t.kind == FILE and v]
+    full = [_telling(v, idf, threshold) for t, v in zip(known, vectors, strict=True) if t.kind == FILE and v]
     shared = lambda ts, words: F.size(F.array_intersect(ts, _words(words)))
     either = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -181,7 +190,7 @@ def scan(
     known = templates() if known is None else known
     base = files.select(files[id_col].alias("_id"), files[path_col].cast("string").alias("_path"), files[text_col].cast("string").alias("_text"))
     idf, other, vectors = weigh(base, "_text", [t.text for t in known])
-    cut = _candidates(base, known, vectors, threshold)
+    cut = _candidates(base, known, idf, vectors, threshold)
     counted = cut.select("_id", "_key", "_no", F.explode("_terms").alias("term")).groupBy("_id", "_key", "_no", "term").agg(F.count("*").alias("tf"))
     weights = _table(base, "term string; idf double; shares array<double>", [(t, w, [v.get(t, 0.0) for v in vectors]) for t, w in idf.items()])
     # The templates' terms are a fixed table of some 2,000 rows.
