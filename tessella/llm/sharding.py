@@ -7,12 +7,14 @@ each item (the item in one part, the others empty) and repeatedly combines the
 two whose parts differ most, the largest part of one with the smallest of the
 other, until one partition is left.
 
-Scale: texts are read for their size and hash only, and never shuffled. The
+Scale: texts are read once, for their size and hash, and never shuffled unless
+they are asked for; the narrow rows are written to the shared folder. The
 number of bundles is a parameter, not a function of the input, so the driver
 differences a bounded list whatever the number of documents; a group is heavy
-from a share of all bytes on that only a bounded number can have. Slots come from counts by shard and block
-(``shards`` x ``blocks`` numbers) and a row number within a block, so no task
-sees a whole shard.
+from a share of all bytes on that only a bounded number can have. Rows are
+dealt evenly into blocks, whatever their ids and texts; slots come from counts
+by shard and block and a row number within a block of some ``BLOCK_ROWS``, so
+no task sees a whole shard.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessella.llm.common import schema_of
+from tessella.runtime import materialise
 
 SHARDS, BUNDLES = 8, 4096
 #: Documents of one block are numbered in one window; blocks of a shard follow each other.
 LEAST_BLOCKS, BLOCK_ROWS = 512, 1 << 18
-#: A broadcast of offsets holds at most so many numbers.
-MOST_OFFSETS = 1 << 20
 #: Heavy groups times shards are at most so many numbers on the driver, or as many groups as bundles.
 MOST_SUMS = 1 << 18
 
@@ -82,19 +86,24 @@ def shard(
 ) -> DataFrame:
     """One row per document row: ``size``, ``text_crc32``, ``shard``, and ``slot``, its place in the shard from 0.
 
-    Slots follow blocks of a hash of the id, and the id within a block; rows
-    that agree in id and text are alike, so their order doesn't show.
+    Slots follow blocks of rows and the rows in them; equal inputs in equal
+    files give equal slots.
 
     Edge cases: a null text counts as empty (size 1, CRC 0) and groups with
-    empty texts; null ids are numbered like others; one giant group fills its
-    shard and the rest is balanced over the others; fewer groups than shards
-    leave shards empty; no rows give no rows. Further input columns are ignored
-    unless carried.
+    empty texts; null ids and rows that repeat are numbered like others; one
+    giant group fills its shard and the rest is balanced over the others; fewer
+    groups than shards leave shards empty; equal sizes combine in the order of
+    bundles, then of hashes; texts are read whole, whatever their length; no
+    rows give no rows. Further input columns are ignored unless carried; a
+    carried column with a result's name is an error.
     """
+    if shards < 1 or bundles < 1:
+        raise ValueError("shards and bundles must be 1 or more")
+    schema_of(docs, id_col, [*[text_col] * with_text, *carry], [T.StructField(c, T.LongType()) for c in ("size", "text_crc32", "shard", "slot")])
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     own = [docs[id_col].alias("_id"), F.xxhash64(text).alias("_hash"), text_size(docs[text_col].cast("string")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
     base = docs.select(*own, *[docs[text_col].alias("_text")] * with_text, *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)])
-    base = base.withColumn("_bundle", F.pmod("_hash", F.lit(bundles)).cast("int"))
+    base = materialise(base.withColumns({"_bundle": F.pmod("_hash", F.lit(bundles)).cast("int"), "_row": F.monotonically_increasing_id()}))
     weights = base.groupBy("_bundle").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     total, most = sum(r["size"] for r in weights), min(shards * bundles, max(bundles, MOST_SUMS // max(shards, 1)))
     heavy = base.groupBy("_hash", "_bundle").agg(F.sum("size").alias("size")).filter(F.col("size") * most >= total).collect() if weights else []
@@ -107,15 +116,15 @@ def shard(
     spark = docs.sparkSession
     of_bundle = spark.createDataFrame(list(zip(light, parts)), "_bundle int, _light int")
     of_group = spark.createDataFrame([(r["_hash"], p) for r, p in zip(heavy, parts[len(light) :], strict=True)], "_hash long, _heavy int")
-    blocks = max(LEAST_BLOCKS, -(-sum(r["n"] for r in weights) // BLOCK_ROWS // shards))
-    blocks = min(blocks, MOST_OFFSETS // shards)
+    # Even a shard that holds nearly all rows has blocks of bounded size.
+    blocks = max(LEAST_BLOCKS, -(-sum(r["n"] for r in weights) // BLOCK_ROWS))
     placed = base.join(F.broadcast(of_group), "_hash", "left").join(F.broadcast(of_bundle), "_bundle", "left").withColumn("shard", F.coalesce("_heavy", "_light"))
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_id", "_hash", F.lit(1)), F.lit(blocks)).cast("int"))
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
     counts = placed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "_block", before.alias("_offset"))
-    row = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_id", "_hash")) - 1
-    slotted = placed.withColumn("_row", row).join(F.broadcast(offsets), ["shard", "_block"])
+    row = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_row")) - 1
+    slotted = placed.withColumn("_place", row).join(offsets, ["shard", "_block"])
     return slotted.select(
         F.col("_id").alias(id_col),
         *[F.col("_text").alias(text_col)] * with_text,
@@ -123,5 +132,5 @@ def shard(
         "size",
         "text_crc32",
         "shard",
-        (F.col("_offset") + F.col("_row")).cast("long").alias("slot"),
+        (F.col("_offset") + F.col("_place")).cast("long").alias("slot"),
     )

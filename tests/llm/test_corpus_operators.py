@@ -473,6 +473,59 @@ def test_differencing_balances():
     assert difference([], 3) == [] and set(difference([5, 5, 5], 3)) == {0, 1, 2}
 
 
+def plain_difference(sizes, parts):
+    """Differencing in its plainest form: sorted lists of (sum, members), the two of largest spread combined; ties to the one made first."""
+    partial = [(i, [(s, [i])] + [(0, [])] * (parts - 1)) for i, s in enumerate(sizes)]
+    made = len(sizes)
+    while len(partial) > 1:
+        partial.sort(key=lambda x: (-(x[1][0][0] - x[1][-1][0]), x[0]))
+        (_, a), (_, b) = partial[:2]
+        combined = sorted(((p[0] + q[0], p[1] + q[1]) for p, q in zip(a, reversed(b), strict=True)), key=lambda x: -x[0])
+        partial = [(made, combined), *partial[2:]]
+        made += 1
+    return [sorted(members) for _, members in partial[0][1]] if partial else [[]] * parts
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 8])
+def test_differencing_matches_a_plain_version(parts):
+    for trial in range(12):
+        pick = random.Random(trial)
+        sizes = [pick.choice([1, 5, 5, pick.randint(1, 400)]) for _ in range(pick.choice([0, 1, 5, 60]))]
+        found = difference(sizes, parts)
+        expected = plain_difference(sizes, parts)
+        assert [[i for i, p in enumerate(found) if p == k] for k in range(parts)] == expected
+
+
+def test_shards_match_a_plain_version(spark):
+    """Through Spark: bundles that hold one group each, so the items are the groups in the order of their bundles."""
+    texts = [prose(random.randint(1, 60)) + f" {i}" for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9] * 3 + [None, ""])], "doc_id long, text string")
+    bundles = 1 << 20
+    of = {r["text"]: r["b"] for r in df.selectExpr("coalesce(text, '') AS text", f"pmod(xxhash64(coalesce(text, '')), {bundles}) AS b").distinct().collect()}
+    assert len(set(of.values())) == len(of)
+    sizes = Counter()
+    for r in df.collect():
+        sizes[r["text"] or ""] += len((r["text"] or "").encode()) + 1
+    order = sorted(of, key=of.get)
+    expected = [sorted(order[i] for i in members) for members in plain_difference([sizes[t] for t in order], 4)]
+    got = shard(df, shards=4, bundles=bundles).collect()
+    # Every group is heavy here, so items are ordered by their hashes; sums must agree whatever the order of equals.
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    assert sorted(sums.values()) == sorted(sum(sizes[t] for t in members) for members in expected)
+
+
+def test_sharding_many_equal_rows(spark):
+    df = spark.createDataFrame([(None, "same")] * 5000 + [(1, "other"), (1, "other")], "doc_id long, text string")
+    got = shard(df, shards=2).collect()
+    for k in (0, 1):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    assert len(got) == 5002
+    with pytest.raises(ValueError, match="clash"):
+        shard(df.withColumn("size", F.lit(1)), carry=["size"])
+
+
 def test_heavy_groups_that_share_a_bundle_are_told_apart(spark):
     texts = ["a" * 5000, "b" * 5000, "c" * 5000, "d" * 5000, *[f"{i}" for i in range(300)]]
     df = spark.createDataFrame(list(enumerate(texts)) + [(999, "a" * 5000)], "doc_id long, text string")
