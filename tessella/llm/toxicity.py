@@ -8,10 +8,11 @@ expectation-maximisation, and the voters' correlations given the class;
 correlated voters share their weight. A linear classifier then learns the
 posterior labels and scores every text.
 
-Scale: fitting reads at most ``most_rows`` labelled documents (those whose id
-hashes lowest), found from the labels alone and broadcast, so no text is
-shuffled and the driver's matrix is bounded. Scoring is one narrow pass over
-all whole texts with a model of a few hundred numbers.
+Scale: fitting reads at most ``most_rows`` labelled ids (those that hash
+lowest), found from the labels alone and broadcast, so no text is shuffled; the
+driver gets one row of votes for each of these ids, however many documents
+share it. Scoring is one narrow pass over all whole texts with a model of a few
+hundred numbers.
 """
 
 from __future__ import annotations
@@ -56,6 +57,30 @@ def features(words: set[bytes]) -> set[bytes]:
     return found
 
 
+def separate(ranked: Sequence[tuple[bytes, int]], most: int) -> list[bytes]:
+    """The first features (word or beginning, toxic documents) that find something new, at most so many.
+
+    A feature is left out if a beginning that is taken covers it, or if it is a
+    beginning that finds no more than what is taken of it, so one root has one
+    voter and the rarer roots get theirs.
+    """
+    taken: list[bytes] = []
+    most_of: dict[bytes, int] = {}
+    for feature, toxic in ranked:
+        stem = feature.rstrip(b"*")
+        if any(stem[:p] + b"*" in most_of for p in PREFIXES if p <= len(stem)) or most_of.get(stem, -1) >= toxic:
+            continue
+        taken.append(feature)
+        for p in PREFIXES:
+            if p <= len(stem):
+                most_of[stem[:p]] = max(most_of.get(stem[:p], 0), toxic)
+        if feature.endswith(b"*"):
+            most_of[feature] = toxic
+        if len(taken) == most:
+            break
+    return taken
+
+
 class Lexicon:
     """The voters' words and beginnings by place, with a quick test of which words of a text can hit any."""
 
@@ -162,22 +187,28 @@ def learn(
     """A model from labelled documents. learnable: over the labels' id column. None without both classes.
 
     Null labels and labels without a document teach nothing; of an id that is
-    labelled more than once the larger label holds.
+    labelled more than once the larger label holds; documents that share an id
+    all count for the lexicon, and the one of most votes (as bits) for the label
+    model. Features of equal rank go by name. Empty tables give no model. Texts
+    are read whole, whatever their length. Further columns are ignored.
     """
     ship(docs.sparkSession)
     known = labels.filter(learnable & labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("_key")).agg(F.max(labels[label_col]).cast("int").alias("_label"))
-    chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(most_rows)
-    base = rows(docs, id_col, text_col).join(F.broadcast(chosen), F.col(ID) == F.col("_key")).select(F.col("_label"), F.col(TEXT))
+    # A threshold on the hash leaves little more than is wanted, so the last step sorts a bounded number of rows.
+    share = min(1.0, 1.25 * most_rows / max(known.count(), 1))
+    chosen = known.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)), "_key").limit(most_rows)
+    base = rows(docs, id_col, text_col).join(F.broadcast(chosen), F.col(ID) == F.col("_key")).select("_label", "_key", TEXT)
     counted = T.StructType([T.StructField("feature", T.BinaryType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
     arrow = to_arrow_schema(counted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         totals = [0, 0]
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen[label > 0].update(features(words_of(text.as_py())))
-                totals[label > 0] += 1
+        for whole in batches:
+            for batch in in_slices(whole, 8 << 20, 4096):
+                for label, text in zip(batch.column(0).to_pylist(), batch.column(TEXT), strict=True):
+                    seen[label > 0].update(features(words_of(text.as_py())))
+                    totals[label > 0] += 1
         # The empty feature counts the documents.
         seen[0][b""], seen[1][b""] = totals
         names = list(seen[0].keys() | seen[1].keys())
@@ -188,21 +219,22 @@ def learn(
     sums = base.mapInArrow(count, counted).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     precise = (F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean")))
     kept = sums.filter(precise | (F.octet_length("feature") == 0))
-    ranked = kept.withColumn("_all", F.octet_length("feature") == 0).orderBy(F.desc("_all"), F.desc((F.col("toxic") + 0.5) * (F.col("toxic") + 1) / (F.col("clean") + 0.5)), "feature").limit(most_voters * 4).collect()
+    ranked = kept.withColumn("_all", F.octet_length("feature") == 0).orderBy(F.desc("_all"), F.desc((F.col("toxic") + 0.5) * (F.col("toxic") + 1) / (F.col("clean") + 0.5)), "feature").limit(most_voters * 8).collect()
     total = next((r for r in ranked if r["_all"]), None)
     if total is None or not total["toxic"] or not total["clean"]:
         return None
     odds = lambda r: np.log((r["toxic"] + 0.5) / (total["toxic"] + 1)) - np.log((r["clean"] + 0.5) / (total["clean"] + 1))
-    lexicon = [bytes(r["feature"]) for r in ranked if not r["_all"] and odds(r) >= LOG_ODDS][:most_voters]
+    lexicon = separate([(bytes(r["feature"]), r["toxic"]) for r in ranked if not r["_all"] and odds(r) >= LOG_ODDS], most_voters)
     voters = Lexicon(lexicon)
-    voted = T.StructType([T.StructField("votes", T.BinaryType())])
+    voted = T.StructType([base.schema["_key"], T.StructField("votes", T.BinaryType())])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(voters.votes(x.as_py()).astype(bool)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary())], schema=to_arrow_schema(voted))
+        for whole in batches:
+            for batch in in_slices(whole, 8 << 20, 4096):
+                bits = [np.packbits(voters.votes(x.as_py()).astype(bool)).tobytes() for x in batch.column(TEXT)]
+                yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(bits, pa.binary())], schema=to_arrow_schema(voted))
 
-    ballots = [r["votes"] for r in base.mapInArrow(vote, voted).collect()]
+    ballots = [r["votes"] for r in base.mapInArrow(vote, voted).groupBy("_key").agg(F.max("votes").alias("votes")).collect()]
     m = len(lexicon) + len(PATTERNS)
     hits = np.unpackbits(np.frombuffer(b"".join(bytes(b) for b in ballots), np.uint8).reshape(len(ballots), -1), axis=1, count=m).astype(np.float64)
     prior = float(np.clip(total["toxic"] / (total["toxic"] + total["clean"]), 0.01, 0.99))
@@ -216,7 +248,8 @@ def classify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
     Edge cases: null and empty texts are scored as texts without a lexicon
     word; without a model every score is 0; long texts are read whole; rows
-    that repeat get equal scores; further input columns are ignored unless
+    that repeat get equal scores; a score that equals the threshold is
+    predicted 1; no rows give no rows; further input columns are ignored unless
     carried.
     """
     ship(docs.sparkSession)

@@ -284,6 +284,27 @@ def test_toxicity_learns_from_labels(spark):
     assert {r["score"] for r in rows_of(toxicity.classify(d, None))} == {0.0}
 
 
+def test_toxicity_takes_odd_rows(spark):
+    rows = [(i, ("rotten vermin " if i % 4 == 0 else "") + prose(30), "x", 1.0, "y") for i in range(200)]
+    odd = [(300, "plain " * 400_000 + "rotten vermin", "x", 1.0, "y"), (None, "rotten vermin", "x", 1.0, "y"), (0, "rotten", "x", 1.0, "y"), (4, rows[4][1], "x", 1.0, "y"), (4, rows[4][1], "x", 1.0, "y")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, _text string, score double, _label string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(4, 0), (None, 1), (999, 1), (7, None)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    model = toxicity.learn(df, labels, F.lit(True), most_rows=150)
+    got = rows_of(toxicity.classify(df, model, carry=["_text"]))
+    assert len(got) == 205 and {r["_text"] for r in got} == {"x"}
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 200)
+    same = [(r["score"], r["predicted"]) for r in got if r["doc_id"] == 4]
+    assert len(same) == 3 and len(set(same)) == 1
+    assert next(r for r in got if r["doc_id"] is None)["predicted"] == 1
+    assert toxicity.learn(df.limit(0), labels, F.lit(True)) is None and toxicity.learn(df, labels.limit(0), F.lit(True)) is None
+    assert toxicity.classify(df.limit(0), model).count() == 0
+
+
+def test_one_voter_a_root():
+    assert toxicity.separate([(b"vill*", 9), (b"villain", 9), (b"villa*", 9), (b"rotter", 5), (b"rott*", 5), (b"rotte*", 7), (b"cur", 4)], 9) == [b"vill*", b"rotter", b"rotte*", b"cur"]
+    assert toxicity.separate([(b"a", 3), (b"b", 3)], 1) == [b"a"]
+
+
 def test_label_model_discounts_correlated_voters():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.3
