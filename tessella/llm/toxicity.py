@@ -36,6 +36,8 @@ MOST_ROWS, MOST_VOTERS = 20_000, 256
 THRESHOLD = 0.3
 #: A lexicon voter's least number of toxic documents, share of them among all it hits, and log odds.
 LEAST_TOXIC, PRECISION, LOG_ODDS = 3, 0.9, 3.5
+#: A voter's share of toxic documents must be this unlikely for a feature that both classes share alike.
+CHANCE = 1e-3
 #: Beginnings of words that vote beside whole words.
 PREFIXES = (4, 5, 6)
 PATTERNS = ("shouting", "exclaiming", "many", "several", "none")
@@ -57,6 +59,14 @@ def features(words: set[bytes]) -> set[bytes]:
     return found
 
 
+def telling(toxic: int, clean: int, prior: float) -> bool:
+    """Whether so large a share of toxic documents is no chance, by the Chernoff bound of the binomial tail."""
+    n = toxic + clean
+    share = toxic / n
+    bound = toxic * np.log(share / prior) + (clean * np.log((1 - share) / (1 - prior)) if clean else 0.0)
+    return share > prior and bound >= -np.log(CHANCE)
+
+
 def separate(ranked: Sequence[tuple[bytes, int]], most: int) -> list[bytes]:
     """The first features (word or beginning, toxic documents) that find something new, at most so many.
 
@@ -224,7 +234,8 @@ def learn(
     if total is None or not total["toxic"] or not total["clean"]:
         return None
     odds = lambda r: np.log((r["toxic"] + 0.5) / (total["toxic"] + 1)) - np.log((r["clean"] + 0.5) / (total["clean"] + 1))
-    lexicon = separate([(bytes(r["feature"]), r["toxic"]) for r in ranked if not r["_all"] and odds(r) >= LOG_ODDS], most_voters)
+    prior = float(np.clip(total["toxic"] / (total["toxic"] + total["clean"]), 0.01, 0.99))
+    lexicon = separate([(bytes(r["feature"]), r["toxic"]) for r in ranked if not r["_all"] and odds(r) >= LOG_ODDS and telling(r["toxic"], r["clean"], prior)], most_voters)
     voters = Lexicon(lexicon)
     voted = T.StructType([base.schema["_key"], T.StructField("votes", T.BinaryType())])
 
@@ -237,7 +248,6 @@ def learn(
     ballots = [r["votes"] for r in base.mapInArrow(vote, voted).groupBy("_key").agg(F.max("votes").alias("votes")).collect()]
     m = len(lexicon) + len(PATTERNS)
     hits = np.unpackbits(np.frombuffer(b"".join(bytes(b) for b in ballots), np.uint8).reshape(len(ballots), -1), axis=1, count=m).astype(np.float64)
-    prior = float(np.clip(total["toxic"] / (total["toxic"] + total["clean"]), 0.01, 0.99))
     post, toxic_rate, clean_rate, share = label_model(hits, prior)
     weights, bias = linear(hits, post)
     return Model(lexicon, weights, bias, toxic_rate, clean_rate, share)
