@@ -15,7 +15,9 @@ are sent out. Predicting needs no shuffle.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ UNKNOWN = "und"
 MOST_LANGUAGES = 4096
 #: Texts whose n-gram counts meet in one matrix, their UTF-8 bytes, and n-gram vectors that a worker keeps.
 _TEXTS, _BYTES, _KEPT = 64, 1 << 18, 1 << 15
+#: Longer texts are counted piece by piece, so many bytes at a time.
+_PIECE = 1 << 20
 _GAP = 32
 
 _tables: dict = {}
@@ -142,29 +146,96 @@ def counts(texts: Sequence[bytes | None], n: int) -> tuple[np.ndarray, np.ndarra
     return keys[order], table[:, order], has
 
 
+def _pieces(text: bytes, size: int) -> Iterator[str]:
+    """The text in pieces of about so many bytes, cut between characters."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    for at in range(0, len(text), size):
+        yield decoder.decode(text[at : at + size], at + size >= len(text))
+
+
+def long_counts(text: bytes, n: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What counts() gives for one text, piece by piece: sorted keys that occur and their counts, and last the rest.
+
+    A piece goes on from the last n - 1 symbols before it; a gap is held back
+    until a letter follows or the text ends.
+    """
+    tail = np.array([_GAP], np.uint32)
+    held = False
+    for part in chain(_pieces(text, size), [None]):
+        if part is None:
+            new = np.array([_GAP], np.uint32)
+        else:
+            symbols = _symbols()[np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)]
+            letter = symbols != _GAP
+            # Of a run of other characters one gap stays, before the letter that follows; none at the text's beginning.
+            before = np.concatenate(([held], ~letter[:-1])) if len(letter) else np.zeros(0, bool)
+            at = np.flatnonzero(letter)
+            gaps = before[at] & ((np.arange(len(at)) > 0) | (tail[-1] != _GAP))
+            new = np.insert(symbols[at], np.flatnonzero(gaps), _GAP)
+            held = held if not len(letter) else bool(not letter[-1]) if letter.any() else True
+        run = np.concatenate((tail, new)).astype(np.uint64)
+        m = len(run) - n + 1
+        if m > 0:
+            keys = np.zeros(m, np.uint64)
+            for place in range(n):
+                keys |= run[place : place + m] << np.uint64(21 * place)
+            each, times = np.unique(keys, return_counts=True)
+            yield each, times.astype(np.float32)[None, :]
+        tail = run[max(len(run) - n + 1, 0) :].astype(np.uint32)
+
+
+def vector_of(grams: Grams, text: bytes, size: int) -> tuple[np.ndarray, float]:
+    """The bundled vector of a long text, and how many n-grams it holds."""
+    vector, total = np.zeros((1, grams.dims)), 0.0
+    for keys, table in long_counts(text, grams.n, size):
+        vector += grams.bundled(table, keys)
+        total += float(table.sum())
+    return vector, total
+
+
+def _has_letter(text: bytes, size: int) -> bool:
+    return any((_symbols()[np.frombuffer(p.encode("utf-32-le", "replace"), np.uint32)] != _GAP).any() for p in _pieces(text, size))
+
+
+def _short(batch: pa.RecordBatch, longest: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """The places of the texts of a batch that are counted together, and the longer ones."""
+    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(TEXT)], np.int64)
+    return np.flatnonzero(sizes <= longest), [(int(i), batch.column(TEXT)[int(i)].as_py()) for i in np.flatnonzero(sizes > longest)]
+
+
 def learn(docs: DataFrame, learnable: Column, *, text_col: str = "text", lang_col: str = "lang", n: int = NGRAM, dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """A prototype for each language, from the rows that are learnable, with a language and a letter."""
+    """A prototype for each language, from the rows that are learnable, with a language and a letter.
+
+    Every such row counts, also those that repeat; no such rows give no
+    prototypes. Texts are read whole, long ones in pieces. Further columns are
+    ignored.
+    """
     ship(docs.sparkSession)
     base = rows(docs.filter(learnable & docs[lang_col].isNotNull() & docs[text_col].isNotNull()), lang_col, text_col)
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(schema)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sums, seen = Grams(n, dims), {}, {}
+        grams, sums = Grams(n, dims), {}
         for whole in batches:
             for batch in in_slices(whole, _BYTES, _TEXTS):
-                keys, table, has = counts([x.as_py() for x in batch.column(TEXT)], n)
+                short, long = _short(batch, _PIECE)
+                langs = np.array(batch.column(ID).cast(pa.string()).to_pylist(), object)
+                for i, text in long:
+                    if _has_letter(text, _PIECE):
+                        vector, total = vector_of(grams, text, _PIECE)
+                        sums[langs[i]] = sums.get(langs[i], 0) + vector[0] / np.sqrt(max(total, 1))
+                part = batch.take(pa.array(short))
+                keys, table, has = counts([x.as_py() for x in part.column(TEXT)], n)
                 if not len(keys):
                     continue
-                langs = np.array(batch.column(ID).cast(pa.string()).to_pylist(), object)
                 total = np.maximum(table.sum(axis=1, keepdims=True), 1)
-                names, at = np.unique(langs[has], return_inverse=True)
+                names, at = np.unique(langs[short][has], return_inverse=True)
                 shares = np.zeros((len(names), len(keys)), np.float32)
                 np.add.at(shares, at, (table / np.sqrt(total))[has])
                 for name, vector in zip(names, grams.bundled(shares, keys), strict=True):
                     sums[name] = sums.get(name, 0) + vector.astype(np.float64)
-                    seen[name] = seen.get(name, 0) + int((langs[has] == name).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([seen[x] for x in sums], pa.int64()), pa.array([v.tolist() for v in sums.values()], arrow.field("vector").type)], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], arrow.field("vector").type)], schema=arrow)
 
     parts = base.mapInArrow(bundle, schema)
     dimension = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
@@ -180,8 +251,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str
 
     Edge cases: null texts and texts without a letter get ``und`` and score 0,
     as do all texts if there is no prototype; a text of one or two letters has
-    n-grams with gaps; equal cosines go to the smaller name. Rows that repeat
-    get equal results; further input columns are ignored unless carried.
+    n-grams with gaps; equal cosines go to the smaller name. Texts of any length
+    are read whole; those over 1 MB in pieces, so that a worker's memory stays
+    some 100 MB beside the text itself. Rows that repeat get equal results; no
+    rows give no rows; further input columns are ignored unless carried.
     """
     ship(docs.sparkSession)
     out = schema_of(docs, id_col, carry, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -193,12 +266,17 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str
         grams = Grams(n, dims)
         for whole in batches:
             for batch in in_slices(whole, _BYTES, _TEXTS):
-                keys, table, has = counts([x.as_py() for x in batch.column(TEXT)], n)
-                best, score = np.zeros(len(has), int), np.zeros(len(has))
-                if len(keys) and names:
-                    vectors = grams.bundled(table, keys)
+                short, long = _short(batch, _PIECE)
+                keys, table, has_short = counts([batch.column(TEXT)[int(i)].as_py() for i in short], n)
+                has, best, score = np.zeros(len(batch), bool), np.zeros(len(batch), int), np.zeros(len(batch))
+                has[short] = has_short
+                found = [(short, grams.bundled(table, keys))] if len(keys) and names else []
+                for i, text in long:
+                    has[i] = _has_letter(text, _PIECE)
+                    found += [([i], vector_of(grams, text, _PIECE)[0])] if names else []
+                for at, vectors in found:
                     near = vectors @ matrix.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-                    best, score = near.argmax(axis=1), np.clip(near.max(axis=1), 0, 1).astype(float)
+                    best[at], score[at] = near.argmax(axis=1), np.clip(near.max(axis=1), 0, 1).astype(float)
                 known = has & bool(names)
                 picked = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(picked, pa.string()), pa.array(np.where(known, score, 0.0))], schema=arrow)

@@ -256,6 +256,35 @@ def test_language_vectors_match_brute_force(spark):
     assert np.allclose(whole, brute)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50, 10_000])
+def test_long_texts_count_like_short_ones(size):
+    pick = random.Random(size)
+    cases = ["", " ", "a", "ab", " a", "a ", "..a..", "1 2 3", "a 1 b", "Éa  ß--x", "日本 語", "a" * 9, "x y  z", "  12 ab\t\tcd  "] + ["".join(pick.choices("abÉß語 .1\n🙂", k=pick.randint(1, 60))) for _ in range(150)]
+    for t in cases:
+        keys, table, has = langid.counts([t.encode()], 3)
+        got = Counter()
+        for each, times in langid.long_counts(t.encode(), 3, size):
+            got.update(dict(zip(each.tolist(), times[0].tolist(), strict=True)))
+        if has[0]:
+            assert got == Counter(dict(zip(keys.tolist(), table[0].tolist(), strict=True))), repr(t)
+        assert langid._has_letter(t.encode(), size) == has[0]
+
+
+def test_language_id_of_very_long_texts(spark, monkeypatch):
+    """Learnt and predicted in pieces or at once, vectors and results agree."""
+    rows = [(i, " ".join(random.choices(words.split(), k=4000)), lang) for i, (lang, words) in enumerate([("xx", "abra cadabra abacus é"), ("yy", "tolo molo polo voto ü")] * 4)]
+    rows += [(100, "1 " * 300_000, None), (101, "1 " * 300_000 + "abra", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = langid.learn(d, F.lit(True))
+    whole = rows_of(langid.identify(d, once).orderBy("doc_id"))
+    monkeypatch.setattr(langid, "_PIECE", 1000)
+    pieces = langid.learn(d, F.lit(True))
+    assert all(np.allclose(once[x], pieces[x], rtol=1e-4, atol=1e-2) for x in ("xx", "yy"))
+    cut = rows_of(langid.identify(d, once).orderBy("doc_id"))
+    assert [r["lang_pred"] for r in whole] == [r["lang_pred"] for r in cut] and np.allclose([r["score"] for r in whole], [r["score"] for r in cut], atol=1e-5)
+    assert whole[-2]["lang_pred"] == "und" and whole[-1]["lang_pred"] == "xx"
+
+
 def test_language_id(spark, docs):
     sample = {"xx": "abra cadabra abacus", "yy": "tolo molo polo voto", "zz": "shkr vrtk pltz"}
     rows = [(i, " ".join(random.choices(sample[lang].split(), k=8)), lang) for i, lang in enumerate(list(sample) * 40)]
