@@ -35,6 +35,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.runtime import materialise
+
 THRESHOLD = 0.7
 
 HEADER, FILE = "header", "file"
@@ -203,9 +205,10 @@ def scan(
     scored = sums.select("_id", "_key", "_no", F.explode(F.array(*matches)).alias("m")).filter((F.col("m.score") >= threshold) & ((F.col("m.kind") == HEADER) | (F.col("_no") == 0)))
     hits = scored.select("_id", "_key", F.struct((-F.col("m.score")).alias("minus"), F.col("m.name").alias("name"), F.least("_no", F.lit(1)).alias("line")).alias("hit"))
     own = hits.groupBy("_id", "_key").agg(F.min("hit").alias("hit"))
-    own = own.select(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key"), F.col("hit.name").alias("_name"), (-F.col("hit.minus")).alias("_score"), (F.col("hit.line") == 0).alias("_whole"))
+    # Written once: the texts are tested and cut in one pass, and all that follows is narrow.
+    own = materialise(own.select(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key"), F.col("hit.name").alias("_name"), (-F.col("hit.minus")).alias("_score"), (F.col("hit.line") == 0).alias("_whole")))
     placed = base.select("_id", F.xxhash64("_text").alias("_key"), "_path", F.regexp_extract("_path", "^(.*)/[^/]*$", 1).alias("_dir"), F.regexp_extract("_path", "([^/]*)$", 1).alias("_base"))
-    matched = placed.join(own, (F.col("_key") == F.col("_of_key")) & F.col("_id").eqNullSafe(F.col("_of_id")), "left").drop("_key", "_of_id", "_of_key")
+    matched = materialise(placed.join(own, (F.col("_key") == F.col("_of_key")) & F.col("_id").eqNullSafe(F.col("_of_id")), "left").drop("_key", "_of_id", "_of_key"))
     held = matched.filter(F.col("_name").isNotNull() & F.col("_base").rlike(LICENCE_FILE)).groupBy("_dir").agg(F.min(F.struct((-F.col("_score")).alias("minus"), F.col("_name").alias("name"))).alias("held"))
     held = held.select(F.col("_dir").alias("_from"), F.col("held.name").alias("_held"), (-F.col("held.minus")).alias("_held_score"))
     # Every directory with the directories above it, itself first; "" is the root.
