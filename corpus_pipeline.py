@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All stages but the last
 return the columns of ``documents``.
+
+Edge cases, alike in all stages: null ids and languages are kept as they are or
+filled (below), null and empty texts go in the first stage, texts of any length
+are read whole, rows that repeat are near duplicates of each other, further
+input columns are ignored, no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +28,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; null texts and texts without a letter go."""
+    """Documents with their predicted language as ``lang``; those without one (null texts and texts without a letter) go.
+
+    Where no document has a language to learn from, none has a prediction: then
+    ``lang`` stays as it is and only documents without a letter go.
+    """
     prototypes = langid.learn(docs, ~held_out(docs["doc_id"]))
-    return langid.identify(docs, prototypes, carry=COLUMNS[1:]).filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    if not prototypes:
+        return docs.filter(langid.lettered(docs["text"])).select(*COLUMNS)
+    kept = langid.identify(docs, prototypes, carry=("text", "source", "n_chars")).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +60,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces with their token ids; each is a sequence of its own."""
+    """Power-of-two pieces with their token ids; each is a sequence of its own, numbered and batched by its length's bucket."""
     pieces = pack(docs, tokenizer_path(), carry=("lang", "source"))
-    return pieces.select("doc_id", "lang", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", F.col("sequence_offset").alias("offset"))
+    return pieces.select("doc_id", "lang", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", F.col("sequence_offset").alias("offset"), "bucket", "batch_id", "batch_row")
 
 
 STAGES = [
