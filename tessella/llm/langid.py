@@ -246,6 +246,11 @@ def learn(docs: DataFrame, learnable: Column, *, text_col: str = "text", lang_co
     return {r.lang: np.array(r.v) for r in found}
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text holds a letter; false for null."""
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), n: int = NGRAM, dims: int = DIMENSIONS) -> DataFrame:
     """One row per document row: ``lang_pred`` and ``score``, the cosine with that language's prototype (0 where negative).
 

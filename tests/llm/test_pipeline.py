@@ -8,8 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessella.llm import langid
 from tessella.llm.packing import tokenizer
 from tessella.llm.queries import QUERIES, tokenizer_path
 from tessella.runtime import table
@@ -29,6 +31,41 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if len(hashes) and 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes))
 
 
+def grams(text):
+    """3-grams of lower-case letters, with one gap for whatever lies between words and at both ends."""
+    words = "".join(c.lower()[0] if c.isalpha() else " " for c in text).split()
+    symbols = " " + " ".join(words) + " "
+    return Counter(symbols[i : i + 3] for i in range(len(symbols) - 2)) if words else None
+
+
+def languages(docs):
+    """The language of each text with a letter: bound and bundled vectors, one n-gram at a time."""
+    letters, bound = {}, {}
+
+    def vector(counts):
+        out = np.zeros(langid.DIMENSIONS)
+        for g, n in counts.items():
+            if g not in bound:
+                for c in g:
+                    if c not in letters:
+                        letters[c] = langid._letters(np.array([ord(c)]), langid.DIMENSIONS)[0].astype(int)
+                bound[g] = letters[g[0]] * np.roll(letters[g[1]], 1) * np.roll(letters[g[2]], 2)
+            out += n * bound[g]
+        return out
+
+    vectors, prototypes = {}, {}
+    for i, (text, lang) in docs.items():
+        counts = grams(text or "")
+        if counts:
+            vectors[i] = vector(counts)
+            if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+                prototypes[lang] = prototypes.get(lang, 0) + vectors[i] / np.sqrt(sum(counts.values()))
+    names = sorted(prototypes)
+    cosine = {i: [float(v @ prototypes[x] / (np.linalg.norm(v) or 1) / np.linalg.norm(prototypes[x])) for x in names] for i, v in vectors.items()}
+    # Two languages within rounding of each other may both be right.
+    return {i: {x for x, c in zip(names, cs, strict=True) if c > max(cs) - 1e-5} for i, cs in cosine.items()}
+
+
 def near_dedup(docs):
     ids = sorted(docs)
     prints = {i: fingerprint(docs[i]) for i in ids}
@@ -80,7 +117,9 @@ def decontaminate(docs, items):
 
 
 def test_pipeline_matches_plain_python(spark):
-    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect() if any(c.isalpha() for c in r["text"] or "")}
+    every = {r["doc_id"]: (r["text"], r["lang"]) for r in table(spark, SF, "documents").collect()}
+    spoken = languages(every)
+    docs = {i: every[i][0] for i in spoken}
     items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
     left = decontaminate(substring_dedup(near_dedup(docs)), items)
     assert 0 < len(left) < len(docs)
@@ -88,6 +127,7 @@ def test_pipeline_matches_plain_python(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     for r in rows:
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["length"] == len(r["ids"])
+        assert r["lang"] in spoken[r["doc_id"]]
         got.setdefault(r["doc_id"], {})[r["start"]] = r["ids"]
     library = tokenizer(tokenizer_path()).library
     expected = {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in left.items()}
@@ -95,10 +135,21 @@ def test_pipeline_matches_plain_python(spark):
     assert len({r["sequence_id"] for r in rows}) == len(rows)
 
 
+def test_language_stage_decides(spark):
+    """Each kept document has the predicted language, whatever it had; without languages to learn from those with a letter stay."""
+    given = table(spark, SF, "documents")
+    spoken = languages({r["doc_id"]: (r["text"], r["lang"]) for r in given.collect()})
+    kept = corpus_pipeline.language_id(spark, given, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(spoken) and all(r["lang"] in spoken[r["doc_id"]] for r in kept)
+    assert sum(r["lang"] is not None for r in kept) > sum(1 for r in given.collect() if r["lang"] is not None) * 0.9
+    none = corpus_pipeline.language_id(spark, given.withColumn("lang", F.lit(None).cast("string")), SF).collect()
+    assert sorted(r["doc_id"] for r in none) == sorted(spoken)
+
+
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
 def test_stages_take_odd_rows(spark, name, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, _text string, keeper string"
-    odd = [(1, None, None, None, None, 1, "x", "y"), (2, "", "en", "s", 0, 1, "x", "y"), (3, "a", None, None, 1, 1, "x", "y"), (None, "word " * 50, "en", None, 250, 1, "x", "y"), (5, "word " * 50, "en", "s", 250, 1, "x", "y"), (5, "word " * 50, "en", "s", 250, 1, "x", "y"), (6, "b" * 100_000 + " c", "en", "s", 100_002, 1, "x", "y")]
+    odd = [(1, None, None, None, None, 1, "x", "y"), (2, "", "en", "s", 0, 1, "x", "y"), (3, "a", None, None, 1, 1, "x", "y"), (None, "word " * 50, "en", None, 250, 1, "x", "y"), (5, "word " * 50, "en", "s", 250, 1, "x", "y"), (5, "word " * 50, "en", "s", 250, 1, "x", "y"), (6, "b" * 100_000 + " c", "en", "s", 100_002, 1, "x", "y"), (7, "very long text of words " * 100_000, "en", "s", 2_400_000, 1, "x", "y")]
     df = spark.createDataFrame(odd, schema)
     out = stage(spark, df, SF)
     assert out.count() > 0
