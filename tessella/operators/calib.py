@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import ranges
+
 
 def equal_width(df: DataFrame, conf: str, n: int) -> DataFrame:
     """Adds ``bin`` 0 to n-1; a confidence of 1 belongs to the last one."""
@@ -15,13 +17,8 @@ def equal_width(df: DataFrame, conf: str, n: int) -> DataFrame:
 
 
 def equal_mass(df: DataFrame, conf: str, key: str, n: int) -> DataFrame:
-    """Adds ``bin`` 0 to n-1 of equal size, larger bins first.
-
-    Exact ntiles without one global sort task: values are counted by distinct
-    (confidence, key) range partitions' order only through their ranks. The
-    table is a scored evaluation set, so one ordered window is used.
-    """
-    return df.withColumn("bin", F.ntile(n).over(Window.orderBy(conf, key)) - 1)
+    """Adds ``bin`` 0 to n-1 of equal size in the order of confidence and key, larger bins first; no task sorts all rows."""
+    return ranges.tiles(df, [F.col(conf), F.col(key)], n, "bin")
 
 
 def bins(binned: DataFrame, conf: str, hit: str) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import text as tx
-from tessella.operators import linkage
+from tessella.operators import linkage, ranges
 from tessella.runtime import ship
 
 
@@ -129,11 +129,9 @@ def unique_prompts(rendered: DataFrame, prompt: str, order: Sequence[str]) -> Da
 def chunked(sizes: DataFrame, subject: str, n: str, target: int) -> DataFrame:
     """A chunk number for each subject, whole subjects in order, about so many prompts a chunk.
 
-    A subject goes where its first prompt falls. Running sums come from one
-    ordered window over subjects, not prompts.
+    A subject goes where its first prompt falls.
     """
-    before = F.coalesce(F.sum(n).over(Window.orderBy(subject).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("chunk", F.floor(before / target).cast("long"))
+    return ranges.before(sizes, [F.col(subject)], "_before", F.col(n)).withColumn("chunk", F.floor(F.col("_before") / target).cast("long")).drop("_before")
 
 
 def allocate(supply: dict[str, int], quota: int) -> dict[str, int]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import ranges
+
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
@@ -23,9 +25,13 @@ def mid_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mid
     """The average rank of equal values. Distinct values are counted first, so the ranking itself sees no ties."""
     keys = list(by)
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn(name, F.coalesce(F.sum("_ties").over(before), F.lit(0)) + (F.col("_ties") + 1) / 2)
-    return df.join(ranked.drop("_ties"), [*keys, value])
+    if keys:
+        earlier = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_ties").over(earlier), F.lit(0)))
+    else:
+        counts = ranges.before(counts, [F.col(value)], "_before", F.col("_ties"))
+    ranked = counts.withColumn(name, F.col("_before") + (F.col("_ties") + 1) / 2)
+    return df.join(ranked.drop("_ties", "_before"), [*keys, value])
 
 
 def tfidf(terms: DataFrame, doc: str = "doc", term: str = "term", max_df: float = 0.9) -> DataFrame:

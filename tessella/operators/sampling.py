@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import ranges
+
 
 def lot(id_col: str, seed: int) -> Column:
     """A row's lot: the SHA-256 of the seed and the id."""
@@ -23,13 +25,11 @@ def quota(df: DataFrame, id_col: str, stratum: str, n: int, seed: int) -> DataFr
 
 
 def rotation(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """Each id with the next one in lot order, the last with the first: nobody gets itself (with two ids or more).
-
-    A single global order: meant for tables of subjects that are drawn, not for facts.
-    """
-    w = Window.orderBy(lot(id_col, seed), F.col(id_col))
-    first = F.first(id_col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.select(id_col, F.coalesce(F.lead(id_col).over(w), first).alias("imposter"))
+    """Each id with the next one in lot order, the last with the first: nobody gets itself (with two ids or more)."""
+    placed = ranges.before(df.select(id_col), [lot(id_col, seed), F.col(id_col)], "_place")
+    n = placed.count()
+    after = placed.select(F.pmod(F.col("_place") - 1, F.lit(max(n, 1))).alias("_place"), F.col(id_col).alias("imposter"))
+    return placed.join(after, "_place").select(id_col, "imposter")
 
 
 def interleave(df: DataFrame, first_list: str, order: str, run: int) -> DataFrame:
@@ -37,4 +37,4 @@ def interleave(df: DataFrame, first_list: str, order: str, run: int) -> DataFram
     k = F.row_number().over(Window.partitionBy(first_list).orderBy(order)) - 1
     slot = F.when(F.col(first_list), F.floor(k / run) * (run + 1) + k % run).otherwise(k * (run + 1) + run)
     keyed = df.withColumn("_slot", slot)
-    return keyed.withColumn("place", F.row_number().over(Window.orderBy("_slot", F.desc(first_list), order)).cast("long")).drop("_slot")
+    return ranges.before(keyed, [F.col("_slot"), F.desc(first_list), F.col(order)], "_before").withColumn("place", F.col("_before") + 1).drop("_slot", "_before")

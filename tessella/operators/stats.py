@@ -1,18 +1,24 @@
 """Paired contrasts: sufficient statistics in Spark, p-values from a few numbers on the driver.
 
-Resampling is done in Spark too: a draw is a hash of (replicate, place, seed),
-so results don't depend on partitioning. The driver only ever sees one row of
-statistics, or one row per replicate's mean.
+Resampling is done in Spark too: a row's weights in all replicates come from the
+seed and the row's key, so results don't depend on partitioning. The driver
+only ever sees one row of statistics.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators import ranges
+from tessella.runtime import ship
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
@@ -69,16 +75,15 @@ def mean_ci(mean: float | None, sd: float | None, n: int, confidence: float = 0.
 
 
 def contrast(diffs: DataFrame, diff: str) -> DataFrame:
-    """One row: n, mean, median, sd, se, Cohen's dz, sign counts, t and Wilcoxon's W+ and z (mid-ranks, zeros left out)."""
+    """One row: n, mean, median, sd, se, Cohen's dz, sign counts, t and Wilcoxon's W+, z and most ties (mid-ranks, zeros left out)."""
     d = F.col(diff)
     moved = diffs.filter(d != 0)
     sizes = moved.groupBy(F.abs(d).alias("size")).agg(F.count("*").alias("ties"), F.count_if(d > 0).alias("up"))
-    before = F.coalesce(F.sum("ties").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    ranked = ranges.before(sizes, [F.col("size")], "before", F.col("ties")).withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2)
     n = F.sum("ties")
     t3 = F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties"))
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - t3 / 48)
-    w = ranked.agg(F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.when(spread > 0, (F.sum(F.col("rank") * F.col("up")) - n * (n + 1) / 4) / spread).alias("w_z"))
+    w = ranked.agg(F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.when(spread > 0, (F.sum(F.col("rank") * F.col("up")) - n * (n + 1) / 4) / spread).alias("w_z"), F.max("ties").alias("w_ties"))
     base = diffs.agg(
         F.count(diff).alias("n"),
         F.avg(diff).alias("mean"),
@@ -93,37 +98,78 @@ def contrast(diffs: DataFrame, diff: str) -> DataFrame:
     return base.crossJoin(w).withColumn("t", F.try_divide(F.col("mean"), F.col("se")))
 
 
+#: Up to so many differences, none zero and none tied, Wilcoxon's p is exact.
+EXACT = 50
+
+
+def wilcoxon_exact(w_plus: float, n: int) -> float:
+    """Two-sided p of a sum of positive ranks among 1 to n: by counting the subsets of each sum."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        ways = [(ways[i] if i < len(ways) else 0) + (ways[i - rank] if i >= rank else 0) for i in range(len(ways) + rank)]
+    low = int(min(w_plus, n * (n + 1) / 2 - w_plus))
+    return min(1.0, 2 * sum(ways[: low + 1]) / 2**n)
+
+
 def with_p_values(one: DataFrame) -> DataFrame:
-    """The contrast's row with p-values and the interval of its mean."""
+    """The contrast's row with p-values and the interval of its mean.
+
+    Below two differences there is no p; Wilcoxon's is exact for few untied
+    differences, else from the normal distribution, and missing where all are 0.
+    """
     r = one.first()
     n, sd = r["n"], r["sd"]
     _, low, high = mean_ci(r["mean"], sd, n)
     p_t = t_two_sided(r["t"], n - 1) if r["t"] is not None and n > 1 else None
-    p_w = math.erfc(abs(r["w_z"]) / math.sqrt(2)) if r["w_z"] is not None else None
+    if n > 1 and r["w_ties"] == 1 and not r["n_zero"] and n <= EXACT:
+        p_w = wilcoxon_exact(r["w_plus"], n)
+    else:
+        p_w = math.erfc(abs(r["w_z"]) / math.sqrt(2)) if r["w_z"] is not None else None
     schema = T.StructType([*one.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("ci_low", "ci_high", "p_t", "p_wilcoxon")]])
     return one.sparkSession.createDataFrame([(*r, low, high, p_t, p_w)], schema)
 
 
-def bootstrap(diffs: DataFrame, diff: str, key: str, replicates: int, seed: int) -> DataFrame:
-    """One row: the 2.5 and 97.5 percentiles of resampled means.
+_DRAWN = T.StructType([T.StructField("replicate", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("weight", T.DoubleType())])
+
+
+def _replicates(rows: DataFrame, value: str, size: str, key: str, n: int, seed: int, signs: bool) -> DataFrame:
+    """(replicate, total, weight): sums of a value and a size over the rows, each with a random weight of its own.
+
+    Weights come from a counter-based generator that the seed and the row's key
+    start, so they depend neither on partitions nor on other rows. A task sends
+    one number of each kind a replicate.
+    """
+    ship(rows.sparkSession)
+    base = rows.select(F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("x"), F.col(size).cast("double").alias("s") if size else F.lit(1.0).alias("s")).filter("x IS NOT NULL")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(n), np.zeros(n)
+        for batch in batches:
+            for k, x, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                random = np.random.Generator(np.random.Philox(key=[seed, k & (1 << 64) - 1]))
+                w = random.integers(0, 2, n) * 2.0 - 1 if signs else random.poisson(1.0, n)
+                total += w * x
+                weight += w * s
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total), pa.array(weight)], names=["replicate", "total", "weight"])
+
+    return base.mapInArrow(draw, _DRAWN).groupBy("replicate").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+
+
+def bootstrap(diffs: DataFrame, diff: str, key: str, replicates: int = 10_000, seed: int = 0, size: str | None = None) -> DataFrame:
+    """One row: the 2.5 and 97.5 percentiles of resampled means; no rows for no subjects.
 
-    Subjects are numbered; each replicate draws n numbers by hash and joins
-    them back, n x replicates narrow rows, averaged before they leave a task.
+    Each subject counts a Poisson(1) number of times in a replicate, which is
+    drawing with replacement whose total varies, so nothing is joined or
+    numbered. With a ``size`` the statistic is the sum of ``diff`` over the sum
+    of sizes: subjects are drawn, items are averaged.
     """
-    numbered = diffs.select(diff, (F.row_number().over(Window.orderBy(key)) - 1).alias("place"))
-    n = diffs.count()
-    if not n:
-        return diffs.sparkSession.createDataFrame([], "low double, high double")
-    draws = diffs.sparkSession.range(replicates * n).select((F.col("id") / n).cast("long").alias("replicate"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias("place"))
-    means = draws.join(numbered, "place").groupBy("replicate").agg(F.avg(diff).alias("mean"))
-    return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    means = _replicates(diffs, diff, size, key, replicates, seed, signs=False).filter("weight > 0").select((F.col("total") / F.col("weight")).alias("mean"))
+    return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high")).filter("low IS NOT NULL")
 
 
-def signflip(diffs: DataFrame, diff: str, key: str, draws: int, seed: int) -> DataFrame:
+def signflip(diffs: DataFrame, diff: str, key: str, draws: int = 20_000, seed: int = 0) -> DataFrame:
     """One row: (1 + flipped means at least as far from 0 as the observed) / (draws + 1)."""
-    spread = diffs.select(diff, key, F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 32))).alias("word"))
-    bits = spread.select("word", diff, F.xxhash64(key, "word", F.lit(seed)).alias("h"))
-    sums = bits.groupBy("word").agg(*[F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << k)) != 0, F.col(diff)).otherwise(-F.col(diff))).alias(f"s{k}") for k in range(32)])
-    flat = sums.select(F.posexplode(F.array(*[F.col(f"s{k}") for k in range(32)])).alias("k", "s"), "word").filter(F.col("word") * 32 + F.col("k") < draws)
+    flat = _replicates(diffs, diff, None, key, draws, seed, signs=True)
+    # One row, so the cross join is one comparison a draw.
     observed = diffs.agg(F.abs(F.sum(diff)).alias("seen"))
-    return flat.crossJoin(F.broadcast(observed)).agg(((1 + F.count_if(F.abs("s") >= F.col("seen") - 1e-12)) / (F.count("*") + 1)).alias("p"))
+    return flat.crossJoin(F.broadcast(observed)).agg(((1 + F.count_if(F.abs("total") >= F.col("seen") - 1e-12)) / (F.count("*") + 1)).alias("p"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -249,10 +250,86 @@ def test_models(spark):
     ends, levels = models.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert ends.tolist() == [1, 3, 4] and levels.tolist() == [0.0, 0.5, 1.0]
     assert models.step_at(ends, levels, np.array([0.0, 2.5, 9.0])).tolist() == [0.0, 0.5, 1.0]
+
+
+def plain_ridge_error(x, y, penalty, folds):
+    """Mean absolute out-of-fold error of a ridge with a free intercept, from the rows."""
+    errors = []
+    for f in np.unique(folds):
+        test = folds == f
+        mean_x, mean_y = x[~test].mean(axis=0), y[~test].mean(axis=0)
+        a, b = x[~test] - mean_x, y[~test] - mean_y
+        beta = np.linalg.solve(a.T @ a + penalty * np.eye(x.shape[1]), a.T @ b)
+        errors.append(np.abs((x[test] - mean_x) @ beta + mean_y - y[test]).ravel())
+    return float(np.concatenate(errors).mean())
+
+
+def test_forward_selection_matches_a_plain_version(spark):
     rng = np.random.default_rng(0)
-    data = rng.normal(size=(60, 3))
-    df = spark.createDataFrame([(i, *map(float, r), float(3 * r[2] + r[0])) for i, r in enumerate(data)], "id int, a double, b double, c double, y double")
-    assert [r["feature"] for r in models.greedy_order(df, "id", ["a", "b", "c"], ["y"], 2).orderBy("place").collect()] == ["c", "a"]
+    data = rng.normal(size=(90, 4))
+    rows_in = [(i, *map(float, r), float(3 * r[2] + r[0] + 0.1 * r[3]), float(r[1])) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows_in, "id int, a double, b double, c double, d double, y double, z double")
+    folds = np.array([r["f"] for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(5)).alias("f")).orderBy("id").collect()])
+    y, chosen, expected = np.array([r[5:] for r in rows_in]), [], []
+    for _ in range(3):
+        errors = {i: plain_ridge_error(data[:, [*chosen, i]], y, 1.0, folds) for i in range(4) if i not in chosen}
+        chosen.append(min(errors, key=lambda i: (errors[i], i)))
+        expected.append(("abcd"[chosen[-1]], errors[chosen[-1]]))
+    got = models.greedy_order(df.repartition(5), "id", ["a", "b", "c", "d"], ["y", "z"], 3).orderBy("place").collect()
+    assert [r["feature"] for r in got] == [f for f, _ in expected]
+    assert np.allclose([r["mae"] for r in got], [e for _, e in expected])
+
+
+@pytest.mark.parametrize("kind", ["platt", "isotonic"])
+def test_calibration_matches_fits_on_the_rows(spark, kind):
+    rng = np.random.default_rng(4)
+    data = [(i, int(i % 23), float(np.round(x, 2)), bool(rng.random() < x**2)) for i, x in enumerate(rng.random(700))]
+    df = spark.createDataFrame(data, "id int, subject int, conf double, hit boolean").repartition(6)
+    own = {r["id"]: r["f"] for r in df.select("id", F.pmod(F.xxhash64("subject"), F.lit(5)).alias("f")).collect()}
+    got = {r["key"]: r["calibrated"] for r in models.calibrated(df, "id", "subject", "conf", "hit", kind).collect()}
+    for f in range(5):
+        train = [(x, float(h)) for i, _, x, h in data if own[i] != f]
+        xs, ys = (np.array(v) for v in zip(*train, strict=True))
+        for i, _, x, _ in data:
+            if own[i] == f:
+                if kind == "platt":
+                    a, b = models.platt(xs, ys)
+                    assert got[i] == pytest.approx(1 / (1 + math.exp(-(a * x + b))), abs=1e-6)
+                else:
+                    assert got[i] == pytest.approx(models.step_at(*models.isotonic(xs, ys), np.array([x]))[0])
+                    continue
+    assert models.calibrated(df.limit(0), "id", "subject", "conf", "hit", kind).count() == 0
+
+
+def test_exact_signed_ranks():
+    assert stats.wilcoxon_exact(0, 5) == pytest.approx(2 / 32) and stats.wilcoxon_exact(15, 5) == pytest.approx(2 / 32)
+    assert stats.wilcoxon_exact(7.0, 5) == 1.0 and stats.wilcoxon_exact(3, 4) == pytest.approx(10 / 16)
+
+
+def test_global_order_without_one_task(spark):
+    from tessella.operators import calib, ranges
+
+    draw = random.Random(2)
+    data = [(i, draw.randint(0, 9), draw.randint(0, 5)) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, v int, w int").repartition(7)
+    got = {r["id"]: r["p"] for r in ranges.before(df, [F.desc("v"), F.col("id")], "p", F.col("w")).collect()}
+    expected, seen = {}, 0
+    for i, _, w in sorted(data, key=lambda x: (-x[1], x[0])):
+        expected[i], seen = seen, seen + w
+    assert got == expected
+    tiles = {r["id"]: r["bin"] for r in calib.equal_mass(df, "v", "id", 7).collect()}
+    order = [i for i, _, _ in sorted(data, key=lambda x: (x[1], x[0]))]
+    assert [tiles[i] for i in order] == sorted(tiles.values()) and sorted(Counter(tiles.values()).values()) == [28] * 3 + [29] * 4
+    assert ranges.before(df.limit(0), [F.col("id")], "p").count() == 0
+
+
+def test_cluster_bootstrap_averages_items(spark):
+    d = spark.createDataFrame([(i, float(i % 3), 2) for i in range(60)], "s int, total double, items int")
+    ci = stats.bootstrap(d, "total", "s", 1000, 5, size="items").first()
+    assert 0.35 < ci["low"] < 0.5 < ci["high"] < 0.65
+    again = stats.bootstrap(d.repartition(5), "total", "s", 1000, 5, size="items").first()
+    assert ci["low"] == pytest.approx(again["low"])
+    assert stats.bootstrap(d.limit(0), "total", "s", 100, 5).count() == 0
 
 
 def test_adaptive_rounds(spark):
