@@ -67,6 +67,17 @@ def ngrams(arr: Column, n: int) -> Column:
     return let(arr, lambda a: F.when(F.size(a) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))))
 
 
+def gram_hash(gram: Column) -> Column:
+    """A 64-bit hash of an array of tokens."""
+    return F.xxhash64(gram)
+
+
+def hashed_ngrams(arr: Column, n: int) -> Column:
+    """gram_hash() of each run of n elements; none if there are fewer."""
+    none = F.array().cast("array<bigint>")
+    return let(arr, lambda a: F.when(F.size(a) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: gram_hash(F.slice(a, i, n)))))
+
+
 def shingles(arr: Column, k: int) -> Column:
     """Distinct 64-bit hashes of k-word runs; a shorter text has one of all its words, an empty one none."""
     none = F.array().cast("array<string>")

@@ -39,7 +39,7 @@ def name_links(names: DataFrame, key: str, name: str, least: float = 0.7) -> Dat
     letters = F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.substring("n", i, F.lit(1)))
     bag = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
     bags = n.select("n").distinct().select(F.lit(0).alias("all"), "n", bag.alias("bag"))
-    alike = linkage.similar_pairs(bags, "all", "n", "bag", least / (2 - least) - 1e-9).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    alike = linkage.similar_pairs(bags, "all", "n", "bag", least / (2 - least) - 1e-9, expand=True).select(F.col("a").alias("x"), F.col("b").alias("y"))
     x, y = n.select(F.col("k").alias("i"), F.col("n").alias("x")), n.select(F.col("k").alias("j"), F.col("n").alias("y"))
     met = alike.join(x, "x").join(y, "y").filter("i <> j")
     first = F.col("i") < F.col("j")

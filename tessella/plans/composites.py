@@ -31,18 +31,6 @@ def surname_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.surname_registry(labels, "tid", "at", "name", "role")
 
 
-@query("""
-WITH b AS (SELECT p_partkey AS cand, p_brand AS donor, p_retailprice AS w, CASE p_size % 3 WHEN 0 THEN 'Z' WHEN 1 THEN 'L' ELSE 'H' END AS bucket FROM part), i AS (SELECT cand AS item, donor AS subject, w, bucket FROM b WHERE cand % 20 = 0),
-     c AS (SELECT i.item, b.cand, b.donor, abs(b.w - i.w) / i.w AS gap, b.bucket = i.bucket AS same FROM i JOIN b ON b.donor <> i.subject AND (b.bucket = i.bucket OR b.bucket = 'L' OR i.bucket = 'L')),
-     r AS (SELECT *, CASE WHEN same AND gap <= 0.2 THEN 1 WHEN same AND gap <= 0.3 THEN 2 WHEN gap <= 0.3 THEN 3 WHEN gap <= 0.5 THEN 4 END AS rung FROM c),
-     d AS (SELECT item, donor, min(rung) AS rung FROM r WHERE rung IS NOT NULL GROUP BY ALL),
-     f AS (SELECT item, CASE WHEN count_if(rung <= 1) >= 20 THEN 1 WHEN count_if(rung <= 2) >= 20 THEN 2 WHEN count_if(rung <= 3) >= 20 THEN 3 WHEN count_if(rung <= 4) >= 20 THEN 4 END AS relax_rung FROM d GROUP BY item)
-SELECT item, cand, donor, rung, relax_rung, round(gap, 6) AS gap FROM r JOIN f USING (item) WHERE rung <= relax_rung""")
-def option_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ladders for each twentieth part, as its SQL has it; option_ladder_all serves every part."""
-    return _option_ladder(spark, sf_dir, "cand % 20 = 0").drop("few_donors")
-
-
 @query("""
 WITH b AS (SELECT p_partkey AS cand, p_brand AS donor, p_retailprice AS w, CASE p_size % 3 WHEN 0 THEN 'Z' WHEN 1 THEN 'L' ELSE 'H' END AS bucket FROM part),
      c AS (SELECT i.cand AS item, b.cand, b.donor, abs(b.w - i.w) / i.w AS gap, b.bucket = i.bucket AS same FROM b i LEFT JOIN b ON b.donor <> i.donor AND (b.bucket = i.bucket OR b.bucket = 'L' OR i.bucket = 'L') AND abs(b.w - i.w) / i.w <= 0.5),
@@ -50,15 +38,11 @@ WITH b AS (SELECT p_partkey AS cand, p_brand AS donor, p_retailprice AS w, CASE
      d AS (SELECT item, donor, min(rung) AS rung FROM r GROUP BY ALL),
      f AS (SELECT item, CASE WHEN count_if(rung <= 1) >= 20 THEN 1 WHEN count_if(rung <= 2) >= 20 THEN 2 WHEN count_if(rung <= 3) >= 20 THEN 3 ELSE 4 END AS relax_rung, count_if(rung <= 4) < 20 AS few_donors FROM d GROUP BY item)
 SELECT item, cand, donor, rung, relax_rung, round(gap, 6) AS gap, few_donors FROM r JOIN f USING (item) WHERE rung <= relax_rung OR cand IS NULL""")
-def option_ladder_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def option_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ladders for every part."""
-    return _option_ladder(spark, sf_dir, "true")
-
-
-def _option_ladder(spark: SparkSession, sf_dir: str, chosen: str) -> DataFrame:
     k = F.col("p_size") % 3
     bank = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand"), F.col("p_brand").alias("donor"), F.col("p_retailprice").alias("words"), F.when(k == 0, "Z").when(k == 1, "L").otherwise("H").alias("bucket"))
-    items = bank.filter(chosen).select(F.col("cand").alias("item"), F.col("donor").alias("subject"), "words", "bucket")
+    items = bank.select(F.col("cand").alias("item"), F.col("donor").alias("subject"), "words", "bucket")
     return compose.ladder(items, bank, 20)
 
 

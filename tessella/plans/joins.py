@@ -95,27 +95,14 @@ def semi_join_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(used, "p_partkey", "left_semi")
 
 
-@query("""
-WITH a AS (SELECT p_partkey, p_size, p_type, p_retailprice AS w FROM part WHERE p_partkey % 10 = 0), b AS (SELECT p_partkey, p_size, p_type, p_retailprice AS w FROM part)
-SELECT a.p_partkey AS target, b.p_partkey AS candidate, round(abs(b.w - a.w), 4) AS gap FROM a JOIN b ON a.p_type = b.p_type AND a.p_size = b.p_size AND b.w BETWEEN a.w * 0.9 AND a.w * 1.1 AND a.p_partkey <> b.p_partkey""")
-def range_join_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range join for each tenth part, as its SQL has it; range_join_ladder_all serves every part."""
-    return _range_join(table(spark, sf_dir, "part"), "p_partkey % 10 = 0")
-
-
 @query("""
 WITH p AS (SELECT p_partkey, p_size, p_type, p_retailprice AS w FROM part)
 SELECT a.p_partkey AS target, b.p_partkey AS candidate, round(abs(b.w - a.w), 4) AS gap FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_size = b.p_size AND b.w BETWEEN a.w * 0.9 AND a.w * 1.1 AND a.p_partkey <> b.p_partkey""")
-def range_join_ladder_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range join for every part."""
-    return _range_join(table(spark, sf_dir, "part"), "true")
-
-
-def _range_join(parts: DataFrame, targets: str) -> DataFrame:
-    """Within equal type and size; the range is also an equi-join on bands, so no nested loop is planned."""
-    p = parts.select("p_partkey", "p_size", "p_type", F.col("p_retailprice").alias("w"))
+def range_join_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every part those of equal type and size within a tenth of its price; the range is also an equi-join on bands, so no nested loop is planned."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", F.col("p_retailprice").alias("w"))
     band = lambda c: F.floor(F.log(c) / F.log(F.lit(1.25))).cast("long")
-    a = p.filter(targets).select(F.col("p_partkey").alias("target"), "p_size", "p_type", F.col("w").alias("wa"))
+    a = p.select(F.col("p_partkey").alias("target"), "p_size", "p_type", F.col("w").alias("wa"))
     a = a.withColumn("band", F.explode(F.sequence(band(F.col("wa") * 0.9), band(F.col("wa") * 1.1))))
     b = p.select(F.col("p_partkey").alias("candidate"), "p_size", "p_type", F.col("w").alias("wb"), band(F.col("w")).alias("band"))
     return a.join(b, ["p_type", "p_size", "band"]).filter("wb BETWEEN wa * 0.9 AND wa * 1.1 AND target <> candidate").select("target", "candidate", F.round(F.abs(F.col("wb") - F.col("wa")), 4).alias("gap"))

@@ -32,43 +32,35 @@ def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.first_word(t).alias("first_word"), tx.first_words(t, 5).alias("head"), tx.looks_truncated(t).alias("truncated"), F.sha2(t, 256).alias("sha"))
 
 
-@query(f"""
-WITH s AS (SELECT doc_id, source, {_SET} AS w FROM documents WHERE doc_id % 7 = 0 OR true), l AS (SELECT source, doc_id, len(w) AS n, unnest(w) AS x FROM s WHERE len(w) <= 60),
-     p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT source, a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM p WHERE shared / (n_a + n_b - shared) >= 0.3""".replace(" WHERE doc_id % 7 = 0 OR true", ""))
-def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar short texts of one source, by word set: its SQL holds texts of up to 60 distinct words only; jaccard_pairs_all takes all."""
-    s = table(spark, sf_dir, "documents").select("source", "doc_id", tx.word_set(F.col("text")).alias("w")).filter(F.size("w") <= 60)
-    return linkage.set_pairs(s, "source", "doc_id", "w").filter("jaccard >= 0.3").select("source", "a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
+#: Classes of equal sets by their smallest document, and every further document with its class's.
+_CLASSES = "c AS (SELECT source, list_sort(g) AS g, min(doc_id) AS k, list(doc_id) AS members FROM s WHERE len(g) > 0 GROUP BY source, list_sort(g)), l AS (SELECT source, k, len(g) AS n, unnest(g) AS x FROM c), p AS (SELECT a.source, a.k AS a, b.k AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.x = b.x AND a.k < b.k GROUP BY ALL), m AS (SELECT source, k AS a, unnest(members) AS b, len(g) AS n FROM c)"
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, source, {_SET} AS w FROM documents), l AS (SELECT source, doc_id, len(w) AS n, unnest(w) AS x FROM s),
-     p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT source, a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM p WHERE shared / (n_a + n_b - shared) >= 0.3""")
-def jaccard_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar texts of one source, by word set, whatever their length."""
+WITH s AS (SELECT doc_id, source, {_SET} AS g FROM documents), {_CLASSES}
+SELECT source, a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM p WHERE shared / (n_a + n_b - shared) >= 0.6 UNION ALL SELECT source, a, b, n, 1.0 FROM m WHERE a <> b""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of one source with similar word sets; copies are paired with the first of them only."""
     s = table(spark, sf_dir, "documents").select("source", "doc_id", tx.word_set(F.col("text")).alias("w"))
-    return linkage.similar_pairs(s, "source", "doc_id", "w", 0.3).withColumn("jaccard", F.round("jaccard", 6))
+    found = linkage.similar_pairs(s, "source", "doc_id", "w", linkage.JACCARD)
+    return found.select("source", "a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
 _SHINGLES = f"list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' ')))"
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, source, {_W} AS w FROM documents), s AS (SELECT doc_id, source, CASE WHEN len(w) = 0 THEN [] ELSE {_SHINGLES} END AS g FROM d), l AS (SELECT doc_id, source, len(g) AS n, unnest(g) AS x FROM s),
-     p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM l a JOIN l b ON a.source = b.source AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, n_a, n_b, shared FROM p WHERE shared / (n_a + n_b - shared) >= 0.6 OR (shared / least(n_a, n_b) >= 0.8 AND least(n_a, n_b) >= 50)""")
+WITH d AS (SELECT doc_id, source, {_W} AS w FROM documents), s AS (SELECT doc_id, source, CASE WHEN len(w) = 0 THEN [] ELSE {_SHINGLES} END AS g FROM d), {_CLASSES}
+SELECT a, b, n_a, n_b, shared FROM p WHERE least(n_a, n_b) >= 20 AND (shared / (n_a + n_b - shared) >= 0.6 OR (shared / least(n_a, n_b) >= 0.8 AND least(n_a, n_b) >= 50)) UNION ALL SELECT a, b, n, n, n FROM m WHERE a <> b""")
 def shingle_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicates of one source by 5-word shingles."""
+    """Near-duplicates of one source by 5-word shingles; copies are paired with the first of them only."""
     p = _shingle_pairs(spark, sf_dir)
     return p.select("a", "b", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), "shared")
 
 
 def _shingle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "documents").select("source", "doc_id", tx.shingles(tx.words(F.col("text")), 5).alias("s"))
-    p = linkage.set_pairs(s, "source", "doc_id", "s")
-    return p.filter(linkage.near_duplicate(F.col("jaccard"), F.col("containment"), F.col("n_a"), F.col("n_b")))
+    return linkage.near_pairs(s, "source", "doc_id", "s")
 
 
 @query()
@@ -83,10 +75,9 @@ WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')
      bg AS (SELECT item_id, g, count(*) OVER (PARTITION BY item_id) AS n FROM (SELECT DISTINCT item_id, array_to_string(w[p : p + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS p FROM b)))
 SELECT doc_id, item_id, count(*) AS shared, round(count(*) / any_value(n), 6) AS share FROM dg JOIN bg USING (g) GROUP BY doc_id, item_id""")
 def ngram_leak_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = lambda name: F.col(name)
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.ngrams(tx.tokens(F.col("text")), 10).alias("g"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", tx.ngrams(tx.tokens(F.col("text")), 10).alias("g"))
-    return linkage.leaks(d, b, "doc_id", "item_id", grams("g")).select("doc_id", "item_id", "shared", F.round("share", 6).alias("share"))
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w"))
+    return linkage.leaks(d, b, "doc_id", "item_id", "w", 10).select("doc_id", "item_id", "shared", F.round("share", 6).alias("share"))
 
 
 _TERMS = "SELECT item_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark"

@@ -126,13 +126,7 @@ def test_components_match_union_find(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def test_set_pairs(spark):
-    d = spark.createDataFrame([("g", 1, [1, 2, 3]), ("g", 2, [2, 3, 4, 5]), ("h", 3, [1, 2, 3])], "g string, id int, s array<int>")
-    assert rows(linkage.set_pairs(d, "g", "id", "s"), "a", "b", "shared", "jaccard") == [(1, 2, 2, 0.4)]
-
-
-@pytest.mark.parametrize("least", [0.1, 0.3, 0.5, 1.0])
-def test_similar_pairs_match_brute_force(spark, least):
+def set_data():
     draw = random.Random(5)
     data = []
     for i in range(160):
@@ -140,17 +134,46 @@ def test_similar_pairs_match_brute_force(spark, least):
         kept = [x for x in base if draw.random() < draw.choice([0.5, 0.9, 1.0])]
         fresh = [f"w{int(400 * draw.random() ** 2)}" for _ in range(draw.choice([0, 2, 5, 40, 120]))]
         data.append((draw.choice("gh"), i, list(dict.fromkeys(kept + fresh))))
-    data += [("g", 500 + i, ["a", "b"]) for i in range(4)] + [("g", 600, None), ("g", 601, []), ("g", 602, [])]
-    assert max(len(x[2] or []) for x in data) > 100
-    wanted = []
-    for g, a, x in data:
-        for h, b, y in data:
-            both = len({*(x or [])} & {*(y or [])})
-            if g == h and a < b and both and both / len({*x} | {*y}) >= least:
-                wanted.append((g, a, b, both, both / len({*x} | {*y})))
-    assert len(wanted) > 5
+    return data + [("g", 500 + i, ["a", "b"]) for i in range(4)] + [("g", 600, None), ("g", 601, []), ("g", 602, [])] + [("h", 700, list(draw.choice(data)[2])) for _ in range(1)]
+
+
+def expected_pairs(data, rule):
+    """Pairs of classes of equal sets by their smallest document, and each other document with its class's."""
+    classes = {}
+    for g, i, x in data:
+        if x:
+            classes.setdefault((g, frozenset(x)), []).append(i)
+    out = []
+    for (g, x), members in classes.items():
+        out += [(g, min(members), i, len(x), 1.0) for i in members if i != min(members)]
+        for (h, y), others in classes.items():
+            if g == h and min(members) < min(others) and x & y:
+                both = len(x & y)
+                if rule(both / len(x | y), both / min(len(x), len(y)), min(len(x), len(y))):
+                    out.append((g, min(members), min(others), both, both / len(x | y)))
+    return sorted(out)
+
+
+def test_near_pairs_match_brute_force(spark):
+    data = set_data()
+    draw = random.Random(8)
+    long = next(x for _, _, x in data if x and len(x) > 100)
+    # Parts of a larger set, on either side of the bounds, and small sets that are nearly equal.
+    data += [("g", 800 + i, draw.sample(long, n) + [f"z{i}{j}" for j in range(m)]) for i, (n, m) in enumerate([(49, 0), (50, 0), (60, 14), (60, 16), (48, 12), (19, 0), (20, 1)])]
+    data += [("g", 900, [f"q{i}" for i in range(19)]), ("g", 901, [f"q{i}" for i in range(18)]), ("g", 902, [f"q{i}" for i in range(19)][::-1])]
+    d = spark.createDataFrame(data, "g string, id long, s array<string>")
+    wanted = expected_pairs(data, lambda j, c, n: n >= 20 and (j >= 0.6 or c >= 0.8 and n >= 50))
+    assert rows(linkage.near_pairs(d, "g", "id", "s"), "g", "a", "b", "shared", "jaccard") == wanted
+    assert any(j < 0.6 for *_, j in wanted) and ("g", 900, 902, 19, 1.0) in wanted
+
+
+@pytest.mark.parametrize("least", [0.1, 0.3, 0.5, 1.0])
+def test_similar_pairs_match_brute_force(spark, least):
+    data = set_data()
+    wanted = expected_pairs(data, lambda j, c, n: j >= least)
+    assert len(wanted) > 5 and max(len(x[2] or []) for x in data) > 100
     d = spark.createDataFrame(data, "g string, id long, s array<string>")
-    assert rows(linkage.similar_pairs(d, "g", "id", "s", least), "g", "a", "b", "shared", "jaccard") == sorted(wanted)
+    assert rows(linkage.similar_pairs(d, "g", "id", "s", least), "g", "a", "b", "shared", "jaccard") == wanted
 
 
 def test_similar_pairs_of_long_texts(spark):
@@ -166,7 +189,7 @@ def test_range_join_serves_every_part(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_size int, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     wanted = [(i, j, round(abs(w - v), 4)) for i, s, t, v in parts for j, z, u, w in parts if i != j and (s, t) == (z, u) and v * 0.9 <= w <= v * 1.1]
     assert len({x[0] for x in wanted}) > 70
-    assert rows(plans.QUERIES["range_join_ladder_all"](spark, str(tmp_path)), "target", "candidate", "gap") == sorted(wanted)
+    assert rows(plans.QUERIES["range_join_ladder"](spark, str(tmp_path)), "target", "candidate", "gap") == sorted(wanted)
 
 
 def test_ladder_falls_back_to_the_last_rung(spark):
@@ -182,7 +205,7 @@ def test_ladder_falls_back_to_the_last_rung(spark):
 def test_every_part_has_a_ladder(spark, tmp_path):
     parts = [(i, f"b{i % 24}", 100.0 + i % 7, i % 3) for i in range(1, 150)] + [(999, "b1", 90000.0, 1)]
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    got = plans.QUERIES["option_ladder_all"](spark, str(tmp_path))
+    got = plans.QUERIES["option_ladder"](spark, str(tmp_path))
     assert {r["item"] for r in got.select("item").distinct().collect()} == {p[0] for p in parts}
     assert rows(got.filter("item = 999"), "item", "cand", "few_donors") == [(999, None, True)]
 
