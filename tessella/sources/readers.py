@@ -70,8 +70,9 @@ def by_folder(spark: SparkSession, path: str, schema: T.StructType | str, patter
 
 def chunks(spark: SparkSession, path: str, schema: T.StructType | str, allowed: Sequence[str]) -> DataFrame:
     """A table partitioned by chunk, only the allowed chunks: others are not even listed."""
-    full = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return spark.read.schema(full.add("chunk", "string")).json(path).filter(F.col("chunk").isin(list(allowed)))
+    given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = T.StructType([*given.fields, T.StructField("chunk", T.StringType())])
+    return spark.read.schema(full).json(path).filter(F.col("chunk").isin(list(allowed)))
 
 
 def typed_pool(spark: SparkSession, path: str) -> DataFrame:
