@@ -91,6 +91,15 @@ def _words(found: Sequence[str]) -> Column:
     return F.split(F.lit(" ".join(found)), " ")
 
 
+#: A text's different terms in SQL, where a long IN list is one hash set and quick to write.
+_DISTINCT = "array_distinct(filter(split(lower({text}), '[^a-z0-9]+'), t -> t <> ''))"
+
+
+def _known(terms_sql: str, found: Sequence[str]) -> str:
+    """Those of distinct terms that are among some."""
+    return f"filter({terms_sql}, t -> t IN ({', '.join(repr(w) for w in found)}))"
+
+
 def _anchors(weights: dict[str, float], threshold: float) -> set[str]:
     """Terms of a unit vector without which the others cannot reach the threshold.
 
@@ -130,7 +139,7 @@ def weigh(files: DataFrame, text_col: str, wordings: Sequence[str]) -> tuple[dic
     """idf by template term, the idf of any other term, and each template's unit vector. The files are read once."""
     counts = [Counter(re.findall(_TERM, t.lower())) for t in wordings]
     vocabulary = sorted(set().union(*counts))
-    present = F.coalesce(F.array_intersect(terms(files[text_col].cast("string")), _words(vocabulary)), F.array().cast("array<string>"))
+    present = F.coalesce(F.expr(_known(_DISTINCT.format(text=f"CAST({text_col} AS STRING)"), vocabulary)), F.array().cast("array<string>"))
     # The empty term stands for the file itself.
     df = {r["term"]: r["n"] for r in files.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     n = df.get("", 0)
@@ -147,21 +156,19 @@ def _candidates(base: DataFrame, known: Sequence[Template], idf: dict[str, float
     """(_id, _key, _no, _terms): the units that can reach the threshold with some template."""
     anchors = sorted(set().union(*[_anchors(v, threshold) for t, v in zip(known, vectors, strict=True) if t.kind == HEADER]))
     full = [_telling(v, idf, threshold) for t, v in zip(known, vectors, strict=True) if t.kind == FILE and v]
-    shared = lambda ts, words: F.size(F.array_intersect(ts, _words(words)))
     either = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
 
     def noticed(low: Column) -> Column:
         short = "|".join(a for a in anchors if len(a) < 4)
         return either([F.contains(low, F.lit(a)) for a in anchors if len(a) >= 4] + ([low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else []))
 
-    def whole(ts: Column) -> Column:
-        """Whether a file's terms are enough for some full text."""
-        if not full:
-            return F.lit(False)
-        return (shared(ts, sorted(set().union(*[v for v, _ in full]))) >= min(n for _, n in full)) & either([shared(ts, v) >= n for v, n in full])
-
     # Arrays of one bind the lower-case text and its terms, so that they are made once and not once a test.
-    by_line, by_file = F.exists(F.array(F.lower("_text")), noticed), F.exists(F.array(terms(F.col("_text"))), whole)
+    by_line, by_file = F.exists(F.array(F.lower("_text")), noticed), F.lit(False)
+    if full:
+        # First against the words of all full texts, then of each.
+        every, least = sorted(set().union(*[v for v, _ in full])), min(n for _, n in full)
+        each = " OR ".join(f"size({_known('ts', v)}) >= {n}" for v, n in full)
+        by_file = F.expr(f"exists(array({_known(_DISTINCT.format(text='_text'), every)}), ts -> size(ts) >= {least} AND ({each}))")
     may = base.filter("_text IS NOT NULL").withColumns({"_lines": by_line, "_file": by_file}).filter("_lines OR _file")
     lines = F.when(F.col("_lines"), F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))).otherwise(F.array().cast("array<struct<no:int,line:string>>"))
     units = may.select("_id", F.xxhash64("_text").alias("_key"), "_file", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("no"), F.col("_text").alias("line"))), lines)).alias("u"))
