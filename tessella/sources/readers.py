@@ -11,6 +11,15 @@ from pyspark.sql import types as T
 from tessella.functions import text as tx
 
 
+def resolved(spark: SparkSession, folders: Sequence[str], name: str) -> str:
+    """The file's path in the first of the folders that holds it; an error names them all."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return f"{folder}/{name}"
+    raise FileNotFoundError(f"{name} is in none of {', '.join(folders)}")
+
+
 def survey(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
     """A tab-separated survey with a header: the named columns with their types, and ``person_id``, the row's place.
 
@@ -100,9 +109,9 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file below a path; one file is hashed in one row."""
+    """Name, folder, size and SHA-256 of every file below a path; one file is hashed in one row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def long_form(df: DataFrame, key: str, items: Sequence[str], value: str = "answer") -> DataFrame:

@@ -61,7 +61,7 @@ def test_sinks(spark, tmp_path):
     assert sinks.append_missing(d.limit(4), str(tmp_path / "t"), ["id"]) == 4 and sinks.append_missing(d, str(tmp_path / "t"), ["id"]) == 2 and sinks.append_missing(d, str(tmp_path / "t"), ["id"]) == 0
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "x.txt").write_text("hello")
-    assert tuple(readers.digests(spark, str(tmp_path / "f")).first()) == ("x.txt", 5, hashlib.sha256(b"hello").hexdigest())
+    assert tuple(readers.digests(spark, str(tmp_path / "f")).first()) == ("x.txt", "f", 5, hashlib.sha256(b"hello").hexdigest())
     sinks.jsonl(d, str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, chunk string").json(str(tmp_path / "in"))
     for _ in range(2):
