@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def arm(df: DataFrame, keys: Sequence[str], values: Sequence[str], which: str, prefix: str, arm_col: str = "arm") -> DataFrame:
@@ -35,3 +37,28 @@ def join_or_fail(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     marked = left.join(right.withColumn("_hit", F.lit(True)), list(keys), "left")
     checked = F.when(F.col("_hit"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no match for key "), F.to_json(F.struct(*keys)))).cast("boolean"))
     return marked.withColumn("_hit", checked).filter("_hit").drop("_hit")
+
+
+def answered(prompts: DataFrame, completions: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Prompts with their completion's text; what has none is null. The batch backend: completions are a table."""
+    given = completions.select(F.col(key).alias("_key"), F.col(text).alias("completion"))
+    return prompts.join(given, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def generated(prompts: DataFrame, key: str, prompt: str, generate: Callable[[list[str]], list[str]], batch: int = 256) -> DataFrame:
+    """(key, completion) from a function over lists of prompts, which answers in their order. The live backend."""
+    schema = T.StructType([T.StructField(key, prompts.schema[key].dataType), T.StructField("completion", T.StringType())])
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                yield pd.DataFrame({key: part[key].to_numpy(), "completion": generate(part[prompt].tolist())})
+
+    return prompts.select(key, prompt).mapInPandas(answer, schema)
+
+
+def indexed(meta: DataFrame, completions: DataFrame, key: str) -> DataFrame:
+    """One row: how many completions have their row in the index, and how many are missing or extra."""
+    both = meta.select(key, F.lit(1).alias("_m")).join(completions.select(key, F.lit(1).alias("_c")), key, "full")
+    return both.agg(F.count_if(F.col("_m").isNotNull() & F.col("_c").isNotNull()).alias("matched"), F.count_if(F.col("_c").isNull()).alias("missing"), F.count_if(F.col("_m").isNull()).alias("extra"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import ranges
+from tessella.runtime import materialise
 
 
 def lot(id_col: str, seed: int) -> Column:
@@ -38,3 +41,29 @@ def interleave(df: DataFrame, first_list: str, order: str, run: int) -> DataFram
     slot = F.when(F.col(first_list), F.floor(k / run) * (run + 1) + k % run).otherwise(k * (run + 1) + run)
     keyed = df.withColumn("_slot", slot)
     return ranges.before(keyed, [F.col("_slot"), F.desc(first_list), F.col(order)], "_before").withColumn("place", F.col("_before") + 1).drop("_slot", "_before")
+
+
+def balanced(df: DataFrame, item: str, id_col: str, label: str, quotas: Sequence[tuple[str, int]], most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows of an item, pushed towards a quota of each label (the scarcest label first): adds the item's ``slot`` from 1.
+
+    In each round over the items a label takes one row of every item that still
+    has one and a free slot, until its quota is met; items are visited by name,
+    rows by lot. Free slots are then filled with whatever the item has left. A
+    label is one pass of windows within items and one order of (round, item).
+    """
+    rows = materialise(df.withColumn("_lot", lot(id_col, seed)))
+    taken = rows.limit(0).select(item, id_col, F.lit(0).alias("_step"), "_lot")
+
+    def fitting(of: DataFrame) -> DataFrame:
+        """Rows that are not taken, within their item's free slots, by lot; with the round that would take them."""
+        used = taken.groupBy(F.col(item).alias("_item")).agg(F.count("*").alias("_used"))
+        left = of.join(taken.select(F.col(id_col).alias("_id")), F.col(id_col) == F.col("_id"), "left_anti").join(used, F.col(item) == F.col("_item"), "left")
+        placed = left.withColumn("_round", F.row_number().over(Window.partitionBy(item).orderBy("_lot", id_col)))
+        return placed.filter(F.col("_round") <= most - F.coalesce("_used", F.lit(0)))
+
+    for step, (name, quota) in enumerate(quotas):
+        able = ranges.before(fitting(rows.filter(F.col(label) == name)), [F.col("_round"), F.col(item)], "_before").filter(F.col("_before") < quota)
+        taken = materialise(taken.unionByName(able.select(item, id_col, F.lit(step).alias("_step"), "_lot")))
+    rest = fitting(rows).select(item, id_col, F.lit(len(quotas)).alias("_step"), "_lot")
+    every = taken.unionByName(rest).withColumn("slot", F.row_number().over(Window.partitionBy(item).orderBy("_step", "_lot", id_col)))
+    return every.select(F.col(id_col).alias("_id"), "slot").join(df, F.col("_id") == F.col(id_col)).drop("_id")

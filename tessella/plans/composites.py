@@ -133,14 +133,16 @@ def duplicate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id, value FROM events), f AS (SELECT unnest([20, 40, 60]) AS floor), s AS (SELECT floor, user_id, count_if(value >= floor) >= 10 AS ok FROM e, f GROUP BY ALL)
-SELECT floor, count_if(ok) AS eligible, count(*) AS subjects, round(count_if(ok) / count(*), 6) AS share FROM s GROUP BY floor""")
+WITH e AS (SELECT user_id, value FROM events), f AS (SELECT unnest([20, 40, 60]) AS floor), s AS (SELECT floor, user_id, count_if(value >= floor) >= 10 AS ok FROM e, f GROUP BY ALL),
+     p AS (SELECT floor, count_if(ok) AS k, count(*) AS n, count_if(ok) / count(*) AS p FROM s GROUP BY floor)
+SELECT floor, k AS eligible, n AS subjects, round(p, 6) AS share, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low, round((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM p""")
 def eligibility_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     floors = (20, 40, 60)
     per = table(spark, sf_dir, "events").groupBy("user_id").agg(*[(F.count_if(F.col("value") >= x) >= 10).alias(f"f{x}") for x in floors])
     one = per.agg(F.count("*").alias("subjects"), *[F.count_if(f"f{x}").alias(f"f{x}") for x in floors])
     long = one.select("subjects", F.inline(F.array(*[F.struct(F.lit(x).alias("floor"), F.col(f"f{x}").alias("eligible")) for x in floors])))
-    return long.select("floor", "eligible", "subjects", F.round(F.col("eligible") / F.col("subjects"), 6).alias("share"))
+    ends = long.withColumn("w", dist.wilson(F.col("eligible"), F.col("subjects")))
+    return ends.select("floor", "eligible", "subjects", F.round(F.col("eligible") / F.col("subjects"), 6).alias("share"), F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
 @query("""
