@@ -367,6 +367,72 @@ def test_adaptive_rounds(spark):
     assert rows(adaptive.complete_rounds(log, "person", "round", 2), "person", "round") == [(1, 1), (2, 1)]
 
 
+def test_gain_rounds_match_a_plain_version(spark):
+    """Three rounds of hypothetical answers, with null beliefs and ties."""
+    people, names = range(1, 7), "abcdefg"
+    items = [(p, i) for p in people for i in names]
+
+    def mass(seed):
+        raw = [1 + seed * k % 11 for k in range(1, 6)]
+        return [x / sum(raw) for x in raw]
+
+    def column(seed):
+        raw = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: (1 + seed * k % 11).cast("double"))
+        return F.map_from_arrays(F.sequence(F.lit(1), F.lit(5)), F.transform(raw, lambda m: m / F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)))
+
+    h = lambda i, n: ord(i) % 4 * 3 + n
+    code = F.ascii("item") % 4 * 3
+    beliefs = lambda left, n: left.withColumn("d", F.when(F.col("item") != "g", column(F.col("person_id") + code + n)))
+    shifted = lambda asked, n: asked.withColumns({"before": column(F.col("person_id") * 2 + n), "after": F.when((F.col("item") != "f") | (F.col("answer") != 3), column(F.col("person_id") * F.col("answer") + code + n))})
+    expected = []
+    for p in people:
+        left = list(names)
+        for n in (1, 2, 3):
+            d = {i: mass(p + h(i, n)) if i != "g" else None for i in left}
+            uncertain = {i: -1.0 if v is None else sum(-x * math.log(x) for x in v) for i, v in d.items()}
+            gains = {}
+            for i in sorted(left, key=lambda i: (-round(uncertain[i], 9), i))[:4]:
+                w = [1 / 3] * 3 if d[i] is None else [d[i][a - 1] for a in (1, 3, 5)]
+                shifts = [0.0 if i == "f" and a == 3 else sum(abs(x - y) for x, y in zip(mass(p * 2 + n), mass(p * a + h(i, n)), strict=True)) / 2 for a in (1, 3, 5)]
+                gains[i] = sum(x * y for x, y in zip(w, shifts, strict=True)) / sum(w)
+            best = min(gains, key=lambda i: (-round(gains[i], 9), i))
+            expected.append((p, n, best, pytest.approx(gains[best])))
+            left.remove(best)
+    adaptive.SCORERS["rounded"] = lambda d: F.round(adaptive.dist.entropy(d), 9)
+    got = adaptive.gain_rounds(beliefs, shifted, spark.createDataFrame(items, "person_id int, item string"), 3, shortlist=4, scorer="rounded")
+    assert rows(got, "person_id", "round", "item", "score") == expected
+
+
+def test_balanced_sample_matches_a_loop(spark):
+    import hashlib
+
+    draw = random.Random(6)
+    data = [(i, draw.randint(0, 7), draw.choice(["SAME"] * 6 + ["DIFFERENT", "UNCLEAR", "UNCLEAR"])) for i in range(60)]
+    quotas = [("DIFFERENT", 4), ("SAME", 5), ("UNCLEAR", 3)]
+    lots = {i: hashlib.sha256(f"9{i}".encode()).hexdigest() for i, _, _ in data}
+    chosen = {item: [] for _, item, _ in data}
+    for label, quota in quotas:
+        for _ in range(3):
+            for item in sorted(chosen):
+                free = [i for i, x, y in data if x == item and y == label and i not in chosen[item]]
+                if quota and free and len(chosen[item]) < 3:
+                    chosen[item].append(min(free, key=lots.get))
+                    quota -= 1
+    for item, taken in chosen.items():
+        rest = sorted((i for i, x, _ in data if x == item and i not in taken), key=lots.get)
+        taken += rest[: 3 - len(taken)]
+    d = spark.createDataFrame(data, "id int, item int, label string")
+    assert rows(sampling.balanced(d, "item", "id", "label", quotas, 3, 9), "item", "id") == sorted((item, i) for item, taken in chosen.items() for i in taken)
+
+
+def test_backends(spark):
+    d = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "id int, prompt string").repartition(3)
+    assert rows(pairing.generated(d, "id", "prompt", lambda ps: [p[::-1] for p in ps], batch=2), "id", "completion") == [(i, f"{i}p") for i in range(10)]
+    done = spark.createDataFrame([(1, "x"), (99, "y")], "id int, text string")
+    assert [r["completion"] for r in pairing.answered(d, done, "id").orderBy("id").collect()] == [None, "x"] + [None] * 8
+    assert tuple(pairing.indexed(d, done, "id").first()) == (1, 9, 1)
+
+
 def test_ties_go_by_digest(spark):
     import hashlib
 

@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.sources import readers, sinks
 
@@ -67,3 +68,36 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.ledger_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 6
+
+
+def test_fallback_and_schema(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.txt").write_text("hello")
+    assert readers.resolved(spark, [str(tmp_path / "a"), str(tmp_path / "b")], "x.txt") == f"{tmp_path}/b/x.txt"
+    with pytest.raises(FileNotFoundError, match=r"none of .*/a"):
+        readers.resolved(spark, [str(tmp_path / "a")], "x.txt")
+    schema = T.StructType([T.StructField("id", T.IntegerType())])
+    sinks.chunked(spark.createDataFrame([(1, "c1")], "id int, chunk string"), str(tmp_path / "chunks"))
+    for _ in range(2):
+        assert readers.chunks(spark, str(tmp_path / "chunks"), schema, ["c1"]).count() == 1
+    assert schema.names == ["id"]
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    """Off one machine, an application without the setting stops."""
+    from tessella import runtime
+
+    class Bare:
+        master = "spark://somewhere:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+        @staticmethod
+        def getConf():  # noqa: N802
+            return {}
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        runtime.ensure_checkpoint_dir(type("Session", (), {"sparkContext": Bare}))
