@@ -15,8 +15,8 @@ from tessella.functions import dist
 from tessella.functions.text import index_of
 from tessella.runtime import materialise
 
-#: Scores of a distribution by name; the larger is asked first.
-SCORERS: dict[str, Callable[[Column], Column]] = {"entropy": dist.entropy, "ev_variance": dist.variance}
+#: Scores of a distribution by name; the larger is asked first. Rounded entropies tie whatever the order of their sums.
+SCORERS: dict[str, Callable[[Column], Column]] = {"entropy": dist.entropy, "ev_variance": dist.variance, "entropy_9": lambda d: F.round(dist.entropy(d), 9)}
 
 
 def pick(scored: DataFrame, person: str, item: str, score: str, seed: int | None = None, round_no: int = 0) -> DataFrame:

@@ -119,14 +119,14 @@ def _steps(counts: DataFrame, folds: int) -> list[tuple[np.ndarray, np.ndarray]]
     return [(np.array([e for e, _ in levels[f]]), np.array([v for _, v in levels[f]])) for f in range(folds)]
 
 
-def calibrated(df: DataFrame, key: str, subject: str, conf: str, hit: str, kind: str, folds: int = 5) -> DataFrame:
-    """(key, calibrated): cross-fitted confidences; each subject's fold is scored by a map fitted on the others.
+def calibrated(df: DataFrame, key: str, subject: str, conf: str, hit: str, kind: str, folds: int = 5, fold: Column | None = None) -> DataFrame:
+    """(key, calibrated): cross-fitted confidences; each subject's fold (by its hash, or as given) is scored by a map fitted on the others.
 
     Where the others are empty a confidence stays as it is. Rows are narrow
     passes; fits see counts by distinct confidence and fold.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(key).alias("key"), F.col(conf).cast("double").alias("x"), F.col(hit).cast("double").alias("y"), F.pmod(F.xxhash64(subject), F.lit(folds)).cast("int").alias("own"))
+    rows = df.select(F.col(key).alias("key"), F.col(conf).cast("double").alias("x"), F.col(hit).cast("double").alias("y"), (F.pmod(F.xxhash64(subject), F.lit(folds)) if fold is None else fold).cast("int").alias("own"))
     counts = materialise(rows.groupBy("own", "x").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("up")))
     x, out = F.col("x"), F.col("x")
     if kind == "platt":

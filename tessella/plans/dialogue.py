@@ -9,6 +9,7 @@ from tessella.functions import text as tx
 from tessella.functions.dates import day_bin, tolerant_date
 from tessella.operators import rank, seq, sessions, split
 from tessella.plans.registry import query
+from tessella.plans.texts import _SET
 from tessella.runtime import table
 from tessella.sources import views
 
@@ -166,9 +167,14 @@ def spaced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.spaced(table(spark, sf_dir, "events"), ["user_id"], "event_id", 500)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT conv_id AS tid, turn AS turn_idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {_SET} AS w FROM conversations),
+  f(tid, k, turn_idx, kept, taken) AS (SELECT tid, k, turn_idx, [w], true FROM t WHERE k = 1
+    UNION ALL SELECT t.tid, t.k, t.turn_idx, CASE WHEN x.alike THEN f.kept ELSE list_append(f.kept, t.w) END, NOT x.alike FROM f JOIN t ON t.tid = f.tid AND t.k = f.k + 1,
+    LATERAL (SELECT len(list_filter(f.kept, lambda o: CASE WHEN len(o) = 0 AND len(t.w) = 0 THEN true ELSE len(list_intersect(o, t.w)) / len(list_distinct(list_concat(o, t.w))) >= 0.5 END)) > 0 AS alike) AS x)
+SELECT tid, turn_idx FROM f WHERE taken QUALIFY row_number() OVER (PARTITION BY tid ORDER BY turn_idx) <= 20""")
 def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation kept first to last unless too like one already kept; order-dependent, so tested by brute force."""
+    """Turns of a conversation kept first to last unless too like one already kept."""
     t = views.turns(spark, sf_dir).select("tid", "turn_idx", tx.word_set(F.col("text")).alias("w"))
     return seq.greedy_dedup(t, ["tid"], ["turn_idx"], "w", threshold=0.5, most=20)
 

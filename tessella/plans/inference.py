@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import dist
 from tessella.operators import adaptive, calib, models, pairing, stats
 from tessella.plans.registry import query
 from tessella.runtime import table
@@ -50,24 +51,48 @@ def signflip_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("subject"), F.least(F.lit(1.0), F.col("value") / 100).alias("conf"), ((F.col("event_id") % 3 == 0) | (F.col("value") > 60)).alias("hit"))
+    conf = F.least(F.lit(1.0), F.floor("value") / 100)
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("subject"), conf.alias("conf"), ((F.col("event_id") % 3 == 0) | (F.col("value") > 60)).alias("hit"))
 
 
 def _refit(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     s = _scored(spark, sf_dir)
-    fitted = models.calibrated(s, "id", "subject", "conf", "hit", kind)
-    return calib.errors(calib.equal_width(s.join(fitted.withColumnRenamed("key", "id"), "id"), "calibrated", 10), "calibrated", "hit")
+    fitted = models.calibrated(s, "id", "subject", "conf", "hit", kind, fold=F.col("subject") % 5)
+    # Rounded before it is put into bins, so that a value on an edge falls on one side.
+    j = s.join(fitted.withColumnRenamed("key", "id"), "id").withColumn("calibrated", F.round("calibrated", 6))
+    return calib.errors(calib.equal_width(j, "calibrated", 10), "calibrated", "hit")
 
 
-@query()
+_SCORED = "WITH s AS (SELECT event_id AS id, user_id % 5 AS own, least(1.0, floor(value) / 100) AS x, CAST(event_id % 3 = 0 OR value > 60 AS INT) AS y FROM events), c AS (SELECT own, x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS up FROM s GROUP BY ALL), f AS (SELECT unnest(range(0, 5)) AS fold)"
+_ERRORS = """, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap, sum((p - y) * (p - y)) AS sq FROM j GROUP BY 1)
+SELECT round(sum(n * gap) / sum(n), 6) AS ece, round(max(gap), 6) AS mce, round(sum(sq) / sum(n), 6) AS brier FROM b"""
+
+
+def _newton(rounds: int) -> str:
+    """Newton steps of a logistic curve in one table expression each."""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""z{i} AS (SELECT fold, a, b, x, n * (1 / (1 + exp(-greatest(least(a * x + b, 30), -30)))) AS np, n * (1 / (1 + exp(-greatest(least(a * x + b, 30), -30)))) * (1 - 1 / (1 + exp(-greatest(least(a * x + b, 30), -30)))) AS v, up * hi + (n - up) * lo AS t FROM b{i} JOIN w USING (fold)),
+     g{i} AS (SELECT fold, a, b, sum((t - np) * x) AS g1, sum(t - np) AS g2, sum(v * x * x) + 1e-9 AS h11, sum(v * x) AS h12, sum(v) + 1e-9 AS h22 FROM z{i} GROUP BY ALL),
+     b{i + 1} AS (SELECT fold, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM g{i})""")
+    return ", ".join(steps)
+
+
+@query(f"""
+{_SCORED}, k AS (SELECT fold, sum(n) AS n, sum(up) AS up FROM f JOIN c ON c.own <> f.fold GROUP BY fold), w AS (SELECT f.fold, x, c.n, c.up, (k.up + 1) / (k.up + 2) AS hi, 1 / (k.n - k.up + 2) AS lo FROM f JOIN c ON c.own <> f.fold JOIN k ON k.fold = f.fold),
+     b0 AS (SELECT fold, 0.0::DOUBLE AS a, ln((up + 1) / (n - up + 1)) AS b FROM k), {_newton(12)}, j AS (SELECT s.y, round(1 / (1 + exp(-(b12.a * s.x + b12.b))), 6) AS p FROM s JOIN b12 ON b12.fold = s.own){_ERRORS}""")
 def platt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration errors after a cross-fitted logistic map (iterative fit)."""
+    """Calibration errors after a cross-fitted logistic map; the SQL spells out its Newton steps."""
     return _refit(spark, sf_dir, "platt")
 
 
-@query()
+@query(f"""
+{_SCORED}, t AS (SELECT fold, x, sum(n) AS n, sum(up) AS up FROM f JOIN c ON c.own <> f.fold GROUP BY ALL), r AS (SELECT *, sum(n) OVER w AS cn, sum(up) OVER w AS cu, row_number() OVER w AS i FROM t WINDOW w AS (PARTITION BY fold ORDER BY x)),
+     m AS (SELECT j.fold, j.i AS j, k.i AS k, (k.cu - j.cu + j.up) / (k.cn - j.cn + j.n) AS avg FROM r j JOIN r k ON k.fold = j.fold AND k.i >= j.i), l AS (SELECT m.fold, r.i, m.j, min(m.avg) AS low FROM m JOIN r ON r.fold = m.fold AND m.j <= r.i AND m.k >= r.i GROUP BY ALL),
+     g AS (SELECT l.fold, r.x, max(low) AS level FROM l JOIN r ON r.fold = l.fold AND r.i = l.i GROUP BY l.fold, r.x), u AS (SELECT own, x, coalesce((SELECT arg_min(level, g.x) FROM g WHERE g.fold = c.own AND g.x >= c.x), (SELECT arg_max(level, g.x) FROM g WHERE g.fold = c.own)) AS p FROM c),
+     j AS (SELECT s.y, round(u.p, 6) AS p FROM s JOIN u ON u.own = s.own AND u.x = s.x){_ERRORS}""")
 def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration errors after a cross-fitted rising step map (sequential fit)."""
+    """Calibration errors after a cross-fitted rising step map; the SQL takes the largest of the least averages."""
     return _refit(spark, sf_dir, "isotonic")
 
 
@@ -80,17 +105,28 @@ def ridge_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.greedy_order(t, "user_id", kinds, ["target"], 4)
 
 
-@query()
+def _round(n: int) -> str:
+    """A round in SQL: entropies of what is left, the largest, and of equals the one that a digest names."""
+    shown = " UNION ALL ".join(f"SELECT p, item FROM r{i}" for i in range(1, n))
+    left = f"SELECT * FROM i WHERE (p, item) NOT IN ({shown})" if shown else "SELECT * FROM i"
+    return f"""l{n} AS ({left}), m{n} AS (SELECT p, item, list_transform(range(1, 6), lambda k: 1.0 + (p + h) * (k + {n}) % 11) AS m FROM l{n}),
+     e{n} AS (SELECT p, item, round(list_sum(list_transform(m, lambda x: -(x / list_sum(m)) * ln(x / list_sum(m)))), 9) AS score FROM m{n}), x{n} AS (SELECT * FROM e{n} QUALIFY score = max(score) OVER (PARTITION BY p)),
+     q{n} AS (SELECT *, count(*) OVER (PARTITION BY p) AS tied, row_number() OVER (PARTITION BY p ORDER BY item) AS k FROM x{n}), r{n} AS (SELECT p, {n} AS round, item, score, tied FROM q{n} WHERE k = CAST(('0x' || sha256('71|' || p || '|{n}')[1:16])::UBIGINT % tied AS INT) + 1)"""
+
+
+@query(f"""
+WITH i AS (SELECT DISTINCT user_id AS p, event_type AS item, length(event_type) * 7 + ascii(event_type) AS h FROM events), {", ".join(_round(n) for n in (1, 2, 3))}
+SELECT p AS person_id, round, item, score, tied FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)""")
 def adaptive_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds of asking each person the item of highest entropy (stateful loop)."""
+    """Three rounds of asking each person the item of highest entropy, ties by a seeded digest."""
     items = table(spark, sf_dir, "events").select(F.col("user_id").alias("person_id"), F.col("event_type").alias("item")).distinct()
 
     def beliefs(left: DataFrame, n: int) -> DataFrame:
-        mass = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: (1 + F.pmod(F.xxhash64("person_id", "item", k, F.lit(n)), F.lit(9))).cast("double"))
-        whole = F.aggregate(mass, F.lit(0.0).cast("double"), lambda a, m: a + m)
-        return left.withColumn("d", F.map_from_arrays(F.sequence(F.lit(1), F.lit(5)), F.transform(mass, lambda m: m / whole)))
+        seed = F.col("person_id") + F.length("item") * 7 + F.ascii("item")
+        mass = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: (1 + F.pmod(seed * (k + n), F.lit(11))).cast("double"))
+        return left.withColumn("d", F.map_from_arrays(F.sequence(F.lit(1), F.lit(5)), F.transform(mass, lambda m: m / dist.total(mass))))
 
-    return adaptive.rounds(beliefs, items, 3, seed=71)
+    return adaptive.rounds(beliefs, items, 3, scorer="entropy_9", seed=71)
 
 
 @query("""

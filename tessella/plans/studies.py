@@ -171,7 +171,6 @@ def information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     def beliefs(left: DataFrame, n: int) -> DataFrame:
         return left.withColumn("d", _mass(p + h, n))
 
-    adaptive.SCORERS.setdefault("entropy_9", lambda d: F.round(dist.entropy(d), 9))
     shown = adaptive.gain_rounds(beliefs, lambda a, n: shifted(a, n), e, 1, shortlist=3, scorer="entropy_9")
     return shown.withColumn("score", F.round("score", 6)).select("person_id", "item", "score")
 

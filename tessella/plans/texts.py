@@ -49,9 +49,11 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHINGLES = f"list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' ')))"
 
 
-@query(f"""
-WITH d AS (SELECT doc_id, source, {_W} AS w FROM documents), s AS (SELECT doc_id, source, CASE WHEN len(w) = 0 THEN [] ELSE {_SHINGLES} END AS g FROM d), {_CLASSES}
-SELECT a, b, n_a, n_b, shared FROM p WHERE least(n_a, n_b) >= 20 AND (shared / (n_a + n_b - shared) >= 0.6 OR (shared / least(n_a, n_b) >= 0.8 AND least(n_a, n_b) >= 50)) UNION ALL SELECT a, b, n, n, n FROM m WHERE a <> b""")
+_NEAR = f"""d AS (SELECT doc_id, source, {_W} AS w FROM documents), s AS (SELECT doc_id, source, CASE WHEN len(w) = 0 THEN [] ELSE {_SHINGLES} END AS g FROM d), {_CLASSES},
+     near AS (SELECT a, b, n_a, n_b, shared FROM p WHERE least(n_a, n_b) >= 20 AND (shared / (n_a + n_b - shared) >= 0.6 OR (shared / least(n_a, n_b) >= 0.8 AND least(n_a, n_b) >= 50)) UNION ALL SELECT a, b, n, n, n FROM m WHERE a <> b)"""
+
+
+@query(f"WITH {_NEAR} SELECT * FROM near")
 def shingle_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of one source by 5-word shingles; copies are paired with the first of them only."""
     p = _shingle_pairs(spark, sf_dir)
@@ -63,9 +65,11 @@ def _shingle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.near_pairs(s, "source", "doc_id", "s")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y), g AS (SELECT x, min(y) AS root FROM r GROUP BY x)
+SELECT root, count(*) AS size FROM g GROUP BY root""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of near-duplicates: their links' transitive closure. Tested against union-find."""
+    """Groups of near-duplicates: their links' transitive closure."""
     return connected(_shingle_pairs(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("size"))
 
 
