@@ -36,14 +36,20 @@ WITH b AS (SELECT p_partkey AS cand, p_brand AS donor, p_retailprice AS w, CASE
      c AS (SELECT i.cand AS item, b.cand, b.donor, abs(b.w - i.w) / i.w AS gap, b.bucket = i.bucket AS same FROM b i LEFT JOIN b ON b.donor <> i.donor AND (b.bucket = i.bucket OR b.bucket = 'L' OR i.bucket = 'L') AND abs(b.w - i.w) / i.w <= 0.5),
      r AS (SELECT *, CASE WHEN same AND gap <= 0.2 THEN 1 WHEN same AND gap <= 0.3 THEN 2 WHEN gap <= 0.3 THEN 3 WHEN gap <= 0.5 THEN 4 END AS rung FROM c),
      d AS (SELECT item, donor, min(rung) AS rung FROM r GROUP BY ALL),
-     f AS (SELECT item, CASE WHEN count_if(rung <= 1) >= 20 THEN 1 WHEN count_if(rung <= 2) >= 20 THEN 2 WHEN count_if(rung <= 3) >= 20 THEN 3 ELSE 4 END AS relax_rung, count_if(rung <= 4) < 20 AS few_donors FROM d GROUP BY item)
-SELECT item, cand, donor, rung, relax_rung, round(gap, 6) AS gap, few_donors FROM r JOIN f USING (item) WHERE rung <= relax_rung OR cand IS NULL""")
+     f AS (SELECT item, CASE WHEN count_if(rung <= 1) >= 20 THEN 1 WHEN count_if(rung <= 2) >= 20 THEN 2 WHEN count_if(rung <= 3) >= 20 THEN 3 ELSE 4 END AS relax_rung, count_if(rung <= 4) < 20 AS few_donors FROM d GROUP BY item),
+     o AS (SELECT item, cand, donor, rung, relax_rung, round(gap, 6) AS gap, few_donors FROM r JOIN f USING (item) WHERE rung <= relax_rung OR cand IS NULL),
+     z AS (SELECT * FROM o QUALIFY cand IS NULL OR row_number() OVER (PARTITION BY item, donor ORDER BY gap, cand) = 1)
+SELECT *, CAST(CASE WHEN cand IS NOT NULL THEN row_number() OVER (PARTITION BY item ORDER BY gap, cand) END AS INT) AS rank FROM z QUALIFY cand IS NULL OR row_number() OVER (PARTITION BY item ORDER BY gap, cand) <= 5""")
 def option_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ladders for every part."""
+    """Distractors for every part: of the rung that it needs, the nearest of each donor, and the five nearest of these."""
     k = F.col("p_size") % 3
     bank = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand"), F.col("p_brand").alias("donor"), F.col("p_retailprice").alias("words"), F.when(k == 0, "Z").when(k == 1, "L").otherwise("H").alias("bucket"))
     items = bank.select(F.col("cand").alias("item"), F.col("donor").alias("subject"), "words", "bucket")
-    return compose.ladder(items, bank, 20)
+    found = compose.ladder(items, bank, 20)
+    # The nearest of each donor is a minimum, summed before the shuffle.
+    nearest = found.filter("cand IS NOT NULL").groupBy("item", "donor").agg(F.min(F.struct("gap", "cand", "rung", "relax_rung", "few_donors")).alias("b")).select("item", "donor", "b.*")
+    best = rank.top_per_group(nearest, ["item"], [F.col("gap"), F.col("cand")], 5)
+    return best.unionByName(found.filter("cand IS NULL"), allowMissingColumns=True)
 
 
 @query("""
