@@ -89,6 +89,11 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def markdown_cell(x: Column) -> Column:
+    """A value as a cell of a Markdown table: bars escaped, line ends as spaces, null as nothing."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\|", r"\\|"), r"\s*\R\s*", " "), F.lit(""))
+
+
 def looks_truncated(x: Column) -> Column:
     """The text doesn't end with a sentence's end or a closing mark."""
     return ~F.coalesce(F.right(F.trim(x), F.lit(1)).isin(list(".!?)\"'”’")), F.lit(False))
@@ -172,6 +177,14 @@ def speaker(label: Column) -> Column:
     return F.struct(kind.alias("kind"), name.alias("name"))
 
 
+def titled_speaker(label: Column, honorifics: list[str]) -> Column:
+    """speaker() with the title before the name as ``honorific``, lower-case, or null."""
+    pattern = r"(?i)^\s*(" + "|".join(sorted(honorifics, key=lambda h: (-len(h), h))) + r")\.?\s+"
+    s = speaker(F.regexp_replace(label, pattern, ""))
+    title = F.lower(F.regexp_extract(label, pattern, 1))
+    return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), F.when(title != "", title).alias("honorific"))
+
+
 def question_type(x: Column, cues: dict[str, list[str]]) -> Column:
     """The type with most cues in the text (ties: the first type); unclear without any. A cue inside a longer cue of the text doesn't count."""
     low = F.lower(x)

@@ -134,6 +134,20 @@ def chunked(sizes: DataFrame, subject: str, n: str, target: int) -> DataFrame:
     return ranges.before(sizes, [F.col(subject)], "_before", F.col(n)).withColumn("chunk", F.floor(F.col("_before") / target).cast("long")).drop("_before")
 
 
+def guarded(ranked: DataFrame, blocks: dict[str, Column], subject: str = "subject", order: str = "rank") -> DataFrame:
+    """Each subject's first candidate in order that no rule blocks, with how many were passed over and why the first of them was.
+
+    blocks: reasons in the order in which they are tried, each a condition over
+    the candidate's row.
+    """
+    reason = F.coalesce(*[F.when(c, F.lit(r)) for r, c in blocks.items()])
+    marked = ranked.withColumn("_reason", reason)
+    free = F.min(F.when(F.col("_reason").isNull(), F.col(order)))
+    first = marked.groupBy(subject).agg(free.alias("_first"), F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.col(order))).alias("passed_reason"))
+    joined = marked.join(first, subject).filter(F.col(order) == F.col("_first"))
+    return joined.withColumn("passed_over", (F.col("_first") - 1).cast("long")).drop("_reason", "_first")
+
+
 def allocate(supply: dict[str, int], quota: int) -> dict[str, int]:
     """Even shares of a quota, capped by supply; what some can't give is shared among the others, by name."""
     given, left = dict.fromkeys(supply, 0), quota

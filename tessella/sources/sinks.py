@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessella.functions.text import markdown_cell
+
 
 def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -18,6 +20,15 @@ def sorted_csv(df: DataFrame, path: str, *order: Column | str) -> None:
     df.orderBy(*order).write.mode("overwrite").csv(path, header=True)
 
 
+def markdown(df: DataFrame, path: str, *order: Column | str) -> None:
+    """A table in Markdown, sorted: a header file, then part files of rows that follow each other by name."""
+    spark = df.sparkSession
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = spark.createDataFrame([("| " + " | ".join(df.columns) + " |",), ("|" + " --- |" * len(df.columns),)], "value string")
+    head.coalesce(1).write.mode("overwrite").text(f"{path}/0-header")
+    df.orderBy(*order).select(line([markdown_cell(F.col(c)) for c in df.columns]).alias("value")).write.mode("overwrite").text(f"{path}/1-rows")
+
+
 def chunked(df: DataFrame, path: str, chunk: str = "chunk") -> None:
     """A folder for each chunk; a chunk's rows are brought together first, so it has few files."""
     df.repartition(F.col(chunk)).write.mode("overwrite").partitionBy(chunk).json(path)
