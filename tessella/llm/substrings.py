@@ -6,8 +6,9 @@ hash of its words, both by prefix sums modulo 2^64 with an odd base, so a whole
 block of documents is hashed in a few vectorised passes. A window that starts
 at two places or more is repeated; the words it covers go.
 
-Scale: document rows are dealt evenly into blocks of a few MB, whatever their
-ids and texts. A block sends each of its distinct window hashes once, sorted
+Scale: input splits are cut into chunks of some rows, packed and compressed, and
+chunks are dealt evenly into blocks of a few MB, whatever their ids and texts.
+A block sends each of its distinct window hashes once, sorted
 and packed, to the bucket of the hash's leading bits; the bucket finds hashes
 that two blocks sent (or one block saw twice) and answers each block with those
 of its hashes. A passage in a third of all documents therefore costs a bucket
@@ -15,8 +16,8 @@ one hash for each block, never one row for each copy. Blocks and buckets grow
 in number with the input, not in size. A block sends to at most ``MOST_PARTS``
 ranges of hashes; where there are more buckets, groups of blocks of a bucket's
 size are sorted once more and sent on from each range to its buckets, so that
-messages stay long at any size. The text is shuffled once (both uses share that
-exchange), the hashes once or twice in about six bytes each.
+messages stay long at any size. The compressed text is shuffled once (both uses
+share that exchange), the hashes once or twice in about six bytes each.
 
 Two different windows share a hash with probability 2^-64 for each pair.
 """
@@ -28,18 +29,21 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessella.llm.common import ID, TEXT, blocks_for, rows, schema_of
+from tessella.llm.common import TEXT, blocks_for, in_slices, rows, schema_of
 from tessella.llm.hashing import WORD_BASE, mixed, rolling, word_hashes
 from tessella.runtime import ship
 
 WINDOW = 35
 #: Text bytes of one block, and of the text whose windows meet in one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
+#: Text bytes of a chunk of rows, which is packed and dealt as one, and its rows at most.
+CHUNK_BYTES, CHUNK_ROWS = 256 << 10, 4096
 LEAST_BLOCKS = 64
 #: Ranges of hashes that a block sends to at most.
 MOST_PARTS = 2048
@@ -109,6 +113,21 @@ def _cuts(sorted_hashes: np.ndarray, first: int, n: int, width: int) -> np.ndarr
     return np.concatenate(([0], np.searchsorted(sorted_hashes, np.array(edges, np.uint64)), [len(sorted_hashes)])).astype(np.int64)
 
 
+_PACKED = T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("_rows", T.BinaryType())])
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(group: pa.Table) -> pa.Table:
+    """The rows of a block's chunks."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in group.column("_rows")])
+
+
 def _entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All hashes of the messages, sorted, with the block of each and whether that saw it twice."""
     hashes, blocks, twice = [], [], []
@@ -160,14 +179,25 @@ def dedup_substrings(
     inner = -(-buckets // MOST_PARTS)
     outer = -(-buckets // inner)
     width = -(-(1 << 64) // (outer * inner))
-    dealt = base.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    packed = to_arrow_schema(_PACKED)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of the split's rows, each with a block by the hash of its place."""
+        place = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for batch in in_slices(whole, CHUNK_BYTES, CHUNK_ROWS):
+                block = int(mixed(np.array([place], np.uint64))[0]) % blocks
+                place += 1
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(batch)], pa.binary())], schema=packed)
+
+    dealt = base.mapInArrow(deal, _PACKED)
     sent, answer = to_arrow_schema(_SENT), to_arrow_schema(_ANSWER)
 
     def texts_of(group: pa.Table) -> list[bytes]:
         return [x.as_py() or b"" for x in group.column(TEXT)]
 
     def send(group: pa.Table) -> pa.Table:
-        w = Windows(texts_of(group), window)
+        w = Windows(texts_of(_rows(group)), window)
         at, block = _cuts(w.distinct, 0, outer, width * inner), group.column("_block")[0].as_py()
         out: list[list] = [[] for _ in sent]
         for b in np.flatnonzero(np.diff(at)).tolist():
@@ -204,9 +234,12 @@ def dedup_substrings(
     result = schema_of(docs, id_col, carry, RESULT)
     arrow = to_arrow_schema(result)
 
-    def remove(group: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = texts_of(group)
+    def remove(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         got: list[list] = [[], [], [], []]
+        if not len(chunks):
+            return arrow.empty_table()
+        group = _rows(chunks)
+        texts = texts_of(group)
         if texts:
             w = Windows(texts, window)
             told = [_unpack(packed, n) for packed, n in zip(answers.column("_hashes").to_pylist(), answers.column("_n").to_pylist(), strict=True)]
