@@ -7,6 +7,7 @@ only ever sees one row of statistics.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -131,23 +132,37 @@ def with_p_values(one: DataFrame) -> DataFrame:
 
 _DRAWN = T.StructType([T.StructField("replicate", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("weight", T.DoubleType())])
 
+#: Of 65,536 equally likely numbers, how many lie below each value's end in a Poisson distribution of mean 1.
+POISSON = [int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
 
-def _replicates(rows: DataFrame, value: str, size: str, key: str, n: int, seed: int, signs: bool) -> DataFrame:
-    """(replicate, total, weight): sums of a value and a size over the rows, each with a random weight of its own.
 
-    Weights come from a counter-based generator that the seed and the row's key
-    start, so they depend neither on partitions nor on other rows. A task sends
-    one number of each kind a replicate.
+def weights(seed: int, key: str, n: int, signs: bool) -> np.ndarray:
+    """A row's weights in n replicates, from SHA-256 digests of seed, key and word, so that any engine can draw them.
+
+    Signs: a bit each, the highest of a byte first, 1 for plus. Counts: two
+    bytes each, the number of POISSON's ends that they reach.
+    """
+    words = -(-n // (256 if signs else 16))
+    drawn = np.frombuffer(b"".join(hashlib.sha256(f"{seed}|{key}|{w}".encode()).digest() for w in range(words)), np.uint8)
+    if signs:
+        return np.unpackbits(drawn)[:n] * 2.0 - 1
+    return np.searchsorted(POISSON, drawn.view(">u2")[:n], side="right").astype(float)
+
+
+def _replicates(rows: DataFrame, value: str, size: str | None, key: str, n: int, seed: int, signs: bool) -> DataFrame:
+    """(replicate, total, weight): sums of a value and a size over the rows, each with random weights of its own.
+
+    Weights depend neither on partitions nor on other rows. A task sends one
+    number of each kind a replicate.
     """
     ship(rows.sparkSession)
-    base = rows.select(F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("x"), F.col(size).cast("double").alias("s") if size else F.lit(1.0).alias("s")).filter("x IS NOT NULL")
+    base = rows.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("x"), F.col(size).cast("double").alias("s") if size else F.lit(1.0).alias("s")).filter("x IS NOT NULL")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(n), np.zeros(n)
         for batch in batches:
             for k, x, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                random = np.random.Generator(np.random.Philox(key=[seed, k & (1 << 64) - 1]))
-                w = random.integers(0, 2, n) * 2.0 - 1 if signs else random.poisson(1.0, n)
+                w = weights(seed, k, n, signs)
                 total += w * x
                 weight += w * s
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total), pa.array(weight)], names=["replicate", "total", "weight"])

@@ -37,16 +37,39 @@ def contrast_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.with_p_values(stats.contrast(_diffs(spark, sf_dir), "diff"))
 
 
-@query()
+SEED = 20260728
+
+#: A subject's number of draws in each replicate, and its sign in each, from hexadecimal digests of 16 numbers and 256 bits.
+_COUNTS = f"SELECT s, x, n, word * 16 + i AS replicate, list_sum(list_transform({stats.POISSON}, lambda t: CAST(('0x' || h[4 * i + 1 : 4 * i + 4])::INT >= t AS INT))) AS w FROM (SELECT s, x, n, word, sha256('{SEED}|' || s || '|' || word) AS h FROM d, (SELECT unnest(range(0, 625)) AS word)), (SELECT unnest(range(0, 16)) AS i)"
+_MEANS = f"c AS ({_COUNTS}), m AS (SELECT replicate, sum(w * x) / sum(w * n) AS mean FROM c GROUP BY replicate HAVING sum(w * n) > 0) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m"
+
+
+@query(f"WITH d AS (SELECT person_id AS s, diff AS x, 1 AS n FROM ({_DIFF})), {_MEANS}")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile interval of the mean lift over 10,000 replicates, whose random numbers SQL engines don't share."""
-    return stats.bootstrap(_diffs(spark, sf_dir), "diff", "person_id", seed=20260728)
+    """Percentile interval of the mean lift over 10,000 replicates."""
+    ci = stats.bootstrap(_diffs(spark, sf_dir), "diff", "person_id", seed=SEED)
+    return ci.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query()
+_BOTH = "SELECT t.person_id, t.item, abs(b.ev - b.truth) - abs(t.ev - t.truth) AS d FROM {predictions} t JOIN {predictions} b ON t.person_id = b.person_id AND t.item = b.item AND t.arm = 'twin' AND b.arm = 'baseline' WHERE NOT t.parse_failure AND NOT b.parse_failure"
+
+
+@query(f"WITH d AS (SELECT person_id AS s, sum(d) AS x, count(*) AS n FROM ({_BOTH}) GROUP BY 1), {_MEANS}")
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of a mean over items where subjects are drawn."""
+    p = pairing.pairs(views.predictions(spark, sf_dir), ["person_id", "item"], ["ev", "truth", "parse_failure"], "twin", "baseline").filter("NOT better_parse_failure AND NOT worse_parse_failure")
+    d = p.withColumn("d", F.abs(F.col("worse_ev") - F.col("worse_truth")) - F.abs(F.col("better_ev") - F.col("better_truth")))
+    ci = stats.bootstrap(d.groupBy("person_id").agg(F.sum("d").alias("total"), F.count("*").alias("items")), "total", "person_id", seed=SEED, size="items")
+    return ci.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(f"""
+WITH d AS ({_DIFF}), h AS (SELECT diff, word, sha256('{SEED}|' || person_id || '|' || word) AS h FROM d, (SELECT unnest(range(0, 79)) AS word)),
+     b AS (SELECT word * 256 + i AS draw, sum(CASE WHEN (('0x' || h[i // 4 + 1])::INT >> (3 - i % 4)) & 1 = 1 THEN diff ELSE -diff END) AS total FROM h, (SELECT unnest(range(0, 256)) AS i) GROUP BY ALL), o AS (SELECT abs(sum(diff)) AS seen FROM d)
+SELECT round((1 + count_if(abs(total) >= seen - 1e-12)) / 20001, 6) AS p FROM b, o WHERE draw < 20000""")
 def signflip_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-flip permutation p over 20,000 draws, whose random numbers SQL engines don't share."""
-    return stats.signflip(_diffs(spark, sf_dir), "diff", "person_id", seed=20260728)
+    """Sign-flip permutation p over 20,000 draws."""
+    return stats.signflip(_diffs(spark, sf_dir), "diff", "person_id", seed=SEED).select(F.round("p", 6).alias("p"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,14 +245,6 @@ def split_half_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return halves[0].join(halves[1], "feature", "full")
 
 
-@query()
-def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of a mean over items where subjects are drawn; random numbers that SQL engines don't share."""
-    p = pairing.pairs(views.predictions(spark, sf_dir), ["person_id", "item"], ["ev", "truth", "parse_failure"], "twin", "baseline").filter("NOT better_parse_failure AND NOT worse_parse_failure")
-    d = p.withColumn("d", F.abs(F.col("worse_ev") - F.col("worse_truth")) - F.abs(F.col("better_ev") - F.col("better_truth")))
-    return stats.bootstrap(d.groupBy("person_id").agg(F.sum("d").alias("total"), F.count("*").alias("items")), "total", "person_id", seed=20260728, size="items")
-
-
 @query("""
 WITH r AS (SELECT user_id AS person_id, event_type AS item, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY n DESC, item) AS k FROM r),
      d AS (SELECT user_id AS person_id, lead(user_id) OVER (ORDER BY user_id) AS nxt, first_value(user_id) OVER (ORDER BY user_id) AS fst FROM (SELECT DISTINCT user_id FROM events)), f AS (SELECT person_id, coalesce(nxt, fst) AS donor FROM d),
