@@ -318,7 +318,7 @@ def label_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = l.filter("bin > 0").groupBy(F.col("arm").alias("a")).agg((F.sum("same") / F.sum("n")).alias("rest"))
     other = l.select((1 - F.col("arm")).alias("arm"), "bin", (F.col("same") / F.col("n")).alias("theirs"))
     mine = F.col("same") / F.col("n")
-    return l.join(other, ["arm", "bin"]).join(later, F.col("arm") == F.col("a")).select("arm", "bin", "n", F.round(mine, 6).alias("rate"), F.round(mine - F.col("theirs"), 6).alias("gap"), F.round(mine - F.col("rest"), 6).alias("over_rest"))
+    return l.join(other, ["arm", "bin"]).join(later, F.col("arm") == F.col("a"), "left").select("arm", "bin", "n", F.round(mine, 6).alias("rate"), F.round(mine - F.col("theirs"), 6).alias("gap"), F.round(mine - F.col("rest"), 6).alias("over_rest"))
 
 
 @query("""
