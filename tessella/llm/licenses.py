@@ -29,7 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -156,20 +156,17 @@ def _candidates(base: DataFrame, known: Sequence[Template], idf: dict[str, float
     """(_id, _key, _no, _terms): the units that can reach the threshold with some template."""
     anchors = sorted(set().union(*[_anchors(v, threshold) for t, v in zip(known, vectors, strict=True) if t.kind == HEADER]))
     full = [_telling(v, idf, threshold) for t, v in zip(known, vectors, strict=True) if t.kind == FILE and v]
-    either = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
-
-    def noticed(low: Column) -> Column:
-        short = "|".join(a for a in anchors if len(a) < 4)
-        return either([F.contains(low, F.lit(a)) for a in anchors if len(a) >= 4] + ([low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else []))
-
-    # Arrays of one bind the lower-case text and its terms, so that they are made once and not once a test.
-    by_line, by_file = F.exists(F.array(F.lower("_text")), noticed), F.lit(False)
+    of_line = of_file = "false"
+    if anchors:
+        of_line = f"size({_known('ts', anchors)}) > 0"
     if full:
         # First against the words of all full texts, then of each.
         every, least = sorted(set().union(*[v for v, _ in full])), min(n for _, n in full)
-        each = " OR ".join(f"size({_known('ts', v)}) >= {n}" for v, n in full)
-        by_file = F.expr(f"exists(array({_known(_DISTINCT.format(text='_text'), every)}), ts -> size(ts) >= {least} AND ({each}))")
-    may = base.filter("_text IS NOT NULL").withColumns({"_lines": by_line, "_file": by_file}).filter("_lines OR _file")
+        each = " OR ".join(f"size({_known('us', v)}) >= {n}" for v, n in full)
+        of_file = f"exists(array({_known('ts', every)}), us -> size(us) >= {least} AND ({each}))"
+    # Arrays of one bind a text's terms, so that they are made once and not once a test.
+    flags = F.expr(f"transform(array({_DISTINCT.format(text='_text')}), ts -> named_struct('lines', {of_line}, 'file', {of_file}))[0]")
+    may = base.filter("_text IS NOT NULL").withColumn("_flags", flags).filter("_flags.lines OR _flags.file").withColumns({"_lines": F.col("_flags.lines"), "_file": F.col("_flags.file")})
     lines = F.when(F.col("_lines"), F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))).otherwise(F.array().cast("array<struct<no:int,line:string>>"))
     units = may.select("_id", F.xxhash64("_text").alias("_key"), "_file", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("no"), F.col("_text").alias("line"))), lines)).alias("u"))
     cut = units.select("_id", "_key", F.col("u.no").alias("_no"), terms(F.col("u.line")).alias("_terms"), "_file")
