@@ -61,3 +61,17 @@ def test_query_returns_its_columns(spark, name):
         assert df.select("doc_id").distinct().count() == ids.distinct().count()
     if "held_out" in df.columns:
         assert df.filter(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)).count() == 0
+
+
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables")
+def test_held_out_accuracy(spark):
+    """What no model learnt from: toxic documents are found and clean ones left alone, languages are told apart."""
+    toxic = queries.QUERIES["op1_toxicity"](spark, LARGE).filter("held_out").join(spark.read.parquet(f"{LARGE}/labels.parquet"), "doc_id")
+    by = {r["toxic"]: r for r in toxic.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("flagged")).collect()}
+    assert by[1]["flagged"] >= 0.9 * by[1]["n"] and by[0]["flagged"] <= 0.02 * by[0]["n"]
+    langs = queries.QUERIES["op3_language_id"](spark, LARGE).filter("held_out").join(spark.read.parquet(f"{LARGE}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL")
+    right = langs.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.99
