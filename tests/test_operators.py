@@ -346,6 +346,18 @@ def test_global_order_without_one_task(spark):
     assert ranges.before(df.limit(0), [F.col("id")], "p").count() == 0
 
 
+def test_weights_come_from_digests():
+    import hashlib
+
+    signs = stats.weights(5, "k", 300, signs=True)
+    bits = "".join(f"{int.from_bytes(hashlib.sha256(f'5|k|{w}'.encode()).digest(), 'big'):0256b}" for w in (0, 1))
+    assert signs.tolist() == [1.0 if b == "1" else -1.0 for b in bits[:300]]
+    counts = stats.weights(5, "k", 50_000, signs=False)
+    first = int(hashlib.sha256(b"5|k|0").hexdigest()[:4], 16) / 65536
+    assert counts[0] == next(k for k in range(9) if first < sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) - 1e-4 or k == 8)
+    assert abs(counts.mean() - 1) < 0.02 and abs(counts.var() - 1) < 0.03
+
+
 def test_cluster_bootstrap_averages_items(spark):
     d = spark.createDataFrame([(i, float(i % 3), 2) for i in range(60)], "s int, total double, items int")
     ci = stats.bootstrap(d, "total", "s", 1000, 5, size="items").first()
