@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -286,6 +287,7 @@ def tokenizer(path: str) -> Merger:
     return _models[path]
 
 
+@lru_cache(maxsize=1 << 14)
 def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: powers of two, large ones first."""
     found, at = [], 0
@@ -333,24 +335,26 @@ def pack(
         partition, seen = TaskContext.get().partitionId() << _PARTITION_AT, [0] * most.bit_length()
         for whole in batches:
             for batch in in_slices(whole, 2 << 20, 1024):
-                of, got = [], [[] for _ in PIECE]
                 texts = [x.as_py() or b"" for x in batch.column(TEXT)]
                 every = [np.append(ids, np.uint32(end)).astype("<u4") for ids in model.encode(texts)]
+                found = []
                 for i, ids in enumerate(every):
-                    for start, size in pieces_of(len(ids), most):
-                        of.append(i)
+                    raw, n = memoryview(ids.tobytes()), len(ids)
+                    for start, size in pieces_of(n, most):
                         bucket = size.bit_length() - 1
-                        first, (group, row) = (bucket << _BUCKET_AT) + partition, divmod(seen[bucket], most // size)
-                        piece = (start, size, len(ids), None, zlib.crc32(ids[start : start + size].tobytes()), bucket, first + seen[bucket], first + group, row)
+                        found.append((i, start, size, n, zlib.crc32(raw[4 * start : 4 * (start + size)]), bucket, seen[bucket]))
                         seen[bucket] += 1
-                        for column, value in zip(got, piece, strict=True):
-                            column.append(value)
-                kept = [batch.column(k).take(pa.array(of, pa.int32())) for k in (0, *range(2, 2 + len(carry)))]
-                new = [pa.array(x, f.type) for x, f in zip(got, list(arrow)[len(kept) :], strict=True)]
+                of, starts, sizes, totals, crcs, buckets, numbers = np.array(found, np.int64).T
+                first, batched = (buckets << _BUCKET_AT) + partition, most // sizes
+                columns = {"start": starts, "length": sizes, "doc_tokens": totals, "ids_crc32": crcs, "bucket": buckets, "sequence_id": first + numbers, "batch_id": first + numbers // batched, "batch_row": numbers % batched}
+                kept = [batch.column(k).take(pa.array(of)) for k in (0, *range(2, 2 + len(carry)))]
+                fields = list(arrow)[len(kept) :]
+                new = [pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(len(of), f.type) for f in fields]
                 if with_ids:
                     # Pieces follow each other as their documents' ids do.
-                    offsets = np.concatenate(([0], np.cumsum(got[1]))).astype(np.int32)
-                    new[3] = pa.ListArray.from_arrays(offsets, np.concatenate(every).view(np.int32)).cast(arrow.field("ids").type)
+                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    at = next(i for i, f in enumerate(fields) if f.name == "ids")
+                    new[at] = pa.ListArray.from_arrays(offsets, np.concatenate(every).view(np.int32)).cast(fields[at].type)
                 yield pa.RecordBatch.from_arrays([*kept, *new], schema=arrow)
 
     return rows(docs, id_col, text_col, carry).mapInArrow(cut, out).withColumn("sequence_offset", F.lit(0).cast("long"))
