@@ -178,8 +178,6 @@ def strip_set(texts: Sequence[str | None], forms: Sequence[str], retain: float =
     return stripped, True
 
 
-
-
 @F.pandas_udf(T.StringType())
 def entity_free(text: pd.Series) -> pd.Series:
     return text.map(strip_entities, na_action=None)

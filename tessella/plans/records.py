@@ -123,6 +123,17 @@ def evidence_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("subject")).agg(score(staff).alias("staff"), score(~staff).alias("guest")).withColumn("is_staff", F.col("staff") > F.col("guest"))
 
 
+@query("""
+WITH q AS (SELECT user_id AS subject, trim(substring(regexp_replace(lower(CASE event_id % 2 WHEN 0 THEN upper(event_type) || '! No ' ELSE event_type || ' no. ' END || event_id % 4), '[^a-z0-9]+', ' ', 'g'), 1, 80)) AS form, floor(value / 25) AS weight, event_id AS place FROM events)
+SELECT subject, form, max(weight) AS weight, CAST(arg_max(place, weight * 100000000 + place) AS BIGINT) AS place FROM q GROUP BY subject, form""")
+def best_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each quote of a subject, however it is spelt: the heaviest, then the latest."""
+    kind, n = F.col("event_type"), (F.col("event_id") % 4).cast("string")
+    quote = F.when(F.col("event_id") % 2 == 0, F.concat(F.upper(kind), F.lit("! No "), n)).otherwise(F.concat(kind, F.lit(" no. "), n))
+    q = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), quote.alias("quote"), F.floor(F.col("value") / 25).cast("double").alias("weight"), F.col("event_id").alias("place"))
+    return compose.best_quotes(q, "subject", F.col("quote"), "weight", "place")
+
+
 @query("""
 WITH t AS (SELECT conv_id, count_if(role = 'user') AS host, count_if(role = 'assistant') AS guest, count_if(role NOT IN ('user', 'assistant')) AS other, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> ''))) AS words FROM conversations GROUP BY 1)
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN other > 0 THEN 'other speakers' WHEN host = 0 THEN 'no host' WHEN guest = 0 THEN 'no guest' WHEN words < 100 THEN 'too short' ELSE 'kept' END AS reason FROM t) GROUP BY reason""")
