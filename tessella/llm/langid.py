@@ -31,8 +31,8 @@ from tessella.runtime import ship
 
 NGRAM, DIMENSIONS = 3, 1024
 UNKNOWN = "und"
-#: More language values than this are taken for a mistake: prototypes would outgrow a broadcast.
-MOST_LANGUAGES = 4096
+#: More language values than this (there are fewer registered languages) are taken for a mistake: an error, nothing is dropped.
+MOST_LANGUAGES = 8192
 #: Texts whose n-gram counts meet in one matrix, their UTF-8 bytes, and n-gram vectors that a worker keeps.
 _TEXTS, _BYTES, _KEPT = 64, 1 << 18, 1 << 15
 #: Longer texts are counted piece by piece, so many bytes at a time.
