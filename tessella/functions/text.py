@@ -80,9 +80,9 @@ def hashed_ngrams(arr: Column, n: int) -> Column:
 
 def shingles(arr: Column, k: int) -> Column:
     """Distinct 64-bit hashes of k-word runs; a shorter text has one of all its words, an empty one none."""
-    none = F.array().cast("array<string>")
-    runs = let(arr, lambda a: F.when(F.size(a) == 0, none).when(F.size(a) < k, F.array(F.array_join(a, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - k + 1), lambda i: F.array_join(F.slice(a, i, k), " "))))
-    return F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s)))
+    none = F.array().cast("array<bigint>")
+    runs = let(arr, lambda a: F.when(F.size(a) == 0, none).when(F.size(a) < k, F.array(gram_hash(a))).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - k + 1), lambda i: gram_hash(F.slice(a, i, k)))))
+    return F.array_distinct(runs)
 
 
 def slug(x: Column) -> Column:
