@@ -131,7 +131,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> Data
             tables = held.join(crowded, key, "left_semi").select("fp", "fixed")
         once = F.when(F.col("flips") == 0, fp < F.col("b")).otherwise(fp != F.col("b"))
         close = F.bit_count(fp.bitwiseXOR(F.col("b"))) <= distance
-        met = materialise(near.join(buckets, key).filter(F.col("b").isNull() | close & once).select("fp", "fixed", "flips", "budget", "b"))
+        # Never a broadcast: Spark takes the look-ups for as small as the file that they come from.
+        met = materialise(near.join(buckets.hint("merge"), key).filter(F.col("b").isNull() | close & once).select("fp", "fixed", "flips", "budget", "b"))
         found.append(met.filter("b IS NOT NULL").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")))
         asks = met.filter("b IS NULL").drop("b")
         if last or not crowded.take(1):

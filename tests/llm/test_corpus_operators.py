@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, licenses, toxicity
+from tessella.llm import langid, licenses, simhash, toxicity
 from tessella.llm.common import held_out
 from tessella.llm.decontam import Automaton, decontaminate, words_of
 from tessella.llm.html_extract import extract, parse, score
@@ -199,6 +199,21 @@ def test_links_with_hot_segments_match_brute_force(spark, hot, distance):
     assert {(r["a"], r["b"]) for r in got.collect()} == brute_links(signed, distance)
 
 
+def test_lookups_are_never_broadcast(spark, monkeypatch):
+    """About 36 rows a fingerprint, which Spark takes for as small as the file they come from: a broadcast of them fills the driver."""
+    plans, write = [], simhash.materialise
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    fps = [(random.Random(i).getrandbits(63),) for i in range(300)] + [(i,) for i in range(300)]
+    links(spark.createDataFrame(fps, "fp long"), hot=4).count()
+    joins = [re.findall(r"(\w+Join) .*\bInner\b", p) for p in plans]
+    assert sum(joins, []) == ["SortMergeJoin"] * 3
+
+
 def test_tokens_agree_with_the_library():
     model = tokenizer(tokenizer_path())
     plain = [chr(i) for i in range(0x250)] + list("‐–—‘’“”… \t\n")
