@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import langid
+from tessella.llm import langid, simhash
 from tessella.llm.packing import tokenizer
 from tessella.llm.queries import QUERIES, tokenizer_path
 from tessella.runtime import table
@@ -160,3 +160,18 @@ def test_stages_take_odd_rows(spark, name, stage):
 
 def test_every_operator_is_registered_once():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_near_dedup_never_broadcasts_its_lookups(spark, monkeypatch):
+    """Stage 2 at Spark's own broadcast threshold: the look-ups meet their buckets in a sort-merge join."""
+    plans, write = [], simhash.materialise
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    kept = corpus_pipeline.near_dedup(spark, table(spark, SF, "documents"), SF)
+    joins = [re.findall(r"(\w+Join) .*\bInner\b", p) for p in plans]
+    assert sum(joins, []) and set(sum(joins, [])) == {"SortMergeJoin"}
+    assert 0 < kept.count() < table(spark, SF, "documents").count()
