@@ -18,7 +18,9 @@ most 256 fingerprints whatever the data, and nothing is left out.
 Scale: exact copies collapse to one fingerprint before any look-up (a grouped
 minimum, summed before the shuffle). A distinct fingerprint makes about 36
 narrow look-ups; all joins are hash-partitioned on (segment, value). Nothing is
-collected, broadcast unsized or crossed.
+collected or crossed, and no table with a row for each fingerprint or document
+is broadcast: Spark would size it by its Parquet file, a fraction of the hash
+table that the driver builds.
 """
 
 from __future__ import annotations
@@ -157,12 +159,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = F.struct(marked[id_col].isNull().alias("none"), marked[id_col].alias("id"), "_row")
     least = materialise(marked.groupBy("fp").agg(F.min(first).alias("_least")))
     found = components(links(least, distance))
-    joined = least.join(found, least.fp == found.node, "left").select("fp", "_least", "root")
+    # Sort-merge joins: neither the fingerprints nor their names go through the driver.
+    joined = least.join(found.hint("merge"), least.fp == found.node, "left").select("fp", "_least", "root")
     named = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("_least").alias("_first"))
     linked = joined.filter("root IS NOT NULL").join(named, "root").select("fp", "_first")
     alone = joined.filter("root IS NULL").select("fp", F.col("_least").alias("_first"))
     names = linked.unionByName(alone).withColumnRenamed("fp", "_fp")
-    out = marked.join(names, marked.fp == names["_fp"], "left")
+    out = marked.join(names.hint("merge"), marked.fp == names["_fp"], "left")
     keeper = F.col("_row") == F.col("_first._row")
     return out.select(*[marked[c] for c in (id_col, *carry)], "fp", F.col("_first.id").alias("component_id"), keeper.alias("keeper"))
 

@@ -175,3 +175,12 @@ def test_near_dedup_never_broadcasts_its_lookups(spark, monkeypatch):
     joins = [re.findall(r"(\w+Join) .*\bInner\b", p) for p in plans]
     assert sum(joins, []) and set(sum(joins, [])) == {"SortMergeJoin"}
     assert 0 < kept.count() < table(spark, SF, "documents").count()
+
+
+def test_near_dedup_never_broadcasts_its_fingerprints(spark):
+    """Stage 2 at Spark's own broadcast threshold, as it ran: a table with a row for each fingerprint meets the links and the documents in sort-merge joins."""
+    kept = corpus_pipeline.near_dedup(spark, table(spark, SF, "documents"), SF)
+    assert kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    joins = re.findall(r"(\w+Join)[^\[]*\[([^\]]*)\]", plan)
+    assert {kind for kind, keys in joins if re.search(r"\b_?fp#", keys)} == {"SortMergeJoin"}
